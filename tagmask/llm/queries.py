@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from tagmask.llm.language_id import op4_language_id
 from tagmask.llm.mixing import OP10_SQL, op10_mix_sources
+from tagmask.llm.packing import op6_best_fit_packing
+from tagmask.llm.token_store import op7_token_store
 from tagmask.llm.toxicity import op1_toxicity
 from tagmask.llm.url_reputation import OP9_SQL, op9_url_reputation
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op9_url_reputation": op9_url_reputation, "op10_mix_sources": op10_mix_sources}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_language_id": op4_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_store": op7_token_store,
+    "op9_url_reputation": op9_url_reputation,
+    "op10_mix_sources": op10_mix_sources,
+}
 ORACLE_SQL = {"op9_url_reputation": OP9_SQL, "op10_mix_sources": OP10_SQL}
