@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tagmask.llm.common import attach, read, written
+from tagmask.llm.common import read, written
 from tagmask.llm.tokenise import encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -125,7 +125,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     plan = pieces.sparkSession.sparkContext.broadcast(slots(plan_bins(counts, capacity)))
     within = Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "start")
-    ranked = attach(marked.withColumn("_rank", F.row_number().over(within) - 1), begins, ["length", "_shard"], "doc_id")
+    ranked = marked.withColumn("_rank", F.row_number().over(within) - 1).join(begins, ["length", "_shard"])
     ranked = ranked.withColumn("_rank", (F.col("_rank") + F.col("_begin")).cast("long")).drop("_shard", "_begin")
     own = pieces.columns
 

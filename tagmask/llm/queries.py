@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tagmask.llm.language_id import op4_language_id
 from tagmask.llm.mixing import OP10_SQL, op10_mix_sources
+from tagmask.llm.near_dup import op8_near_duplicates
 from tagmask.llm.packing import op6_best_fit_packing
 from tagmask.llm.token_store import op7_token_store
 from tagmask.llm.toxicity import op1_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_store": op7_token_store,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_url_reputation": op9_url_reputation,
     "op10_mix_sources": op10_mix_sources,
 }
