@@ -53,20 +53,25 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(df: DataFrame, small: DataFrame, on: list[str], spread: str, salts: int = 32) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, on: list[str], spread: str, salts: int = 64) -> DataFrame:
     """Left join of `df` with `small`, which has one row per key (nulls are equal).
 
-    `small` is counted: up to BROADCAST_ROWS rows it is broadcast, beyond that both sides are salted by `spread`
-    (a column of `df`), so that a key with a third of all rows still goes to many tasks.
+    `small` is counted: up to BROADCAST_ROWS rows it is broadcast. Beyond that the join is dealt by key, and keys with
+    over a 500th of all rows of `df` (so at most 500 of them) are salted by `spread`, a column of `df`.
     """
     kept = [c for c in small.columns if c not in on]
     keyed = small.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], *kept)
-    equal = [df[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)]
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = df.join(F.broadcast(keyed), equal, "left")
-    else:
-        keyed = keyed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-        equal = [salted[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)]
-        joined = salted.join(keyed, [*equal, salted["_salt"] == keyed["_s"]], "left")
-    return joined.select(*[df[c] for c in df.columns], *kept)
+        joined = df.join(F.broadcast(keyed), [df[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)], "left")
+        return joined.select(*[df[c] for c in df.columns], *kept)
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    hot = counts.filter(F.col("_n") > max(5_000, df.count() // 500)).select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(on)], F.lit(True).alias("_hot"))
+    own = [c for c in df.columns]
+    left = df.join(F.broadcast(hot), [df[c].eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(on)], "left")
+    left = left.select(*[df[c] for c in own], F.when(F.col("_hot"), F.pmod(F.xxhash64(df[spread]), F.lit(salts)).cast("int")).otherwise(0).alias("_salt"))
+    right = keyed.join(F.broadcast(hot), [F.col(f"_k{i}").eqNullSafe(F.col(f"_h{i}")) for i in range(len(on))], "left")
+    right = right.withColumn("_s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    right = right.select(*[f"_k{i}" for i in range(len(on))], "_s", *kept)
+    equal = [left[c].eqNullSafe(right[f"_k{i}"]) for i, c in enumerate(on)]
+    joined = left.join(right, [*equal, left["_salt"] == right["_s"]], "left")
+    return joined.select(*[left[c] for c in own], *[right[c] for c in kept])
