@@ -52,17 +52,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     return dim.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often each document is taken so that every source comes near its target.
+def mix_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2) -> DataFrame:
+    """(source, size, h) -> one row per source: source_size, target, whole (copies of every document) and threshold.
 
-    Returns one row per input row: doc_id, source, size, source_size, target, copies (0..max_repeat), taken = size * copies.
-    Sources in code-point order, null last as a source of its own, get `weights` in rotation. A target of t words of a
-    source with S words takes every document floor(t / S) times; the rest goes once more to the documents whose hash lies
-    under the source's threshold, the document at the threshold only if that brings the sum nearer to the target.
-    Null or empty texts have size 0, take part and take nothing. Rows with equal ids share a hash and are in or out
-    together. Other columns are ignored; an empty table gives an empty result.
+    A document is taken once more if its hash lies under the threshold (null: always) and `whole` is under `max_repeat`.
     """
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeat)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeat))).otherwise(0).cast("long")
     rest = F.when(F.col("whole") >= max_repeat, 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size"))
@@ -84,15 +78,49 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
         if ends.isEmpty():
             break
         boundary = attach(bucketed, ends.select("source", F.col("b").alias("_eb")), ["source"], "h").filter(F.col("b") == F.col("_eb"))
-        open_rows = written(boundary.select("doc_id", "source", "size", "h"), f"mix-open{shift}")
+        open_rows = written(boundary.select("source", "size", "h"), f"mix-open{shift}")
         left = ends.select("source", "rest")
-    settled = written(attach(budgets, done, ["source"], "source"), "mix-thresholds")
+    return written(attach(budgets, done, ["source"], "source"), "mix-thresholds")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")), "mix-sizes")
+
+
+def _copies(max_repeat: int) -> Column:
     extra = (F.col("whole") < max_repeat) & (F.col("threshold").isNull() | (F.col("h") < F.col("threshold")))
-    copies = F.col("whole") + F.when(extra, 1).otherwise(0)
-    mixed = attach(sized, settled, ["source"], "h").withColumn("copies", copies.cast("long"))
+    return (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How often each document is taken so that every source comes near its target.
+
+    Returns one row per input row: doc_id, source, size, source_size, target, copies (0..max_repeat), taken = size * copies.
+    Sources in code-point order, null last as a source of its own, get `weights` in rotation. A target of t words of a
+    source with S words takes every document floor(t / S) times; the rest goes once more to the documents whose hash lies
+    under the source's threshold, the document at the threshold only if that brings the sum nearer to the target.
+    Null or empty texts have size 0, take part and take nothing. Rows with equal ids share a hash and are in or out
+    together. Other columns are ignored; an empty table gives an empty result.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    mixed = attach(sized, mix_plan(sized, weights, share, max_repeat), ["source"], "h").withColumn("copies", _copies(max_repeat))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2) -> DataFrame:
+    """The mix itself: every row of `docs` (doc_id, text, source, ...) as often as it is taken, all columns kept.
+
+    Only the plan (one row per source) is joined to the documents; no text is shuffled.
+    """
+    plan = mix_plan(_sized(docs, "doc_id", "text", "source"), weights, share, max_repeat).drop("source_size", "target", "rest")
+    plan = plan.select(F.col("source"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    marked = docs.withColumn("_h", id_hash(F.col("doc_id")))
+    extra = (F.col("_whole") < max_repeat) & (F.col("_threshold").isNull() | (F.col("_h") < F.col("_threshold")))
+    times = (F.col("_whole") + F.when(extra, 1).otherwise(0)).cast("int")
+    taken = attach(marked, plan, ["source"], "_h").withColumn("_n", F.explode(F.array_repeat(F.lit(1), times)))
+    return taken.select(*docs.columns)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what the mix takes of each."""
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

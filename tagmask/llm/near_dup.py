@@ -256,6 +256,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     return out.select(null("doc_id"), null("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with one row of each class: the one with the smallest id. All columns are kept."""
+    classes = written(near_duplicates(docs, threshold), "dup-decided")
+    gone = classes.filter(~F.coalesce("kept", F.lit(True))).select("doc_id").distinct()
+    few = gone.limit(PICKED_IDS + 1).count() <= PICKED_IDS
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    if classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    return left.dropDuplicates(["doc_id"])
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document."""
     return near_duplicates(read(spark, sf_dir, "documents"))
