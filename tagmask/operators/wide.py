@@ -1,0 +1,62 @@
+"""Masking against one corpus-wide table of writings: too many for a fold, so an automaton finds all at once.
+
+The claim rule is the same: writings in rank order take their occurrences from left to right, without overlaps.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Writings that the automaton of a task may hold; more are refused, not dropped.
+MOST_WRITINGS = 2_000_000
+
+
+def claim_hits(text: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of hits (rank, start, end) those that claim, in text order."""
+    taken, won = bytearray(len(text)), []
+    for rank, start, end in sorted(hits):
+        if not any(taken[start:end]):
+            taken[start:end] = b"\x01" * (end - start)
+            won.append((start, end, rank))
+    return sorted(won)
+
+
+def mask_wide(docs: DataFrame, ranked: DataFrame, most: int = MOST_WRITINGS) -> DataFrame:
+    """`docs` plus `masked`, by (rank, writing, tag) that hold for all documents. The table is counted before it is sent."""
+    if ranked.count() > most:
+        raise ValueError(f"more than {most} writings: use tables per dossier")
+    table = docs.sparkSession.sparkContext.broadcast([(r["rank"], r.writing, r.tag) for r in ranked.orderBy("rank").toLocalIterator()])
+    built: list = []
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not built:
+            machine = ahocorasick.Automaton()
+            for rank, writing, tag in table.value:
+                if writing not in machine:
+                    machine.add_word(writing, (rank, len(writing), tag))
+            machine.make_automaton()
+            built.append(machine)
+        machine = built[0]
+
+        def mask(text: str | None) -> str | None:
+            if text is None or not len(machine):
+                return text
+            tags, hits = {}, []
+            for end, (rank, size, tag) in machine.iter(text):
+                hits.append((rank, end + 1 - size, end + 1))
+                tags[rank] = tag
+            parts, at = [], 0
+            for start, end, rank in claim_hits(text, hits):
+                parts += [text[at:start], tags[rank]]
+                at = end
+            return "".join([*parts, text[at:]])
+
+        for frame in frames:
+            yield frame.assign(masked=frame["text"].map(mask))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInPandas(run, f"{fields}, masked string")
