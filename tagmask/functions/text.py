@@ -129,7 +129,7 @@ def tax_code_valid(value: Column) -> Column:
 def vat_number_valid(value: Column) -> Column:
     """Italian VAT number: eleven digits, with or without IT, and the check digit."""
     digits = F.regexp_replace(F.upper(F.trim(value)), "^IT", "")
-    return F.coalesce(F.when(digits.rlike(r"^[0-9]{11}\z"), F.luhn_check(digits)).otherwise(False), F.lit(False))
+    return F.coalesce(F.when(digits.rlike(r"^[0-9]{11}\z"), F.call_function("luhn_check", digits)).otherwise(False), F.lit(False))
 
 
 def iban_valid(value: Column) -> Column:
@@ -148,7 +148,7 @@ def date_exists(value: Column) -> Column:
     month = F.array_position(F.array(*map(F.lit, MONTHS)), part(named, 2)).cast("string")
     joined = lambda y, m, d: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
     day = F.when(text.rlike(numeric), joined(part(numeric, 3), part(numeric, 2), part(numeric, 1))).when(text.rlike(iso), text).when(text.rlike(named), joined(part(named, 3), month, part(named, 1)))
-    return F.coalesce(F.try_to_date(day, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 def phone_plausible(value: Column) -> Column:

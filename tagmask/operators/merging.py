@@ -49,7 +49,7 @@ def apply_merges(tags: DataFrame, pairs: DataFrame) -> DataFrame:
 def apply_merges_in_order(tags: DataFrame, decisions: DataFrame) -> DataFrame:
     """As apply_merges for decisions (dossier_id, seq, tag_a, tag_b) that depend on each other: one after another per
     dossier; a pair that names a tag absorbed before is refused, not followed."""
-    schema = tags.schema
+    schema, decisions = tags.schema, decisions.select(*[F.col(c).alias(c) for c in ("dossier_id", "seq", "tag_a", "tag_b")])
 
     def fold(pair: tuple, table: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
         rows = {r["tag"]: r for r in table.to_dict("records")}

@@ -466,7 +466,7 @@ def _(spark, sf):
     return ingest.rejected_scans(register(spark, sf, "page_stats")["page_stats"])
 
 
-@query("assemble_pages", SCAN + ", o AS (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY dossier_id, doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS at, bool_or(scan) OVER (PARTITION BY dossier_id, doc_id) AS any_scan FROM v) SELECT dossier_id, doc_id, string_agg(text, '' ORDER BY page_no) AS text, list(at ORDER BY page_no) AS page_offsets FROM o WHERE NOT any_scan GROUP BY ALL")
+@query("assemble_pages", SCAN + ", o AS (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY dossier_id, doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS begins, bool_or(scan) OVER (PARTITION BY dossier_id, doc_id) AS any_scan FROM v) SELECT dossier_id, doc_id, string_agg(text, '' ORDER BY page_no) AS text, list(begins ORDER BY page_no) AS page_offsets FROM o WHERE NOT any_scan GROUP BY ALL")
 def _(spark, sf):
     return ingest.assemble_pages(register(spark, sf, "page_stats")["page_stats"])
 
