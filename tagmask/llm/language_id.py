@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagmask.llm.common import read
-from tagmask.llm.vector_text import LETTER, Block, as_text, blocks, mix
+from tagmask.llm.vector_text import LETTER, Block, as_text, blocks, light, mix
 
 #: Lengths of n-grams in bytes of lower-cased text in which every run of other than letters is one blank.
 SIZES = (3, 4)
@@ -96,7 +96,7 @@ class LanguageFilter:
 
 def _gram_counts(sizes: tuple[int, ...]) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in light(batches):
             langs = batch.column("lang").dictionary_encode()
             of_row = np.asarray(langs.indices)
             for block in blocks(as_text(batch.column("text"), lower=True)):
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in light(batches):
             texts = as_text(batch.column("text"), lower=True)
             letters = pc.match_substring_regex(texts, r"\pL")
             lang, score, known = shared.value.judge(texts)

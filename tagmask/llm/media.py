@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmask.llm.common import attach, new_path, read, written
+from tagmask.llm.vector_text import light
 
 WIDTH = 64
 SEGMENT = "array<struct<position:int,kind:string,text:string,source:string,caption:string>>"
@@ -125,7 +126,7 @@ def store_media(docs: DataFrame, path: str) -> DataFrame:
     """Write (doc_id, text) to a media table: doc_id, media_sha256, media. The text is stored whole, as UTF-8."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in light(batches):
             media = [graymap((t or "").encode()) for t in batch.column("text").to_pylist()]
             digest = [hashlib.sha256(m).hexdigest() for m in media]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.string()), pa.array(media, pa.binary())], ["doc_id", "media_sha256", "media"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmask.llm.common import attach, read, written
-from tagmask.llm.vector_text import WORD, Block, as_text, blocks, mix
+from tagmask.llm.vector_text import WORD, Block, as_text, blocks, light, mix
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares none of 40 bands of 6 coordinates with probability 5e-6, one of 0.3 shares some with 0.03.
@@ -122,7 +122,7 @@ def _normal_forms(block: Block) -> list[bytes]:
 
 def _signer(words: int, count: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in light(batches):
             for block in blocks(as_text(batch.column("text"), lower=True)):
                 element, doc = shingles(block, words)
                 element, doc = cells(element, doc, block.docs)
@@ -138,7 +138,7 @@ def _signer(words: int, count: int, rows: int):
 
 def _cell_lists(words: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in light(batches):
             for block in blocks(as_text(batch.column("text"), lower=True)):
                 element, doc = cells(*shingles(block, words), block.docs)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.docs))]).astype(np.int32)

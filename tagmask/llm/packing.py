@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from tagmask.llm.common import read, written
 from tagmask.llm.tokenise import encoder
+from tagmask.llm.vector_text import light
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one ranking task should get about.
@@ -35,7 +36,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         tail = np.array([] if end_id is None else [end_id], "<u4")
-        for batch in batches:
+        for batch in light(batches):
             for first, ids, offsets in encode.encode(batch.column("text").to_pylist()):
                 ids = ids.astype("<u4")
                 rows: list[tuple[int, int, int, int, int]] = []

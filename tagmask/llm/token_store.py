@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from tagmask.llm.common import new_path, read, written
 from tagmask.llm.tokenise import encoder
+from tagmask.llm.vector_text import light
 
 END_ID = 2
 #: Ids in a file (more only where one document is longer), and bytes of a plane in a chunk.
@@ -173,7 +174,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return row
 
         end = np.array([end_id], np.int32)
-        for batch in batches:
+        for batch in light(batches):
             names = batch.column("doc_id").to_pylist()
             for first, found, offsets in encode.encode(batch.column("text").to_pylist()):
                 for i in range(len(offsets) - 1):

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from tagmask.llm.vector_text import mix
 
 #: Characters looked at together (one longer text makes a block of its own), and distinct pieces remembered by a task.
-BLOCK_CHARS, REMEMBERED = 2_000_000, 1_000_000
+BLOCK_CHARS, REMEMBERED = 500_000, 400_000
 OTHER, SPACE, LETTER, NUMBER = 0, 1, 2, 3
 #: Fixed values of the pieces' pattern: letters that may follow an apostrophe, one or two.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
@@ -84,7 +84,7 @@ class Pieces:
 class Remembered:
     """A hash table from short pieces (at most 16 bytes, compared exactly) to numbers, looked up by whole arrays."""
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self):
         self.head, self.tail = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tagmask.llm.common import read, written
 from tagmask.llm.language_id import held_out
-from tagmask.llm.vector_text import LETTER, WORD, Block, Hashes, as_text, blocks, mix
+from tagmask.llm.vector_text import LETTER, WORD, Block, Hashes, as_text, blocks, light, mix
 
 #: Bounded training sample of labelled rows, and lexicon entries kept (documented bounds; ids with the smallest hashes).
 TRAIN_ROWS, LEXICON = 20_000, 1000
@@ -126,7 +126,7 @@ class Lexicon:
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each token by class, summed inside a batch: (kind 0 word or 1 beginning, token, clean, toxic)."""
-    for batch in batches:
+    for batch in light(batches):
         label = np.asarray(batch.column("label"))
         for block in blocks(as_text(batch.column("text"), lower=True)):
             _, doc, word, begin = tokens(block)
@@ -181,7 +181,7 @@ def _with_features(docs: DataFrame, lexicon: Lexicon, drop_text: bool = False) -
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in light(batches):
             values = shared.value.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(FEATURES)))], [*own, *(f"_f_{n}" for n in FEATURES)])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one block holds (one longer document makes a block of its own).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -117,3 +117,15 @@ def blocks(text: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield Block(first, everything[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
+
+
+def light(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most about `limit` bytes of text, so that copies of a batch stay small."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        first = 0
+        while first < batch.num_rows:
+            used = size[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(size, used + limit, "right")))
+            yield batch.slice(first, last - first)
+            first = last
