@@ -7,6 +7,7 @@ from tagmask.llm.media import op3_media_columns
 from tagmask.llm.mixing import OP10_SQL, op10_mix_sources
 from tagmask.llm.near_dup import op8_near_duplicates
 from tagmask.llm.packing import op6_best_fit_packing
+from tagmask.llm.search import op2_topk_search
 from tagmask.llm.token_store import op7_token_store
 from tagmask.llm.toxicity import op1_toxicity
 from tagmask.llm.url_reputation import OP9_SQL, op9_url_reputation
@@ -14,6 +15,7 @@ from tagmask.llm.warc import op5_warc_index
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_topk_search": op2_topk_search,
     "op3_media_columns": op3_media_columns,
     "op4_language_id": op4_language_id,
     "op5_warc_index": op5_warc_index,
