@@ -187,6 +187,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     held += size
         if held:
             yield flush()
+        encode.forget()
 
     return written(ordered.mapInArrow(write, "part int, file int, path string, docs long, ids long"), "tokens-list")
 

@@ -137,9 +137,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.words = self.tokenizer.normalizer is not None
         self.pieces = Pieces(self.words)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Let go of the pieces seen (at the end of a task)."""
         self.known = Remembered()
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
@@ -155,7 +156,7 @@ class Encoder:
     def _codes(self, pieces: pa.Array, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Numbers of the pieces, places in self.lengths; new pieces are encoded, and remembered if they are short."""
         if len(self.lengths) > REMEMBERED:
-            self._forget()
+            self.forget()
         size = end - begin
         head, tail = self.known.keys(data, begin, size)
         codes = np.full(len(begin), -1, np.int64)

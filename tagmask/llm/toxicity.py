@@ -10,13 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +21,10 @@ from tagmask.llm.common import read, written
 from tagmask.llm.language_id import held_out
 from tagmask.llm.vector_text import LETTER, WORD, Block, Hashes, as_text, blocks, light, mix
 
+if TYPE_CHECKING:  # Spark ML is imported where models are used: tasks need only the features
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
 #: Bounded training sample of labelled rows, and lexicon entries kept (documented bounds; ids with the smallest hashes).
 TRAIN_ROWS, LEXICON = 20_000, 1000
 #: Lengths in bytes of word beginnings that the lexicon may hold.
@@ -167,6 +168,8 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """All columns of `docs` plus toxicity (0 to 1) and predicted (1 if toxicity >= 0.5). Names that clash are replaced."""
+        from pyspark.ml.functions import vector_to_array
+
         own = [c for c in docs.columns if c not in ("toxicity", "predicted")]
         if self.trees is None:
             scored = docs.select(*own).withColumn("toxicity", F.lit(float(self.base)))
@@ -190,6 +193,8 @@ def _with_features(docs: DataFrame, lexicon: Lexicon, drop_text: bool = False) -
 
 
 def _assembled(df: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
     return VectorAssembler(inputCols=[f"_f_{n}" for n in FEATURES], outputCol="_features").transform(df)
 
 
@@ -200,6 +205,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     third of them calibrates, the rest grows trees. Null labels or ids teach nothing, an id labelled twice counts as its
     larger label. With one class or no labelled text the score is the smoothed base rate.
     """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     share = train_rows / max(1, known.count())
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)

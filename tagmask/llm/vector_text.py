@@ -129,3 +129,4 @@ def light(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(size, used + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()
