@@ -41,10 +41,11 @@ _CHECKS: dict[str, Callable[[Column], Column]] = {"CF": tax_code_valid, "PIVA":
 
 def pattern_spans(docs: DataFrame, category: str, pattern: str) -> DataFrame:
     """All matches of a pattern with their places in code points: dossier_id, doc_id, start, end, category, value."""
-    hits = docs.select("dossier_id", "doc_id", "text", F.regexp_extract_all("text", F.lit(f"({pattern})"), 1).alias("_h")).filter(F.size("_h") > 0).withColumn("_t", F.split("text", pattern))
-    step = lambda acc, i: F.struct((acc["at"] + F.length(F.col("_t")[i]) + F.length(F.col("_h")[i])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.col("_t")[i])).alias("start"), F.col("_h")[i].alias("value")))).alias("out"))
+    found = F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)
+    hits = docs.select("dossier_id", "doc_id", "text", F.zip_with(F.split("text", pattern), found, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))).alias("_z"))
+    step = lambda acc, z: F.struct((acc["at"] + z["g"] + F.length(z["v"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + z["g"]).alias("start"), z["v"].alias("value")))).alias("out"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    rows = hits.select("dossier_id", "doc_id", "text", F.explode(F.aggregate(F.sequence(F.lit(0), F.size("_h") - 1), zero, step)["out"]).alias("s"))
+    rows = hits.select("dossier_id", "doc_id", "text", F.explode(F.aggregate(F.filter("_z", lambda z: z["v"].isNotNull()), zero, step)["out"]).alias("s"))
     return rows.select("dossier_id", "doc_id", "text", F.col("s.start").alias("start"), (F.col("s.start") + F.length("s.value")).alias("end"), F.lit(category).alias("category"), F.col("s.value").alias("value"))
 
 

@@ -122,17 +122,19 @@ def _pieces(claimed: DataFrame) -> DataFrame:
 
 def claimed_regions(docs: DataFrame, spelled: DataFrame) -> DataFrame:
     """dossier_id, doc_id, start, end, tag: claims in the original text, in code points."""
-    cut = _pieces(claim(docs, spelled)).filter(F.size("_tags") > 0)
-    size = lambda i: F.length(F.col("_texts")[i])
-    step = lambda acc, i: F.struct((acc["at"] + size(i) + F.length(F.col("_tags")[i]["w"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + size(i)).alias("start"), (acc["at"] + size(i) + F.length(F.col("_tags")[i]["w"])).alias("end"), F.col("_tags")[i]["t"].alias("tag")))).alias("out"))
+    # Gaps and claims side by side as one column, so that no expression over the folded text is evaluated per element.
+    cut = _pieces(claim(docs, spelled))
+    sized = cut.select("dossier_id", "doc_id", F.zip_with("_texts", "_tags", lambda g, t: F.struct(F.length(g).alias("g"), F.length(t["w"]).alias("n"), t["t"].alias("t"))).alias("_z"))
+    step = lambda acc, z: F.struct((acc["at"] + z["g"] + z["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + z["g"]).alias("start"), (acc["at"] + z["g"] + z["n"]).alias("end"), z["t"].alias("tag")))).alias("out"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,tag:string>>").alias("out"))
-    return cut.select("dossier_id", "doc_id", F.explode(F.aggregate(F.sequence(F.lit(0), F.size("_tags") - 1), zero, step)["out"]).alias("r")).select("dossier_id", "doc_id", "r.*")
+    claimed = F.filter("_z", lambda z: z["t"].isNotNull())
+    return sized.select("dossier_id", "doc_id", F.explode(F.aggregate(claimed, zero, step)["out"]).alias("r")).select("dossier_id", "doc_id", "r.*")
 
 
 def segments(docs: DataFrame, tags: DataFrame, switches: DataFrame) -> DataFrame:
     """The original text cut at the claims of all tags: seq, text, tag, category, masked (is the tag active)."""
     cut = _pieces(claim(docs, writings(tags)))
-    part = F.transform(F.sequence(F.lit(0), F.size("_texts") - 1), lambda i: F.array(F.struct(F.col("_texts")[i].alias("text"), F.lit(None).cast("string").alias("tag")), F.struct(F.get("_tags", i)["w"].alias("text"), F.get("_tags", i)["t"].alias("tag"))))
+    part = F.zip_with("_texts", "_tags", lambda g, t: F.array(F.struct(g.alias("text"), F.lit(None).cast("string").alias("tag")), F.struct(t["w"].alias("text"), t["t"].alias("tag"))))
     kept = F.filter(F.flatten(part), lambda s: s["text"].isNotNull() & (s["text"] != ""))
     rows = cut.select("dossier_id", "doc_id", F.posexplode(kept).alias("seq", "s")).select("dossier_id", "doc_id", "seq", "s.text", "s.tag")
     active = active_tags(tags, switches).select("dossier_id", "tag", F.lit(True).alias("_active"))

@@ -13,10 +13,11 @@ from tagmask.operators.restore import restore
 
 def existing_placeholders(docs: DataFrame) -> DataFrame:
     """dossier_id, doc_id, seq, position (from 0), placeholder: placeholders that incoming texts already have."""
-    found = docs.withColumn("_p", F.regexp_extract_all("text", F.lit(f"({STRICT})"), 1)).filter(F.size("_p") > 0).withColumn("_t", F.split("text", STRICT))
-    step = lambda acc, i: F.struct((acc["at"] + F.length(F.col("_t")[i]) + F.length(F.col("_p")[i])).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(F.col("_t")[i]))).alias("out"))
-    places = F.aggregate(F.sequence(F.lit(0), F.size("_p") - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
-    return found.select("dossier_id", "doc_id", F.posexplode(F.arrays_zip(places.alias("position"), F.col("_p").alias("placeholder"))).alias("seq", "w")).select("dossier_id", "doc_id", "seq", F.col("w.position").alias("position"), F.col("w.placeholder").alias("placeholder"))
+    parts = F.zip_with(F.split("text", STRICT), F.regexp_extract_all("text", F.lit(f"({STRICT})"), 1), lambda g, p: F.struct(F.length(g).alias("g"), p.alias("p")))
+    step = lambda acc, z: F.struct((acc["at"] + z["g"] + F.length(z["p"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + z["g"]).alias("position"), z["p"].alias("placeholder")))).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<position:int,placeholder:string>>").alias("out"))
+    placed = docs.select("dossier_id", "doc_id", parts.alias("_z")).select("dossier_id", "doc_id", F.posexplode(F.aggregate(F.filter("_z", lambda z: z["p"].isNotNull()), zero, step)["out"]).alias("seq", "w"))
+    return placed.select("dossier_id", "doc_id", "seq", F.col("w.position").alias("position"), F.col("w.placeholder").alias("placeholder"))
 
 
 def top_warnings(docs: DataFrame, n: int = 5) -> DataFrame:
@@ -85,9 +86,8 @@ def leak_audit(masked: DataFrame, tags: DataFrame, switches: DataFrame) -> DataF
     """Values of applied active tags that a masked text still holds; to be empty. Placeholders are not searched."""
     values = active_tags(tags, switches).filter("status = 'APPLIED'").select("dossier_id", "tag", "value")
     lists = values.groupBy("dossier_id").agg(F.collect_list(F.struct("tag", "value")).alias("_v"))
-    outside = F.split("masked", STRICT)
-    kept = F.filter("_v", lambda v: F.exists(outside, lambda s: F.contains(s, v["value"])))
-    return masked.join(lists, "dossier_id").select("dossier_id", "doc_id", F.explode(kept).alias("v")).select("dossier_id", "doc_id", "v.tag", "v.value")
+    kept = F.filter("_v", lambda v: F.exists("_o", lambda s: F.contains(s, v["value"])))
+    return masked.withColumn("_o", F.split("masked", STRICT)).join(lists, "dossier_id").select("dossier_id", "doc_id", F.explode(kept).alias("v")).select("dossier_id", "doc_id", "v.tag", "v.value")
 
 
 def round_trip_audit(docs: DataFrame, tags: DataFrame) -> DataFrame:
