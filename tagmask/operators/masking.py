@@ -101,9 +101,7 @@ def claim(docs: DataFrame, spelled: DataFrame) -> DataFrame:
 
 def _mark(rank: Column) -> Column:
     """The sentinel of a rank in the text's own range."""
-    c = lambda i: F.substring("_abc", i, 1)
-    digits = F.transform(F.filter(F.split(rank.cast("string"), ""), lambda d: d != ""), lambda d: F.col("_abc").substr(d.cast("int") + 2, F.lit(1)))
-    return F.concat(c(1), F.array_join(digits, ""), c(12))
+    return F.call_function("translate", _sentinel(rank), F.lit(_alphabet(_RANGES[0])), F.col("_abc"))
 
 
 def mask_text(docs: DataFrame, spelled: DataFrame) -> DataFrame:
@@ -112,12 +110,17 @@ def mask_text(docs: DataFrame, spelled: DataFrame) -> DataFrame:
     return claim(docs, spelled).withColumn("masked", masked).drop("_ws", "_folded", "_abc")
 
 
+#: Sentinel characters back to digits; open and close become blanks, which the cast ignores.
+_digits = " 0123456789 "
+
+
 def _pieces(claimed: DataFrame) -> DataFrame:
     """_texts: what lies between claims; _tags: the claimed (writing, tag) in order."""
     mark = F.concat(F.substring("_abc", 1, 1), F.lit("([^"), F.substring("_abc", 12, 1), F.lit("]*)"), F.substring("_abc", 12, 1))
-    by_rank = F.map_from_entries(F.transform("_ws", lambda w: F.struct(_mark(w["rank"]), F.struct(w["writing"].alias("w"), w["tag"].alias("t")))))
-    hits = F.regexp_extract_all("_folded", mark, F.lit(0))
-    return claimed.withColumn("_texts", F.split(F.col("_folded"), mark)).withColumn("_tags", F.transform(hits, lambda h: F.element_at(by_rank, h)))
+    rank = lambda h: F.call_function("translate", h, F.col("_abc"), F.lit(_digits)).try_cast("int")
+    found = lambda h: F.filter("_ws", lambda w: w["rank"] == rank(h))[0]
+    tags = F.transform(F.regexp_extract_all("_folded", mark, F.lit(0)), lambda h: F.struct(found(h)["writing"].alias("w"), found(h)["tag"].alias("t")))
+    return claimed.withColumn("_texts", F.split(F.col("_folded"), mark)).withColumn("_tags", tags)
 
 
 def claimed_regions(docs: DataFrame, spelled: DataFrame) -> DataFrame:
