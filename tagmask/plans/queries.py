@@ -585,7 +585,11 @@ def _made_spans(spark, sf):
     return line.select(F.lit("x").alias("dossier_id"), F.col("l_orderkey").alias("doc_id"), span_id.alias("span_id"), start.alias("start"), (start + (F.col("l_discount") * 100).cast("int") + 1).alias("end"), category.alias("category"), F.lit("v").alias("value"))
 
 
-@query("resolve_spans")
+@query("resolve_spans", f"""m AS (SELECT l_orderkey AS doc_id, l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber AS span_id, CAST(l_quantity AS INT) AS a, CAST(l_quantity AS INT) + CAST(trunc(l_discount * 100) AS INT) + 1 AS b, {list(CATEGORIES)}[l_partkey % 12 + 1] AS category FROM lineitem),
+p AS (SELECT *, CASE WHEN category IN ('CF', 'IBAN', 'PIVA') THEN 1 WHEN category IN ('EMAIL', 'TELEFONO', 'CATASTO', 'PRATICA') THEN 2 WHEN category IN ('DATA', 'IMPORTO') THEN 3 ELSE 4 END AS prio FROM m),
+l AS (SELECT doc_id, list([{{'s': span_id, 'a': a, 'b': b, 'c': category}}] ORDER BY prio, a - b, a, span_id) AS e FROM p GROUP BY doc_id),
+r AS (SELECT doc_id, unnest(list_reduce(e, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x[1].a < y.b AND y.a < x[1].b)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS w FROM l)
+SELECT doc_id, w.s AS span_id, w.a AS start, w.b AS "end", w.c AS category FROM r""")
 def _(spark, sf):
     return detect.resolve_spans(_made_spans(spark, sf)).select("doc_id", "span_id", "start", "end", "category")
 
@@ -611,7 +615,15 @@ def _(spark, sf):
 
 
 # --- state ---------------------------------------------------------------------------------------------------------------
-@query("replay_state")
+def _step(state: str, hash_: str, rejected: str) -> str:
+    return f"{{'event': '', 'digest': '', 'state': {state}, 'hash': CAST({hash_} AS VARCHAR), 'rej': {rejected}}}"
+
+
+@query("replay_state", f"""l AS (SELECT dossier_id, list({{'event': event, 'digest': digest, 'state': 'DRAFT', 'hash': CAST(NULL AS VARCHAR), 'rej': 0}} ORDER BY seq) AS e FROM state_events GROUP BY dossier_id),
+r AS (SELECT dossier_id, list_reduce(list_concat([{_step("'DRAFT'", "NULL", "0")}], e), lambda a, x: CASE WHEN x.event = 'analysed' THEN {_step("'PENDING_REVIEW'", "a.hash", "a.rej")}
+WHEN x.event = 'approve' AND a.state = 'PENDING_REVIEW' THEN {_step("'APPROVED'", "x.digest", "a.rej")} WHEN x.event = 'approve' THEN {_step("a.state", "a.hash", "a.rej + 1")}
+WHEN x.event = 'mutation' AND a.state = 'APPROVED' THEN {_step("'PENDING_REVIEW'", "NULL", "a.rej")} WHEN x.event = 'clear' THEN {_step("'DRAFT'", "NULL", "0")} ELSE a END) AS s FROM l)
+SELECT dossier_id, s.state AS state, s.hash AS approval_hash, CAST(s.rej AS INT) AS rejected FROM r""")
 def _(spark, sf):
     return state.replay_state(register(spark, sf, "state_events")["state_events"])
 
