@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagmask.llm.common import read, written
-from tagmask.llm.tokenise import encoder
-from tagmask.llm.vector_text import light
+from tagmask.llm.tokenise import Encoder
+from tagmask.llm.vector_text import give_back, light
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one ranking task should get about.
@@ -34,7 +34,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = Encoder(tokenizer_path)
         tail = np.array([] if end_id is None else [end_id], "<u4")
         for batch in light(batches):
             for first, ids, offsets in encode.encode(batch.column("text").to_pylist()):
@@ -47,7 +47,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
                         rows.append((first + i, piece, start, len(part), zlib.crc32(part.tobytes())))
                 row, piece, start, length, crc = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        encode.forget()
+        del encode  # the worker lives on after the task
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

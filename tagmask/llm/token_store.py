@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagmask.llm.common import new_path, read, written
-from tagmask.llm.tokenise import encoder
-from tagmask.llm.vector_text import light
+from tagmask.llm.tokenise import Encoder
+from tagmask.llm.vector_text import give_back, light
 
 END_ID = 2
 #: Ids in a file (more only where one document is longer), and bytes of a plane in a chunk.
@@ -159,7 +159,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
         ids, doc_ids, lengths, held, file = [], [], [], 0, 0
@@ -187,7 +187,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     held += size
         if held:
             yield flush()
-        encode.forget()
+        del encode  # the worker lives on after the task
+        give_back()
 
     return written(ordered.mapInArrow(write, "part int, file int, path string, docs long, ids long"), "tokens-list")
 

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from tagmask.llm.vector_text import mix
 
 #: Characters looked at together (one longer text makes a block of its own), and distinct pieces remembered by a task.
-BLOCK_CHARS, REMEMBERED = 500_000, 400_000
+BLOCK_CHARS, REMEMBERED = 300_000, 400_000
 OTHER, SPACE, LETTER, NUMBER = 0, 1, 2, 3
 #: Fixed values of the pieces' pattern: letters that may follow an apostrophe, one or two.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
@@ -140,7 +140,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Let go of the pieces seen (at the end of a task)."""
+        """Let go of the pieces seen."""
         self.known = Remembered()
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
@@ -211,13 +211,3 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(begins - total[:-1], lengths)]
         return ids, total[np.searchsorted(at, ends, "left")]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, once per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
