@@ -11,11 +11,22 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join counts as small; checked by a count before it is broadcast.
 BROADCAST_ROWS = 20_000
 
+#: Rows that Spark sends to Python at once; documents are long, and Spark's default of 10 000 holds tens of MB outside the heap.
+ARROW_ROWS = 1000
+
 _own_dirs: dict[str, str] = {}
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches, unless the session has set a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the folder `sf_dir`."""
+    _short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -48,6 +59,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """The rows of `df` as a table in the shared folder, read again: cuts the lineage and outlives lost executors."""
+    _short_batches(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
