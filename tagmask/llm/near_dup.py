@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmask.llm.common import attach, read, written
+from tagmask.llm.common import BROADCAST_ROWS, attach, read, written
 from tagmask.llm.vector_text import WORD, Block, as_text, blocks, light, mix
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -203,6 +203,29 @@ def connected(edges: DataFrame) -> DataFrame:
 PICKED_IDS, BLOCK = 500_000, 1000
 
 
+def _digest():
+    """A text as 32 bytes; null texts as none."""
+    return F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
+
+
+def _row_keys(base: DataFrame) -> DataFrame:
+    """(doc_id, text) with repeated ids -> the distinct rows with digest, extra and a key of their own.
+
+    The key is the id for one text of every id (the smallest digest); for the others (extra) it is a hash of id and text.
+    Keys are counted, and hashed anew should two be equal.
+    """
+    single = written(base.withColumn("digest", _digest()).dropDuplicates(["doc_id", "digest"]), "dup-single")
+    several = written(single.groupBy("doc_id").agg(F.min("digest").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "dup-several")
+    marked = attach(single, several, ["doc_id"], "digest").withColumn("extra", F.coalesce(F.col("digest") != F.col("least"), F.lit(False))).drop("least")
+    seed = 0
+    while True:
+        key = F.when(F.col("extra"), F.xxhash64(F.lit(seed), "doc_id", "digest")).otherwise(F.col("doc_id"))
+        keyed = written(marked.withColumn("key", key), "dup-keyed")
+        if keyed.groupBy("key").count().filter("count > 1").isEmpty():
+            return keyed
+        seed += 1
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) -> one row per row: doc_id, class_id (the smallest id of its class), kept (is it that id).
 
@@ -210,14 +233,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     bucket's most central text; where a bucket then still has several classes, its texts are compared across classes in
     blocks of bounded size, so that no pair of a bucket is left out. Comparison is exact (weighted Jaccard similarity of
     shingle counts, words lower-cased, punctuation left out). Null and empty texts have no words and are one class. Rows
-    that repeat an id are one document (of its texts the smallest counts). A null id counts as the smallest number.
+    that repeat id and text are one document; rows that only share an id, or have none, are documents of their own. A
+    null id counts as the smallest number. Of an id with several texts one names classes by the id; a class of none but
+    the others is named by a hash, and kept goes by row, not by id.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    return _decided(docs, threshold, words, count, rows).select("doc_id", "class_id", "kept")
+
+
+def _decided(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE, count: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As near_duplicates; where ids repeat, with the digest of each row's text."""
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    base = docs.select(own_id.alias("doc_id"), "text")
     sign = lambda rows_in: written(rows_in.mapInArrow(_signer(words, count, rows), "doc_id long, key binary, weight long, bands array<long>"), "dup-signed")
-    signed, ids = sign(base), base.select("doc_id")
+    signed = sign(base)
     repeats = not signed.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if repeats:
-        base = written(base.groupBy("doc_id").agg(F.min("text").alias("text")), "dup-single")
+        keyed = _row_keys(base)
+        base = keyed.select(F.col("key").alias("doc_id"), "text")
         signed = sign(base)
 
     copies = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "dup-copies")
@@ -251,21 +283,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         classes = written(connected(links.unionByName(more)), "dup-all-classes")
     final = attach(mapped, classes.withColumnRenamed("id", "rep"), ["rep"], "doc_id")
     final = written(final.select("doc_id", F.coalesce("comp", "rep").alias("class_id")), "dup-result")
-    out = ids.join(final, "doc_id") if repeats else final
     null = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c)
-    return out.select(null("doc_id"), null("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    if not repeats:
+        return final.select(null("doc_id"), null("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    of_keys = keyed.select("doc_id", "digest", "extra", "key").join(final.select(F.col("doc_id").alias("key"), F.col("class_id").alias("comp")), "key")
+    of_keys = written(of_keys, "dup-of-keys")
+    named = written(of_keys.groupBy("comp").agg(F.min(F.struct("extra", "key")).alias("b")).select("comp", F.col("b.key").alias("class_id")), "dup-named")
+    of_rows = attach(of_keys, named, ["comp"], "key").select(F.col("doc_id").alias("id"), "digest", "class_id", (F.col("key") == F.col("class_id")).alias("kept"))
+    each = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_id.alias("id"), _digest().alias("digest"), F.monotonically_increasing_id().alias("place")), "dup-each")
+    return attach(each, written(of_rows, "dup-of-rows"), ["id", "digest"], "place").select("doc_id", "digest", null("class_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with one row of each class: the one with the smallest id. All columns are kept."""
-    classes = written(near_duplicates(docs, threshold), "dup-decided")
-    gone = classes.filter(~F.coalesce("kept", F.lit(True))).select("doc_id").distinct()
-    few = gone.limit(PICKED_IDS + 1).count() <= PICKED_IDS
-    gone = gone.withColumnRenamed("doc_id", "_gone")
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    if classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left
-    return left.dropDuplicates(["doc_id"])
+    """`docs` with one row of each class: the one that names it. All columns are kept."""
+    classes = written(_decided(docs, threshold), "dup-decided")
+    gone = classes.filter(~F.col("kept"))
+    if "digest" not in classes.columns:
+        gone = gone.select(F.col("doc_id").alias("_gone"))
+        few = gone.limit(PICKED_IDS + 1).count() <= PICKED_IDS
+        return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = written(gone.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_gone_digest")).distinct(), "dup-gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = docs.withColumn("_digest", _digest())
+    same = marked["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest"))
+    return marked.join(F.broadcast(gone) if few else gone, same, "left_anti").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

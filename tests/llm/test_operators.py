@@ -197,6 +197,24 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dup.near_duplicates(odd_rows(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_rows_with_one_id(spark):
+    """Rows that share an id, or have none, but differ in text: each belongs to the class of its own text."""
+    rng = random.Random(8)
+    base = [[f"t{k}w{rng.randrange(300)}" for _ in range(60)] for k in range(6)]
+    texts = [edited(rng, base[i % 6], rng.randrange(0, 3)) for i in range(36)] + [f"alone {i} among all of them" for i in range(12)]
+    ids = [None if i % 3 == 0 else i % 10 for i in range(len(texts))]
+    rows = [*zip(ids, texts, strict=True), (ids[7], texts[7]), (None, texts[0]), (2, None), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(brute_classes(enumerate(t for _, t in rows)).values())
+    got = near_dup.near_duplicates(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert sorted(Counter(r.class_id for r in got).values()) == sorted(want.values())
+    left = [(r.doc_id, r.text) for r in near_dup.drop_near_duplicates(docs).collect()]
+    classes = brute_classes(enumerate(t for _, t in rows))
+    of_text = {t: classes[i] for i, (_, t) in enumerate(rows)}
+    assert set(left) <= set(rows) and sorted(of_text[t] for _, t in left) == sorted(want)
+
+
 def test_dart_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(1)
     element = np.arange(400, dtype=np.uint64)
