@@ -89,6 +89,7 @@ class Remembered:
     def __init__(self):
         self.head, self.tail = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
         self.size, self.code = np.zeros(self.SLOTS, np.uint8), np.zeros(self.SLOTS, np.int32)
+        self.used = 0
 
     @staticmethod
     def keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +118,9 @@ class Remembered:
         return found
 
     def add(self, head: np.ndarray, tail: np.ndarray, size: np.ndarray, code: np.ndarray) -> None:
-        """Put in distinct new pieces."""
-        slot, left = self.slot(head, tail), np.arange(len(head))
+        """Put in distinct new pieces, until half of the slots are used; the others stay new."""
+        slot, left = self.slot(head, tail), np.arange(min(len(head), self.SLOTS // 2 - self.used))
+        self.used += len(left)
         while len(left):
             at, one = np.unique(slot[left], return_index=True)
             free = self.size[at] == 0

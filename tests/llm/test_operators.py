@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import signal
 import zlib
 from collections import Counter, defaultdict
 
@@ -247,6 +248,27 @@ def test_ids_are_those_of_the_library(name, docs):
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)] + [[]]
 
 
+def test_more_pieces_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(tokenise.Remembered, "SLOTS", 64)
+
+    def late(*_):
+        raise TimeoutError("the table of pieces never takes them all")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        texts = [" ".join(map(str, range(3000))), "1 2 3", " ".join(map(str, range(2000, 4000)))] * 2
+        encode, got = tokenise.Encoder(path), []
+        for text in texts:
+            got += [ids.tolist() for _, ids, _ in encode.encode([text])]
+        assert encode.known.used <= 32
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(4)
     for n in (0, 1, 7, 300_001):
