@@ -5,14 +5,20 @@ The claim rule is the same: writings in rank order take their occurrences from l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Writings that the automaton of a task may hold; more are refused, not dropped.
-MOST_WRITINGS = 2_000_000
+#: Writings that the automaton of a task holds at once; a larger table is dealt into shards.
+MOST_WRITINGS = 250_000
 
 
 def claim_hits(text: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -25,38 +31,91 @@ def claim_hits(text: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted(won)
 
 
+def _automaton(writings: Iterable[tuple[int, str, str]]) -> ahocorasick.Automaton:
+    """Of (rank, writing, tag) in rank order."""
+    machine = ahocorasick.Automaton()
+    for rank, writing, tag in writings:
+        if writing not in machine:
+            machine.add_word(writing, (rank, len(writing), tag))
+    machine.make_automaton()
+    return machine
+
+
+def _found(machine: ahocorasick.Automaton, text: str | None) -> list[tuple[int, int, int, str]]:
+    """All hits (rank, start, end, tag), overlapping ones too."""
+    if text is None or not len(machine):
+        return []
+    return [(rank, end + 1 - size, end + 1, tag) for end, (rank, size, tag) in machine.iter(text)]
+
+
+def _masked(text: str | None, hits: list[tuple[int, int, int, str]]) -> str | None:
+    if text is None:
+        return None
+    tags = {rank: tag for rank, _, _, tag in hits}
+    parts, at = [], 0
+    for start, end, rank in claim_hits(text, [h[:3] for h in hits]):
+        parts += [text[at:start], tags[rank]]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def _shard_file(shard: DataFrame) -> str:
+    """The name of a file with a shard's writings in rank order, which every executor fetches; rows pass one at a time."""
+    context = shard.sparkSession.sparkContext
+    name = f"writings-{uuid.uuid4().hex}"
+    path = f"{tempfile.mkdtemp(prefix='tagmask-')}/{name}"
+    with open(path, "wb") as file:
+        for r in shard.orderBy("rank").toLocalIterator():
+            pickle.dump((r["rank"], r.writing, r.tag), file)
+    context.addFile(path)
+    return name
+
+
+def _read_shard(name: str) -> Iterator[tuple[int, str, str]]:
+    with open(SparkFiles.get(name), "rb") as file:
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
+
+
 def mask_wide(docs: DataFrame, ranked: DataFrame, most: int = MOST_WRITINGS) -> DataFrame:
-    """`docs` plus `masked`, by (rank, writing, tag) that hold for all documents. The table is counted before it is sent."""
-    if ranked.count() > most:
-        raise ValueError(f"more than {most} writings: use tables per dossier")
-    table = docs.sparkSession.sparkContext.broadcast([(r["rank"], r.writing, r.tag) for r in ranked.orderBy("rank").toLocalIterator()])
-    built: list = []
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not built:
-            machine = ahocorasick.Automaton()
-            for rank, writing, tag in table.value:
-                if writing not in machine:
-                    machine.add_word(writing, (rank, len(writing), tag))
-            machine.make_automaton()
-            built.append(machine)
-        machine = built[0]
-
-        def mask(text: str | None) -> str | None:
-            if text is None or not len(machine):
-                return text
-            tags, hits = {}, []
-            for end, (rank, size, tag) in machine.iter(text):
-                hits.append((rank, end + 1 - size, end + 1))
-                tags[rank] = tag
-            parts, at = [], 0
-            for start, end, rank in claim_hits(text, hits):
-                parts += [text[at:start], tags[rank]]
-                at = end
-            return "".join([*parts, text[at:]])
+    """`docs` plus `masked`, by (rank, writing, tag) that hold for all documents.
+
+    Beyond `most` writings the table is dealt into shards by hash of the writing: every text meets every shard, all hits
+    of a text are brought together, and only then they claim, so the result is that of one automaton.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    shards = -(-ranked.count() // most)
+    if shards <= 1:
+        name = _shard_file(ranked)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            machine = _automaton(_read_shard(name))
+            for frame in frames:
+                yield frame.assign(masked=[_masked(t, _found(machine, t)) for t in frame["text"]])
+
+        return docs.mapInPandas(run, f"{fields}, masked string")
 
+    def finder(name: str):
+        def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            machine = _automaton(_read_shard(name))
+            for frame in frames:
+                rows = [(key, *hit) for key, text in zip(frame["_key"], frame["text"], strict=True) for hit in _found(machine, text)]
+                yield pd.DataFrame(rows, columns=["_key", "rank", "start", "end", "tag"])
+
+        return find
+
+    texts = docs.select(F.sha2("text", 256).alias("_key"), "text").dropDuplicates(["_key"])
+    dealt = ranked.withColumn("_shard", F.pmod(F.xxhash64("writing"), F.lit(shards)))
+    parts = [texts.mapInPandas(finder(_shard_file(dealt.filter(F.col("_shard") == i))), "_key string, rank long, start long, end long, tag string") for i in range(shards)]
+    hits = reduce(DataFrame.unionAll, parts).groupBy("_key").agg(F.collect_list(F.struct("rank", "start", "end", "tag")).alias("_hits"))
+
+    def claim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(masked=frame["text"].map(mask))
+            found = [[] if h is None else [(x["rank"], x["start"], x["end"], x["tag"]) for x in h] for h in frame["_hits"]]
+            yield frame.drop(columns="_hits").assign(masked=[_masked(t, h) for t, h in zip(frame["text"], found, strict=True)])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{fields}, masked string")
+    joined = docs.withColumn("_key", F.sha2("text", 256)).join(hits, "_key", "left").select(*docs.columns, "_hits")
+    return joined.mapInPandas(claim, f"{fields}, masked string")

@@ -99,3 +99,12 @@ def test_empty_tables(spark):
     none = docs_of(spark).limit(0) if False else spark.createDataFrame([], "dossier_id string, doc_id string, arrival long, text string")
     assert masking.mask_documents(none, tags_of(spark, "x")).count() == 0
     assert masking.mask_documents(docs_of(spark, "x", None), tags_of(spark, "y").limit(0)).orderBy("doc_id").first().masked == "x"
+
+
+def test_wide_table_in_shards(spark):
+    rng = random.Random(4)
+    values = list({"".join(rng.choice("ab1[é") for _ in range(rng.randint(1, 4))) for _ in range(40)})
+    texts = ["".join(rng.choice("ab1[é") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", None]
+    docs, table = docs_of(spark, *texts), masking.writings(tags_of(spark, *values)).select("rank", "writing", "tag")
+    got = [[(r.doc_id, r.masked) for r in wide.mask_wide(docs, table, most).orderBy("doc_id").collect()] for most in (1000, 15)]
+    assert got[0] == got[1] and any("PERSONA" in (m or "") for _, m in got[1])
