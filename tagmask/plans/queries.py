@@ -247,6 +247,18 @@ def _(spark, sf):
     return restore.restore(restore.apply_fragment_fixes(masked, fixes), tags).select("dossier_id", "answer_id", "verdict")
 
 
+@query("fragment_fixes_whole", TAGS[1:] + """ SELECT dossier_id, doc_id AS answer_id, CASE WHEN arrival % 7 = 0 THEN 'UNKNOWN' ELSE 'OK' END AS verdict, CASE WHEN arrival % 7 <> 0 THEN text END AS restored FROM letters""")
+def _(spark, sf):
+    """Every masked letter with altered placeholders; the fixes of each seventh name a tag that the dossier has not."""
+    docs, tags = _tags(spark, sf)
+    masked = masking.mask_documents(docs, tags).select("dossier_id", "arrival", F.col("doc_id").alias("answer_id"), F.regexp_replace("masked", r"\[PERSONA_(\d+)\]", "[Persona $1]").alias("text"))
+    bad = masked.select("dossier_id", "answer_id", "arrival", F.posexplode(F.array_distinct(fn.altered(F.col("text")))).alias("seq", "fragment"))
+    right = F.regexp_replace(F.upper("fragment"), " ", "_")
+    fixes = bad.withColumn("tag", F.when(F.col("arrival") % 7 == 0, F.lit("[PERSONA_999999999]")).otherwise(right)).drop("arrival")
+    fixed = restore.apply_fragment_fixes(masked.drop("arrival"), fixes)
+    return restore.restore(fixed, masking.restore_dictionary(tags)).select("dossier_id", "answer_id", "verdict", "restored")
+
+
 @query("missing_values", TAGS[1:] + HITS + """, said AS (SELECT dossier_id, doc_id, unnest(list_distinct(regexp_extract_all(masked, '\\[[A-Z]+_[0-9]+\\]'))) AS tag FROM masks)
 SELECT m.dossier_id, m.doc_id AS answer_id, t.tag FROM masks m JOIN tags t ON m.dossier_id = t.dossier_id ANTI JOIN said s ON m.dossier_id = s.dossier_id AND m.doc_id = s.doc_id AND t.tag = s.tag""")
 def _(spark, sf):
@@ -524,6 +536,15 @@ def _(spark, sf):
     return responses.drop_failed_dossiers(raw, verdicts).groupBy("dossier_id").agg(F.count("*").alias("n"))
 
 
+@query("drop_failed_dossiers_whole", """d AS (SELECT *, 'C' || (p_partkey // 8) AS d FROM persons), f AS (SELECT DISTINCT d FROM d WHERE p_partkey % 17 = 0 OR p_partkey % 19 = 0 OR (p_partkey % 23 <> 0 AND (p_partkey % 29 = 0 OR p_partkey % 31 = 0 OR p_partkey % 37 = 0))),
+ok AS (SELECT * FROM d WHERE p_partkey % 23 <> 0 AND d NOT IN (SELECT d FROM f))
+SELECT d AS dossier_id, CAST(p_partkey AS VARCHAR) AS doc_id, CAST(0 AS INT) AS det_seq, person AS value, 'PERSONA' AS category FROM ok UNION ALL SELECT d, CAST(p_partkey AS VARCHAR), 1, '2024-01-0' || (p_partkey % 9 + 1), 'DATA' FROM ok""")
+def _(spark, sf):
+    """All responses, eight to a dossier, so that some dossiers are left at every size."""
+    raw = register(spark, sf, "responses")["responses"].withColumn("dossier_id", F.concat(F.lit("C"), F.floor(F.col("arrival") / 8).cast("string")))
+    return responses.drop_failed_dossiers(responses.parse_responses(raw), responses.response_verdicts(raw)).drop("arrival")
+
+
 @query("find_vault", """i AS (SELECT sha256('lettera_' || (number % 7)) AS h, 'V' || number AS vault_id FROM letter_parts WHERE number % 7 < 5 AND number <= 40), f AS (SELECT DISTINCT 'lettera_' || (number % 7) AS n FROM letter_parts)
 SELECT n || '.mascherato.txt' AS filename, CASE WHEN count(DISTINCT vault_id) = 1 THEN any_value(vault_id) END AS vault_id, coalesce(list(DISTINCT vault_id ORDER BY vault_id) FILTER (vault_id IS NOT NULL), []) AS candidates FROM f LEFT JOIN i ON sha256(n) = h GROUP BY n""")
 def _(spark, sf):
