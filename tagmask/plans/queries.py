@@ -554,6 +554,17 @@ def _(spark, sf):
     return ingest.find_vault(parts.select(F.concat(name, F.lit(".mascherato.txt")).alias("filename")).distinct(), index)
 
 
+@query("find_vault_whole", """i AS (SELECT sha256('lettera_' || number) AS h, 'V' || number AS vault_id FROM letter_parts WHERE number % 7 < 5 UNION ALL SELECT sha256('lettera_' || number), 'W' || number FROM letter_parts WHERE number % 11 = 0)
+SELECT 'lettera_' || number || '.mascherato.txt' AS filename, CASE WHEN count(DISTINCT vault_id) = 1 THEN any_value(vault_id) END AS vault_id, coalesce(list(DISTINCT vault_id ORDER BY vault_id) FILTER (vault_id IS NOT NULL), []) AS candidates FROM letter_parts LEFT JOIN i ON sha256('lettera_' || number) = h GROUP BY number""")
+def _(spark, sf):
+    """Every letter has a name of its own and is looked up; some names are in no vault, some in two."""
+    parts = register(spark, sf, "letter_parts")["letter_parts"]
+    name, digit = F.concat(F.lit("lettera_"), F.col("number").cast("string")), F.col("number").cast("string")
+    entry = lambda kind, some: parts.filter(some).select(F.sha2(name, 256).alias("name_sha256"), F.concat(F.lit(kind), digit).alias("vault_id"))
+    index = entry("V", "number % 7 < 5").unionByName(entry("W", "number % 11 = 0"))
+    return ingest.find_vault(parts.select(F.concat(name, F.lit(".mascherato.txt")).alias("filename")), index)
+
+
 # --- checks and detectors ------------------------------------------------------------------------------------------------
 _ODD = "[" + ",".join(map(str, fn.CF_ODD)) + "]"
 _NUM = "(ascii(c) - CASE WHEN ascii(c) < 65 THEN 48 ELSE 55 END)"
@@ -682,8 +693,8 @@ def scratch(spark: SparkSession) -> str:
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='tagmask-')).rstrip('/')}/tagmask-{uuid.uuid4().hex}"
 
 
-@query("vault_round_trip", TAGS[1:] + " SELECT dossier_id, CAST(NULL AS VARCHAR) AS error, count(*) AS tags FROM tags GROUP BY dossier_id")
-def _(spark, sf):
+def _round_trip(spark: SparkSession, sf: str, rounds: int) -> DataFrame:
+    """Every dossier sealed, written, read and opened."""
     docs, tags = _tags(spark, sf)
     dossiers = docs.select("dossier_id").distinct().withColumn("state", F.lit("PENDING_REVIEW")).withColumn("approval_hash", F.lit(None).cast("string"))
     none = spark.createDataFrame([], "dossier_id string, merge_id string, category string, tag_a string, tag_b string, resolved boolean")
@@ -692,8 +703,23 @@ def _(spark, sf):
     texts = docs.withColumn("page_offsets", F.array(F.lit(0))).withColumn("sha256", F.sha2("text", 256))
     jsons = vault.dossier_json(dossiers, texts, tags, none, docs.select("dossier_id", "doc_id"), switches, counters)
     path = scratch(spark)
-    vault.write_vault(jsons, "prova", rounds=100).write.parquet(path)
-    return vault.read_vault(spark.read.parquet(path), "prova").select("dossier_id", "error", F.size("data.tags").cast("long").alias("tags"))
+    vault.write_vault(jsons, "prova", rounds=rounds).write.parquet(path)
+    return vault.read_vault(spark.read.parquet(path), "prova")
+
+
+@query("vault_round_trip", TAGS[1:] + " SELECT dossier_id, CAST(NULL AS VARCHAR) AS error, count(*) AS tags FROM tags GROUP BY dossier_id")
+def _(spark, sf):
+    return _round_trip(spark, sf, 100).select("dossier_id", "error", F.size("data.tags").cast("long").alias("tags"))
+
+
+@query("vault_round_trip_whole", TAGS[1:] + """, texts AS (SELECT dossier_id, string_agg(doc_id || chr(31) || filename || chr(31) || text || chr(31) || sha256(text), chr(30) ORDER BY doc_id) AS t FROM letters GROUP BY dossier_id),
+named AS (SELECT dossier_id, string_agg(tag || chr(31) || category || chr(31) || value, chr(30) ORDER BY pos) AS n FROM tags GROUP BY dossier_id)
+SELECT t.dossier_id, CAST(NULL AS VARCHAR) AS error, sha256(t) AS texts, sha256(n) AS tags FROM texts t JOIN named n ON t.dossier_id = n.dossier_id""")
+def _(spark, sf):
+    """With the rounds that vaults are sealed with, and digests of all texts and tags that come back."""
+    joined = lambda rows, *fields: F.sha2(F.array_join(F.transform(rows, lambda x: F.concat_ws("\x1f", *[x[f] for f in fields])), "\x1e"), 256)
+    texts, tags = joined("data.documents", "doc_id", "filename", "text", "sha256"), joined("data.tags", "tag", "categoria", "valore")
+    return _round_trip(spark, sf, vault.ROUNDS).select("dossier_id", "error", texts.alias("texts"), tags.alias("tags"))
 
 
 @query("stream_analyse", TAGS[1:] + " SELECT dossier_id, category, value FROM tags")
