@@ -1,15 +1,14 @@
 """Public BPE tokenizers over whole text columns.
 
 A BPE tokenizer cuts a text into pieces by a fixed pattern and encodes each piece by itself. Here the cutting is done for
-whole blocks of text at once (classes of characters, compared with their neighbours), pieces
-seen before are looked up, and the tokenizers library encodes each new one. The ids are those of `Tokenizer.encode`
-with add_special_tokens=False on the whole text; strings of special tokens are ordinary text.
+whole blocks of text at once (classes of characters, compared with their neighbours), pieces seen before are looked up,
+and the BPE model of the tokenizers library encodes each new one. The ids are those of `Tokenizer.encode` with
+add_special_tokens=False on the whole text. Texts that hold the string of a special token go to that method whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,70 +81,86 @@ class Pieces:
 
 
 class Remembered:
-    """A hash table from short pieces (at most 16 bytes, compared exactly) to numbers, looked up by whole arrays."""
+    """A hash table from short pieces (at most 15 bytes, compared exactly) to numbers, looked up by whole arrays."""
 
-    SLOTS = 1 << 20
+    SLOTS, LONGEST = 1 << 20, 15
 
     def __init__(self):
+        #: First eight bytes; the following seven under the size (never 0, so 0 marks a free slot); number.
         self.head, self.tail = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
-        self.size, self.code = np.zeros(self.SLOTS, np.uint8), np.zeros(self.SLOTS, np.int32)
+        self.code = np.zeros(self.SLOTS, np.int32)
         self.used = 0
 
     @staticmethod
     def keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First eight and, of longer pieces, the following bytes up to sixteen, as numbers."""
+        """(head, tail) of pieces of at most 15 bytes."""
         padded = np.concatenate([data, np.zeros(16, np.uint8)])
-        parts = []
-        for shift in (0, 8):
-            number = np.zeros(len(begin), np.uint64)
-            for i in range(8):
-                number |= np.where(size > shift + i, padded[begin + shift + i], 0).astype(np.uint64) << np.uint64(8 * i)
-            parts.append(number)
-        return parts[0], parts[1]
+        eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        low = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+        head = eight[begin] & low[np.minimum(size, 8)]
+        tail = eight[np.minimum(begin + 8, len(data))] & low[np.clip(size - 8, 0, 7)]
+        return head, tail | size.astype(np.uint64) << np.uint64(56)
 
     def slot(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        return (mix(head ^ mix(tail, 1)) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        return (mix(head ^ tail * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(self.SLOTS - 1)).astype(np.int64)
 
-    def find(self, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def find(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
         """Numbers of the pieces, -1 for new ones."""
-        slot, found, left = self.slot(head, tail), np.full(len(head), -1, np.int64), np.arange(len(head))
+        slot = self.slot(head, tail)
+        there = self.tail[slot]
+        same = (there == tail) & (self.head[slot] == head)
+        found = np.where(same, self.code[slot], -1)
+        left = np.flatnonzero(~same & (there > 0))
         while len(left):
+            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
             at = slot[left]
-            same = (self.head[at] == head[left]) & (self.tail[at] == tail[left]) & (self.size[at] == size[left])
+            there = self.tail[at]
+            same = (there == tail[left]) & (self.head[at] == head[left])
             found[left[same]] = self.code[at[same]]
-            left = left[~same & (self.size[at] > 0)]
-            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+            left = left[~same & (there > 0)]
         return found
 
-    def add(self, head: np.ndarray, tail: np.ndarray, size: np.ndarray, code: np.ndarray) -> None:
+    def add(self, head: np.ndarray, tail: np.ndarray, code: np.ndarray) -> None:
         """Put in distinct new pieces, until half of the slots are used; the others stay new."""
-        slot, left = self.slot(head, tail), np.arange(min(len(head), self.SLOTS // 2 - self.used))
+        left = np.arange(min(len(head), self.SLOTS // 2 - self.used))
+        slot = self.slot(head[left], tail[left])
         self.used += len(left)
         while len(left):
             at, one = np.unique(slot[left], return_index=True)
-            free = self.size[at] == 0
+            free = self.tail[at] == 0
             at, put = at[free], left[one[free]]
-            self.head[at], self.tail[at], self.size[at], self.code[at] = head[put], tail[put], size[put], code[put]
-            left = np.setdiff1d(left, put, assume_unique=True)
-            taken = self.size[slot[left]] > 0
+            self.head[at], self.tail[at], self.code[at] = head[put], tail[put], code[put]
+            waiting = np.ones(len(slot), bool)
+            waiting[put] = False
+            left = left[waiting[left]]
+            taken = self.tail[slot[left]] > 0
             slot[left[taken]] = (slot[left[taken]] + 1) & (self.SLOTS - 1)
 
 
+def byte_letters() -> np.ndarray:
+    """The code point that stands for each byte in a byte-level BPE: itself if it is a visible Latin-1 character, else the next from 256 on."""
+    visible = np.zeros(256, bool)
+    for first, last in (("!", "~"), ("\xa1", "\xac"), ("\xae", "\xff")):
+        visible[ord(first) : ord(last) + 1] = True
+    return np.where(visible, np.arange(256), 255 + np.cumsum(~visible)).astype("<u4")
+
+
 class Encoder:
     """ids of whole texts, with a bounded memory of the pieces seen."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = self.tokenizer.normalizer is not None
         self.pieces = Pieces(self.words)
         self.forget()
 
     def forget(self) -> None:
         """Let go of the pieces seen."""
-        self.known = Remembered()
-        self.lengths = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.known, self.count, self.filled = Remembered(), 0, 0
+        self.begins, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.int32)
 
     def _prepared(self, text: str) -> str:
         """Normalised as the tokenizer does; below U+0300 that is lower case (no composition, no special cases but U+0130)."""
@@ -155,26 +170,46 @@ class Encoder:
             return text.lower()
         return self.tokenizer.normalizer.normalize_str(text)
 
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Encode distinct pieces; their numbers, places in self.begins and self.lengths."""
+        _, ends, data = pieces.buffers()
+        places = np.frombuffer(ends, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        spelt = self.letters[np.frombuffer(data, np.uint8)[: places[-1]]].tobytes().decode("utf-32-le")
+        tokenize, ids, sizes = self.model.tokenize, [], []
+        bounds = places.tolist()
+        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+            found = tokenize(spelt[begin:end])
+            sizes.append(len(found))
+            ids.extend([t.id for t in found])
+        first, self.count = self.count, self.count + len(sizes)
+        while self.count > len(self.begins):
+            self.begins, self.lengths = np.tile(self.begins, 2), np.tile(self.lengths, 2)
+        while self.filled + len(ids) > len(self.flat):
+            self.flat = np.tile(self.flat, 2)
+        self.lengths[first : self.count] = sizes
+        self.begins[first : self.count] = self.filled + np.cumsum(sizes) - sizes
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        return np.arange(first, self.count)
+
     def _codes(self, pieces: pa.Array, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces, places in self.lengths; new pieces are encoded, and remembered if they are short."""
-        if len(self.lengths) > REMEMBERED:
+        """Numbers of the pieces; new pieces are encoded, and remembered if they are short."""
+        if self.count > REMEMBERED:
             self.forget()
         size = end - begin
-        head, tail = self.known.keys(data, begin, size)
-        codes = np.full(len(begin), -1, np.int64)
-        short = size <= 16
-        codes[short] = self.known.find(head[short], tail[short], size[short])
+        short = size <= Remembered.LONGEST
+        head, tail = self.known.keys(data, begin, np.minimum(size, Remembered.LONGEST))
+        codes = self.known.find(head, tail)
+        codes[~short] = -1
         new = np.flatnonzero(codes < 0)
         if len(new):
             coded = pieces.take(pa.array(new)).dictionary_encode()
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-            index = np.asarray(coded.indices)
-            codes[new] = len(self.lengths) + index
-            _, one = np.unique(index, return_index=True)
-            one = new[one][size[new[one]] <= 16]
-            self.known.add(head[one], tail[one], size[one], codes[one])
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, encoded), np.int64, len(encoded))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(encoded), np.int32)])
+            index, numbers = np.asarray(coded.indices), self._learn(coded.dictionary)
+            codes[new] = numbers[index]
+            one = np.zeros(len(numbers), np.int64)
+            one[index[::-1]] = new[::-1]
+            one = one[short[one]]
+            self.known.add(head[one], tail[one], codes[one])
         return codes
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -183,18 +218,26 @@ class Encoder:
         while first < len(texts):
             block, size = [], 0
             while first + len(block) < len(texts) and (not block or size + len(texts[first + len(block)] or "") <= BLOCK_CHARS):
-                block.append(self._prepared(texts[first + len(block)] or ""))
+                text = texts[first + len(block)] or ""
+                if any(s in text for s in self.special):
+                    break
+                block.append(self._prepared(text))
                 size += len(block[-1])
-            yield first, *self._block(block)
-            first += len(block)
+            if block:
+                yield first, *self._block(block)
+                first += len(block)
+            else:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+                yield first, ids, np.array([0, len(ids)])
+                first += 1
 
     def _block(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(block)
         data = joined.encode("utf-8", "replace")
-        code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         ends = np.cumsum([0, *map(len, block)])
-        if not len(code):
+        if not joined:
             return np.zeros(0, np.int32), np.zeros(len(block) + 1, np.int64)
+        code = np.frombuffer(data, np.uint8) if len(data) == len(joined) else np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         start, kind = self.pieces.starts(code, ends[:-1])
         at = np.flatnonzero(start)
         if len(data) == len(code):
@@ -209,7 +252,6 @@ class Encoder:
             begin, end, at, pieces = begin[keep], end[keep], at[keep], pieces.filter(pa.array(keep))
         codes = self._codes(pieces, np.frombuffer(data, np.uint8), begin, end)
         lengths = self.lengths[codes]
-        begins = np.concatenate([[0], np.cumsum(self.lengths)])[codes]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(begins - total[:-1], lengths)]
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.begins[codes] - total[:-1], lengths)]
         return ids, total[np.searchsorted(at, ends, "left")]

@@ -233,15 +233,15 @@ def test_dart_signature_estimates_weighted_similarity():
 
 
 # --- tokens --------------------------------------------------------------------------------------------------------------
-PARTS = ["'s", "'re", "'", "''", " ", "  ", "\n", "a", "b", "é", "É", "1", "22", "!", "'ll", " '", "'t", " ", "é", "İ", "Σ", "ΑΣ", "中", "🙂", "'S", "\t", "<|endoftext|>", "ﬁ", "½", "_", "\x85", "\x00", "abcdefghijklmnopqrstu"]
+PARTS = ["'s", "'re", "'", "''", " ", "  ", "\n", "a", "b", "é", "É", "1", "22", "!", "'ll", " '", "'t", " ", "é", "İ", "Σ", "ΑΣ", "中", "🙂", "'S", "\t", "<|endoftext|>", "ﬁ", "½", "_", "\x85", "\x00", "abcdefghijklmnopqrstu", "<|startoftext|>", "<|end", "\u00a0"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_those_of_the_library(name, docs):
     rng = random.Random(2)
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + [r.text for r in docs.select("text").collect()]
+    texts += ["a <|endoftext|> b", "A<|startoftext|>B", "<|endoftext|>" * 3, "ÀB <|endoftext|>\n c"]
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     encode, got = tokenise.Encoder(public_tokenizers.path(name)), []
     for _, ids, offsets in encode.encode([*texts, None]):
         got += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -353,6 +353,22 @@ def test_packing_odd_rows(spark):
     assert packing.pack_documents(odd_rows(spark).limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_pieces_are_those_of_the_library(spark, docs):
+    """start, length and ids_crc32 of every piece, on whole texts with special strings among them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    some = docs.select("doc_id", "text").unionByName(odd_rows(spark).select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    some = some.unionByName(spark.createDataFrame([(-1, "a <|endoftext|> b"), (-2, "<|startoftext|>" * 5000)], "doc_id long, text string"))
+    library, want = Tokenizer.from_file(path), Counter()
+    for r in some.collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[(r.doc_id, piece, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    rows = packing.pack_documents(some, path).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    check_packing(rows, 4096)
+
+
 # --- media and archives --------------------------------------------------------------------------------------------------
 def test_interleaving():
     html = "<p>One &amp; two<img src='a.png' alt='A'>three</p><script>x<img src=no></script><figure><img src='b'><video src='c'></video><figcaption>cap <b>tion</b></figcaption></figure>end"
