@@ -1,8 +1,8 @@
 """WARC archives of page captures, with revisit records and a globally ordered capture index.
 
-Tasks write archives (one gzip member per record) and, for each, a run of index entries sorted by URL key and time. The
+Tasks write archives (one gzip member per record) and, for each, a run file of index entries sorted by URL key and time. The
 runs are merged externally: ranges of (key, time, place) are cut from the runs' own keys, and in each range a loser tree
-merges the parts of all runs. Reading back goes over the archive files themselves.
+merges the run files, of which it holds one block each. Reading back goes over the archive files themselves.
 """
 
 from __future__ import annotations
@@ -15,19 +15,24 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
+import pyarrow.ipc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tagmask.llm.common import attach, new_path, read, written
+from tagmask.llm.vector_text import light
 
-#: Bytes of payload after which a task begins a new archive, index entries that one merging task should get about.
-ARCHIVE_BYTES, MERGED_TOGETHER = 32_000_000, 50_000
+#: Bytes of payload, and records, after which a task begins a new archive.
+ARCHIVE_BYTES, ARCHIVE_ENTRIES = 32_000_000, 100_000
+#: Entries of a block of a run file, keys that a run gives to the sample, run files that one loser tree merges, entries that
+#: one merging task should get about, and ranges at most (their keys go to every task; beyond, ranges get longer).
+RUN_BLOCK, SAMPLED, FAN_IN, MERGED_TOGETHER, MOST_RANGES = 256, 50, 512, 50_000, 10_000
 #: Capture times: the tables have none, so a page's id counts seconds from here.
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
@@ -78,51 +83,45 @@ def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 class LoserTree:
-    """Merges sorted runs: each inner node holds the loser of its match, the overall winner is on top."""
-
-    def __init__(self, runs: list[list], key: Callable):
-        self.runs, self.key, self.at = runs, key, [0] * len(runs)
-        self.size = max(1, len(runs))
+    """Merges sorted runs, of which only the heads are held: each inner node holds the loser of its match, the winner is on top."""
+
+    def __init__(self, runs: Iterable[Iterable], key: Callable):
+        self.runs, self.key = [iter(run) for run in runs], key
+        self.size = max(1, len(self.runs))
+        self.values: list = [None] * self.size
+        #: What is compared: whether the run is used up, its head's key, its number (ties go to the earlier run).
+        self.heads: list[tuple] = [(1, None, i) for i in range(self.size)]
+        for run in range(len(self.runs)):
+            self._advance(run)
         self.losers = [-1] * self.size
-        self.winner = -1
-        for run in range(len(runs)):
-            self._play(run)
+        self.winner = self._built(1) if self.size > 1 else 0
 
-    def _head(self, run: int) -> tuple:
-        """Sorts after everything when a run is used up; the run's number breaks ties, so merging is stable."""
-        place = self.at[run]
-        return (0, self.key(self.runs[run][place]), run) if place < len(self.runs[run]) else (1, None, run)
+    def _advance(self, run: int) -> None:
+        for value in self.runs[run]:
+            self.values[run], self.heads[run] = value, (0, self.key(value), run)
+            return
+        self.values[run], self.heads[run] = None, (1, None, run)
 
     def _less(self, a: int, b: int) -> bool:
-        x, y = self._head(a), self._head(b)
-        if x[0] or y[0]:
-            return (x[0], x[2]) < (y[0], y[2])
-        return (x[1], x[2]) < (y[1], y[2])
-
-    def _play(self, run: int) -> None:
-        node = (run + self.size) // 2
-        while node > 0:
-            other = self.losers[node]
-            if other < 0 and self.winner < 0:  # while the tree is built, the first to come waits
-                self.losers[node] = run
-                return
-            if other >= 0 and self._less(other, run):
-                self.losers[node], run = run, other
-            elif other < 0:
-                self.losers[node] = run
-                return
-            node //= 2
-        self.winner = run
+        x, y = self.heads[a], self.heads[b]
+        return x[0] < y[0] if x[0] or y[0] else x[1:] < y[1:]
+
+    def _built(self, node: int) -> int:
+        """The winner under a node; the loser stays there. Leaves follow the inner nodes."""
+        if node >= self.size:
+            return node - self.size
+        a, b = self._built(2 * node), self._built(2 * node + 1)
+        if self._less(b, a):
+            a, b = b, a
+        self.losers[node] = b
+        return a
 
     def __iter__(self) -> Iterator:
-        if not self.runs:
-            return
-        if len(self.runs) == 1:
-            self.winner = 0
-        while self.at[self.winner] < len(self.runs[self.winner]):
-            yield self.runs[self.winner][self.at[self.winner]]
-            self.at[self.winner] += 1
-            run, node = self.winner, (self.winner + self.size) // 2
+        while not self.heads[self.winner][0]:
+            run = self.winner
+            yield self.values[run]
+            self._advance(run)
+            node = (run + self.size) // 2
             while node > 0:
                 if self._less(self.losers[node], run):
                     self.losers[node], run = run, self.losers[node]
@@ -130,7 +129,37 @@ class LoserTree:
             self.winner = run
 
 
-INDEX = "run string, place int, url_key string, time string, page_id long, offset long, record_type string"
+#: An index entry; `archive` and `offset` say where its record lies.
+ENTRY = pa.schema([("url_key", pa.string()), ("time", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string())])
+
+
+def write_run(store: fs.FileSystem, name: str, entries: Iterable[tuple]) -> int:
+    """Write sorted entries as a run file of blocks, in the order given; how many there were. Only a block is held."""
+    count, options = 0, pa.ipc.IpcWriteOptions(compression="zstd")
+    with store.open_output_stream(name, compression=None) as out, pa.ipc.new_file(out, ENTRY, options=options) as file:
+        entries = iter(entries)
+        while block := list(islice(entries, RUN_BLOCK)):
+            file.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), ENTRY, strict=True)], schema=ENTRY))
+            count += len(block)
+    return count
+
+
+def read_run(store: fs.FileSystem, name: str, low: tuple = (), high: tuple | None = None) -> Iterator[tuple]:
+    """The entries of a run file from key `low` to before `high`, block by block; the first block is found by halving."""
+    with store.open_input_file(name) as opened:
+        file = pa.ipc.open_file(opened)
+        rows = lambda i: list(zip(*(c.to_pylist() for c in file.get_batch(i).columns), strict=True))
+        first, last = 0, file.num_record_batches
+        while last - first > 1:  # the first block that may hold `low`
+            middle = (first + last) // 2
+            head = tuple(c[0].as_py() for c in file.get_batch(middle).columns[:4])
+            first, last = (middle, last) if head <= low else (first, middle)
+        for i in range(first, file.num_record_batches):
+            for row in rows(i):
+                if high is not None and row[:4] >= high:
+                    return
+                if row[:4] >= low:
+                    yield row
 
 
 def first_captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -143,86 +172,128 @@ def first_captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
-    """Write (page_id, url, html) as archives; the (written) index runs: one sorted run per archive file.
+    """Write (page_id, url, html) as archives, each with a sorted run of index entries; the (written) list of both: archive,
+    run, entries and a sample of the run's keys.
 
-    A task that is run again writes files under new names; only files that the index names count.
+    A task that is run again writes files under new names; only files that the list names count.
     """
-    marked = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"))
-    joined = attach(marked, first_captures(pages, least_bytes), ["page_id", "sha"], "page_id").drop("sha")
+    small = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"))
+    joined = attach(small, first_captures(pages, least_bytes), ["page_id", "sha"], "page_id").drop("sha")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        part, file, buffer, entries, held = TaskContext.get().partitionId(), 0, io.BytesIO(), [], 0
+        new = lambda: f"{folder}/capture-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        name, buffer, entries, held = new(), io.BytesIO(), [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal file, buffer, entries, held
-            name = f"{folder}/capture-{part:06d}-{file:05d}-{uuid.uuid4().hex}.warc.gz"
-            with store.open_output_stream(name, compression=None) as out:
+            nonlocal name, buffer, entries, held
+            with store.open_output_stream(f"{name}.warc.gz", compression=None) as out:
                 out.write(buffer.getvalue())
-            entries.sort(key=lambda e: (e[0], e[1], e[3]))
-            columns = [[name] * len(entries), range(len(entries)), *map(list, zip(*entries, strict=True))]
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            file, buffer, entries, held = file + 1, io.BytesIO(), [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["run", "place", "url_key", "time", "page_id", "offset", "record_type"])
-
-        for batch in batches:
+            entries.sort(key=lambda e: e[:4])
+            write_run(store, f"{name}.run", entries)
+            keys = [dict(zip(ENTRY.names[:4], e[:4], strict=True)) for e in entries[:: max(1, len(entries) // SAMPLED)]]
+            row = pa.RecordBatch.from_pydict({"archive": [f"{name}.warc.gz"], "run": [f"{name}.run"], "entries": [len(entries)], "keys": pa.array([keys], pa.list_(pa.struct(list(ENTRY)[:4])))})
+            name, buffer, entries, held = new(), io.BytesIO(), [], 0
+            return row
+
+        for batch in light(batches, "html"):
             for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                payload = html.encode()
+                payload = (html or "").encode()
                 when = (EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y%m%d%H%M%S")
-                entries.append((url_key(url), when, page_id, buffer.tell(), "response" if refers_to is None else "revisit"))
+                entries.append((url_key(url), when, f"{name}.warc.gz", buffer.tell(), page_id, "response" if refers_to is None else "revisit"))
                 buffer.write(record(page_id, url, payload, refers_to))
                 held += len(payload)
-                if held >= ARCHIVE_BYTES:
+                if held >= ARCHIVE_BYTES or len(entries) >= ARCHIVE_ENTRIES:
                     yield flush()
         if entries:
             yield flush()
 
-    return written(joined.mapInArrow(write, INDEX), "warc-runs")
+    return written(joined.mapInArrow(write, f"archive string, run string, entries long, keys array<struct<{KEY}>>"), "warc-runs")
 
 
-def merge_runs(index: DataFrame, entries: int = MERGED_TOGETHER) -> DataFrame:
-    """All entries in global order of (url_key, time, run, offset): the index plus `capture_order` from 0.
+KEY = "url_key: string, time: string, archive: string, offset: long"
 
-    Ranges are cut at keys of the runs themselves and include time and place, so a single hot URL is cut too.
+
+def cut_keys(runs: DataFrame, entries: int) -> list[tuple]:
+    """Keys that cut the runs into ranges of about `entries` entries, at most MOST_RANGES: merging holds blocks, so longer
+    ranges only take longer. They are keys of the runs, with time and place, so that one hot URL is cut too."""
+    total = runs.agg(F.sum("entries")).first()[0] or 0
+    parts = max(1, min(MOST_RANGES, -(-total // entries)))
+    keys = runs.select(F.explode("keys").alias("k")).select("k.*")
+    share = min(1.0, parts * 20 / max(1, keys.count()))
+    some = keys.filter(F.pmod(F.xxhash64("archive", "offset"), F.lit(1_000_000)) < share * 1_000_000).collect()
+    ordered = sorted(tuple(r) for r in some)
+    return sorted({ordered[i * len(ordered) // parts] for i in range(1, parts)}) if ordered else []
+
+
+def merge_runs(runs: DataFrame, path: str, entries: int = MERGED_TOGETHER) -> DataFrame:
+    """All entries in global order of (url_key, time, archive, offset), numbered from 0 as `capture_order`.
+
+    Pass by pass, tasks merge up to FAN_IN run files through a loser tree into one, each within one range of keys; of every
+    run they hold one block. The last pass merges what is left of a range and numbers it after the ranges before.
     """
-    total = index.count()
-    if not total:
-        return index.withColumn("capture_order", F.lit(0).cast("long"))
-    parts = max(1, min(4096, -(-total // entries)))
-    whole = F.concat_ws("\x01", "url_key", "time", "run", F.lpad(F.col("offset").cast("string"), 20, "0"))
-    sampled = index.filter(F.pmod(F.xxhash64("run", "place"), F.lit(max(1, total // (parts * 100)))) == 0)
-    tiles = sampled.select(whole.alias("w")).withColumn("t", F.ntile(parts).over(Window.orderBy("w")))
-    cuts = [r.w for r in tiles.groupBy("t").agg(F.min("w").alias("w")).orderBy("t").collect()][1:]
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_w"))) if cuts else F.lit(0)
-    dealt = index.withColumn("_w", whole).withColumn("_part", part).drop("_w")
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("n"))
-    starts = {r["_part"]: r.start for r in counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("start")).collect()}
-    names = [f.split()[0] for f in INDEX.split(", ")]
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("run", "ascending"), ("place", "ascending")]).to_pylist()
-        runs: dict[str, list] = {}
-        for row in rows:
-            runs.setdefault(row["run"], []).append(row)
-        merged = list(LoserTree(list(runs.values()), lambda r: (r["url_key"], r["time"], r["run"], r["offset"])))
-        first = starts[rows[0]["_part"]]
-        out = pa.Table.from_pylist(merged, schema=table.schema).select(names)
-        return out.append_column("capture_order", pa.array(range(first, first + len(merged)), pa.int64()))
-
-    return dealt.groupBy("_part").applyInArrow(merge, INDEX + ", capture_order long")
-
-
-def read_archives(index: DataFrame, path: str) -> DataFrame:
-    """Every record of the index' archive files: run, offset, page_id, payload_bytes, payload_digest, record_type, refers_to.
+    cuts = cut_keys(runs, entries)
+
+    def merged(store, files: list[str], part: int, whole: bool) -> LoserTree:
+        low, high = (cuts[part - 1] if part and whole else ()), (cuts[part] if part < len(cuts) and whole else None)
+        return LoserTree([read_run(store, file, low, high) for file in files], lambda e: e[:4])
+
+    def one_pass(whole: bool):
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, folder = fs.FileSystem.from_uri(path)
+            for batch in batches:
+                for part, files in zip(batch.column("part").to_pylist(), batch.column("files").to_pylist(), strict=True):
+                    name = f"{folder}/merged-{part:06d}-{uuid.uuid4().hex}.run"
+                    n = write_run(store, name, merged(store, files, part, whole))
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], ["part", "run", "entries"])
+
+        return merge
+
+    def dealt(pieces: DataFrame) -> DataFrame:
+        """Files of a range in groups of about FAN_IN, by hash."""
+        sizes = pieces.groupBy("part").agg(F.ceil(F.count("*") / FAN_IN).alias("groups"))
+        grouped = pieces.join(sizes, "part").groupBy("part", F.pmod(F.xxhash64("run"), F.col("groups")).alias("g"))
+        return spread(grouped.agg(F.array_sort(F.collect_list("run")).alias("files")).select("part", "files"))
+
+    def spread(units: DataFrame) -> DataFrame:
+        units = written(units, "warc-units")
+        return units.repartition(max(1, min(20_000, units.count())))
+
+    groups = F.lit(max(1, -(-runs.count() // FAN_IN)))
+    first = runs.groupBy(F.pmod(F.xxhash64("run"), groups).alias("g")).agg(F.array_sort(F.collect_list("run")).alias("files"))
+    first = first.select(F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("part"), "files")
+    kinds = "part int, run string, entries long"
+    pieces = written(spread(first).mapInArrow(one_pass(True), kinds), "warc-merged")
+    while pieces.groupBy("part").count().filter(F.col("count") > FAN_IN).limit(1).count():
+        pieces = written(dealt(pieces).mapInArrow(one_pass(False), kinds), "warc-merged")
+    # At most MOST_RANGES numbers.
+    sizes = dict(pieces.groupBy("part").agg(F.sum("entries")).collect())
+    starts = [0, *accumulate(sizes.get(part, 0) for part in range(len(cuts)))]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for part, files in zip(batch.column("part").to_pylist(), batch.column("files").to_pylist(), strict=True):
+                order, entries = starts[part], iter(merged(store, files, part, False))
+                while block := list(islice(entries, RUN_BLOCK)):
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), ENTRY, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(range(order, order + len(block)), pa.int64())], [*ENTRY.names, "capture_order"])
+                    order += len(block)
+
+    last = spread(pieces.groupBy("part").agg(F.array_sort(F.collect_list("run")).alias("files")))
+    return last.mapInArrow(number, "url_key string, time string, archive string, offset long, page_id long, record_type string, capture_order long")
+
+
+def read_archives(runs: DataFrame, path: str) -> DataFrame:
+    """Every record of the listed archive files: archive, offset, page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Digests of responses are computed from the payload read, and must equal the header's."""
-    files = written(index.select("run").distinct(), "warc-files")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name in batch.column("run").to_pylist():
+            for name in batch.column("archive").to_pylist():
                 with store.open_input_stream(name, compression=None) as file:
                     data = file.read()
                 rows = []
@@ -237,10 +308,10 @@ def read_archives(index: DataFrame, path: str) -> DataFrame:
                     rows.append((name, offset, ids[0], size, digest, headers["WARC-Type"], ids[1]))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["run", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["archive", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    tasks = max(1, min(20_000, files.count()))
-    return files.repartition(tasks).mapInArrow(scan, "run string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    tasks = max(1, min(20_000, runs.count()))
+    return runs.select("archive").repartition(tasks).mapInArrow(scan, "archive string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
@@ -249,9 +320,10 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     Of equal payloads of at least `least_bytes`, the smallest page_id is the response and larger ids revisit it; rows that
     repeat that id are responses too, as are rows without an id. Null HTML is an empty payload, a null URL an empty key.
     """
-    index = write_archives(pages, path, least_bytes)
-    history = merge_runs(index).select("run", "offset", "url_key", "capture_order")
-    return read_archives(index, path).join(history, ["run", "offset"]).drop("run", "offset")
+    runs = write_archives(pages, path, least_bytes)
+    history = written(merge_runs(runs, path).select("archive", "offset", "url_key", "capture_order"), "warc-history")
+    # Both sides grow with the pages: a merge join, whatever the optimiser makes of their compressed sizes.
+    return read_archives(runs, path).join(history.hint("merge"), ["archive", "offset"]).drop("archive", "offset")
 
 
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
