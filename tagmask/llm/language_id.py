@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tagmask.llm.common import read
+from tagmask.llm.common import attach, read, written
 from tagmask.llm.vector_text import LETTER, Block, as_text, blocks, light, mix
 
 #: Lengths of n-grams in bytes of lower-cased text in which every run of other than letters is one blank.
@@ -32,11 +32,8 @@ UNKNOWN = "und"
 
 def grams(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(code, document) of all n-grams of `size` (at most 7) bytes; a code holds the bytes and the size."""
-    letter = LETTER[block.data]
-    after_letter = np.zeros_like(letter)
-    after_letter[1:] = letter[:-1]
-    after_letter[block.offsets[:-1][block.offsets[:-1] < len(letter)]] = False
-    kept = letter | after_letter
+    letter = block.kinds >= LETTER
+    kept = letter | block.before(letter)
     data = np.where(letter, block.data, 32)[kept].astype(np.uint64)
     places = np.concatenate([[0], np.cumsum(kept)])[block.offsets]
     if len(data) < size:
@@ -117,8 +114,8 @@ def train_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept: int = K
     texts), and at most `kept` n-grams of each language and size come to the driver.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = usable.groupBy("lang").count().select("lang", (F.lit(train_docs * 1_000_000) / F.col("count")).alias("share"))
-    picked = usable.join(F.broadcast(share.limit(10_000)), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
+    share = written(usable.groupBy("lang").count().select("lang", (F.lit(train_docs * 1_000_000) / F.col("count")).alias("share")), "lang-shares")
+    picked = attach(usable.select("doc_id", "text", "lang"), share, ["lang"], "doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
     counts = picked.select("text", "lang").mapInArrow(_gram_counts(sizes), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", F.floor(F.log2("code") / 8)).orderBy(F.col("n").desc(), "code")
     rows = counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= kept).select("lang", "code").collect()
@@ -130,7 +127,8 @@ def train_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept: int = K
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """All columns of `docs` plus lang_pred, lang_score (share of the winner's hits among all languages') and lang_known
     (share of the text's n-grams that the winner knows). `und` with score 0 where the text is null or has no letter.
-    Column names that clash are replaced. Repeated texts get equal values."""
+    Column names that clash are replaced. Repeated texts get equal values, very long ones are read whole, an empty table
+    stays so. Equal counts of several languages go to the first by name."""
     own = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_known")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -22,10 +22,20 @@ from tagmask.llm.vector_text import light
 
 WIDTH = 64
 SEGMENT = "array<struct<position:int,kind:string,text:string,source:string,caption:string>>"
-#: Elements that hold no text, that hold a media source, and that end a run of text.
-SILENT = ("script", "style", "template", "noscript", "head")
+#: Elements that hold no text, that may stand in the head, that hold a media source, and that end a run of text.
+SILENT = ("script", "style", "template", "noscript", "title")
+HEAD = ("title", "meta", "link", "base", "script", "style", "template", "noscript")
 MEDIA = ("img", "video", "audio", "source", "embed", "object")
-BREAKS = ("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "table", "article", "section", "nav", "footer", "header", "blockquote", "pre", "figure", "hr")
+BREAKS = ("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "table", "article", "section", "nav", "footer", "header", "blockquote", "pre", "figure", "hr", "body")
+
+
+class _Figure:
+    """An open figure: its media, the words of its caption and where the caption stood."""
+
+    def __init__(self):
+        self.media: list[dict] = []
+        self.caption: list[str] = []
+        self.captioned, self.place = False, 0
 
 
 class _Interleaver(HTMLParser):
@@ -33,54 +43,90 @@ class _Interleaver(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.segments: list[dict] = []
         self.words: list[str] = []
-        self.silent, self.caption, self.figure = 0, None, []
+        self.figures: list[_Figure] = []
+        self.head, self.silent = False, []
+
+    def text(self, words: list[str]) -> list[dict]:
+        text = " ".join("".join(words).split())
+        return [{"kind": "text", "text": text, "source": None, "caption": None}] if text else []
 
     def cut(self) -> None:
-        text = " ".join("".join(self.words).split())
+        self.segments += self.text(self.words)
         self.words = []
-        if text:
-            self.segments.append({"kind": "text", "text": text, "source": None, "caption": None})
+
+    def end_figure(self) -> None:
+        """The caption goes to the figure's media; without media it is text where it stood."""
+        self.cut()
+        figure = self.figures.pop()
+        found = self.text(figure.caption)
+        for media in figure.media:
+            media["caption"] = found[0]["text"] if found else media["caption"]
+        if not figure.media:
+            self.segments[figure.place : figure.place] = found
+
+    def finish(self) -> None:
+        while self.figures:
+            self.end_figure()
+        self.cut()
 
     def handle_starttag(self, tag, attrs):
-        named = dict(attrs)
+        if tag == "head":
+            self.head = True
+        elif self.head and (tag == "body" or tag not in HEAD and not self.silent):  # </head> may be left out
+            self.head, self.silent = False, []
         if tag in SILENT:
-            self.silent += 1
+            self.silent.append(tag)
+        if self.head or self.silent:
+            return
         if tag in BREAKS or tag in MEDIA:
             self.cut()
+            if self.figures and self.figures[-1].captioned:
+                self.figures[-1].caption.append(" ")
         if tag == "figure":
-            self.figure = []
-        if tag == "figcaption":
+            self.figures.append(_Figure())
+        if tag == "figcaption" and self.figures:
             self.cut()
-            self.caption = []
+            if not self.figures[-1].caption:
+                self.figures[-1].place = len(self.segments)
+            self.figures[-1].captioned = True
+        named = dict(attrs)
         source = named.get("src") or named.get("data")
         if tag in MEDIA and source:
             self.segments.append({"kind": "media", "text": None, "source": source, "caption": named.get("alt")})
-            self.figure.append(self.segments[-1])
+            if self.figures:
+                self.figures[-1].media.append(self.segments[-1])
 
     def handle_endtag(self, tag):
-        if tag in SILENT and self.silent:
-            self.silent -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for media in self.figure:
-                media["caption"] = text or media["caption"]
-            self.caption = None
+        if tag == "head":
+            self.head, self.silent = False, []
+        if tag in self.silent:
+            del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+        if self.head or self.silent:
+            return
+        if tag == "figcaption" and self.figures:
+            self.figures[-1].captioned = False
         if tag in BREAKS:
             self.cut()
-        if tag == "figure":
-            self.figure = []
+        if tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data):
-        if not self.silent:
-            (self.words if self.caption is None else self.caption).append(data)
+        if self.head and not self.silent and data.strip():
+            self.head = False
+        if not self.head and not self.silent:
+            (self.figures[-1].caption if self.figures and self.figures[-1].captioned else self.words).append(data)
 
 
 def interleave(html: str | None) -> list[dict]:
-    """Text and media of an HTML text in reading order; a figure's caption belongs to the media of the figure."""
+    """Text and media of an HTML text in reading order; a figure's caption belongs to the media of the figure.
+
+    Scripts, styles, templates, noscript and the head give neither text nor media. End tags may be missing: content ends
+    the head, the end of a figure or of the text ends a caption. A caption without media is text.
+    """
     parser = _Interleaver()
     parser.feed(html or "")
     parser.close()
-    parser.cut()
+    parser.finish()
     return [{"position": i, **s} for i, s in enumerate(parser.segments)]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tagmask.llm.common import attach, read, written
+from tagmask.llm.common import attach, read, renamed, written
 
 #: A word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,9 +25,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(key: Column, salt: str = "mix:") -> Column:
-    """60 bits of MD5 over the salted id, as long; a null id counts as the empty string."""
-    digest = F.md5(F.concat(F.lit(salt), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+def row_hash(key: Column, text: Column, salt: str = "mix:") -> Column:
+    """60 bits of MD5 over the salted id, as long; rows without an id go by their text."""
+    digest = F.md5(F.concat(F.lit(salt), F.coalesce(key.cast("string"), text, F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -84,7 +84,7 @@ def mix_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")), "mix-sizes")
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col)).alias("h")), "mix-sizes")
 
 
 def _copies(max_repeat: int) -> Column:
@@ -100,7 +100,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     source with S words takes every document floor(t / S) times; the rest goes once more to the documents whose hash lies
     under the source's threshold, the document at the threshold only if that brings the sum nearer to the target.
     Null or empty texts have size 0, take part and take nothing. Rows with equal ids share a hash and are in or out
-    together. Other columns are ignored; an empty table gives an empty result.
+    together; rows without an id go by their text. Other columns are ignored; an empty table gives an empty result.
     """
     sized = _sized(docs, id_col, text_col, source_col)
     mixed = attach(sized, mix_plan(sized, weights, share, max_repeat), ["source"], "h").withColumn("copies", _copies(max_repeat))
@@ -108,17 +108,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2) -> DataFrame:
-    """The mix itself: every row of `docs` (doc_id, text, source, ...) as often as it is taken, all columns kept.
+    """The mix itself: every row of `docs` (doc_id, text, source, ...) as often as it is taken, all columns kept, whatever their names.
 
     Only the plan (one row per source) is joined to the documents; no text is shuffled.
     """
-    plan = mix_plan(_sized(docs, "doc_id", "text", "source"), weights, share, max_repeat).drop("source_size", "target", "rest")
-    plan = plan.select(F.col("source"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
-    marked = docs.withColumn("_h", id_hash(F.col("doc_id")))
-    extra = (F.col("_whole") < max_repeat) & (F.col("_threshold").isNull() | (F.col("_h") < F.col("_threshold")))
-    times = (F.col("_whole") + F.when(extra, 1).otherwise(0)).cast("int")
-    taken = attach(marked, plan, ["source"], "_h").withColumn("_n", F.explode(F.array_repeat(F.lit(1), times)))
-    return taken.select(*docs.columns)
+    plan = mix_plan(_sized(docs, "doc_id", "text", "source"), weights, share, max_repeat).select("source", "whole", "threshold")
+    plain, back = renamed(docs)
+    own = {n: F.col(f"c{i}") for i, n in enumerate(docs.columns)}
+    marked = plain.withColumns({"source": own["source"], "h": row_hash(own["doc_id"], own["text"])})
+    taken = attach(marked, plan, ["source"], "h").withColumn("copy", F.explode(F.array_repeat(F.lit(1), _copies(max_repeat).cast("int"))))
+    return back(taken)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +128,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS h
+         CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15)) AS BIGINT) AS h
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) * 2 AS DOUBLE) AS cap,

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmask.llm.common import BROADCAST_ROWS, attach, read, written
-from tagmask.llm.vector_text import WORD, Block, as_text, blocks, light, mix
+from tagmask.llm.common import BROADCAST_ROWS, attach, only_last, read, renamed, written
+from tagmask.llm.vector_text import OTHER, Block, as_text, blocks, light, mix
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares none of 40 bands of 6 coordinates with probability 5e-6, one of 0.3 shares some with 0.03.
@@ -27,7 +27,7 @@ BANDS, ROWS = 40, 6
 
 def shingles(block: Block, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of every run of `words` words; of texts with fewer words, the one run of all of them."""
-    starts, ends = block.starts_ends(WORD[block.data])
+    starts, ends = block.words()
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     word, doc = block.hashes().of(starts, ends), block.doc_of(starts)
@@ -42,7 +42,7 @@ def shingles(block: Block, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return run[keep], doc[keep]
 
 
-def cells(element: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+def cells(element: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit cells of a multiset: (hash of element and which occurrence it is, document), sorted by document and hash."""
     order = np.lexsort((element, doc))
     element, doc = element[order], doc[order]
@@ -52,6 +52,25 @@ def cells(element: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray,
     return mix(element ^ mix(np.arange(len(element)) - begin, 17), 18), doc
 
 
+def strips(element: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Dart regions of a multiset whose weights are counts: (region, document, low, width, weight).
+
+    An element's axis is cut at 1, 2, 4, 8, ... independently of its weight, so an element that occurs n times has about
+    log2(n) strips, of which only the last may be covered in part.
+    """
+    order = np.lexsort((element, doc))
+    element, doc = element[order], doc[order]
+    new = np.ones(len(element), bool)
+    new[1:] = (element[1:] != element[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(element)))
+    levels = 1 + np.ceil(np.log2(times)).astype(np.int64)
+    which = np.repeat(np.arange(len(at)), levels)
+    level = np.arange(len(which)) - np.repeat(np.cumsum(levels) - levels, levels)
+    width = np.where(level, np.exp2(level - 1), 1.0)
+    return mix(element[at][which] ^ mix(level, 17), 18), doc[at][which], np.where(level, width, 0.0), width, times[which].astype(float)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
@@ -60,7 +79,7 @@ def dart_signature(region: np.ndarray, doc: np.ndarray, docs: int, coordinates:
     """Signatures (documents x coordinates) of weighted sets given as dart regions.
 
     A region is a strip of an element's weight axis (low .. low + width), with a hash of its own; without `low` all
-    strips are unit cells that the element's weight covers wholly. Darts fall on a strip as a Poisson process in rank
+    strips have width 1 and are covered wholly. Darts fall on a strip as a Poisson process in rank
     (rate `width`), each at a hashed place in the strip and in a hashed coordinate; those above the element's weight
     are missed. Ranks are followed up to a bound at which a document's coordinates are likely all hit, and further
     where some are not. Documents without regions have coordinates 0.
@@ -70,6 +89,7 @@ def dart_signature(region: np.ndarray, doc: np.ndarray, docs: int, coordinates:
     total = np.bincount(doc, np.ones(len(doc)) if weight is None else np.minimum(width, weight - low), docs)
     bound = (coordinates * math.log(coordinates) + 2 * coordinates) / np.maximum(total, 1e-300)
     rank, state, at = np.zeros(len(region)), region.copy(), np.arange(len(region))
+    loose = None if low is None else low + width > weight
     while len(at):
         alive = at
         while len(alive):
@@ -78,8 +98,10 @@ def dart_signature(region: np.ndarray, doc: np.ndarray, docs: int, coordinates:
             rank[alive] += step if width is None else step / width[alive]
             alive = alive[rank[alive] < bound[doc[alive]]]
             dart, r, d = state[alive], rank[alive], doc[alive]
-            if low is not None:
-                inside = low[alive] + width[alive] * _uniform(mix(dart, 24)) < weight[alive]
+            if loose is not None and loose[alive].any():
+                inside = ~loose[alive]
+                some = np.flatnonzero(~inside)
+                inside[some] = low[alive[some]] + width[alive[some]] * _uniform(mix(dart[some], 24)) < weight[alive[some]]
                 dart, r, d = dart[inside], r[inside], d[inside]
             place = d * coordinates + (mix(dart, 23) % np.uint64(coordinates)).astype(np.int64)
             before = best[place]
@@ -110,7 +132,7 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _normal_forms(block: Block) -> list[bytes]:
     """Every text as its words with one blank between; equal for texts of equal words."""
-    word = WORD[block.data]
+    word = block.kinds > OTHER
     after = np.zeros_like(word)
     after[1:] = word[:-1]
     after[block.offsets[:-1][block.offsets[:-1] < len(word)]] = False
@@ -125,9 +147,9 @@ def _signer(words: int, count: int, rows: int):
         for batch in light(batches):
             for block in blocks(as_text(batch.column("text"), lower=True)):
                 element, doc = shingles(block, words)
-                element, doc = cells(element, doc, block.docs)
                 weight = np.bincount(doc, minlength=block.docs)
-                band = bands(dart_signature(element, doc, block.docs, count * rows), rows).view(np.int64)
+                region, doc, low, width, times = strips(element, doc)
+                band = bands(dart_signature(region, doc, block.docs, count * rows, low, width, times), rows).view(np.int64)
                 some = weight > 0
                 ends = np.concatenate([[0], np.cumsum(some * count)]).astype(np.int32)
                 key = [hashlib.blake2b(text, digest_size=16).digest() for text in _normal_forms(block)]
@@ -140,7 +162,7 @@ def _cell_lists(words: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in light(batches):
             for block in blocks(as_text(batch.column("text"), lower=True)):
-                element, doc = cells(*shingles(block, words), block.docs)
+                element, doc = cells(*shingles(block, words))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.docs))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.docs), pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))], ["id", "cells"])
 
@@ -203,9 +225,9 @@ def connected(edges: DataFrame) -> DataFrame:
 PICKED_IDS, BLOCK = 500_000, 1000
 
 
-def _digest():
+def _digest(text: Column | str = "text") -> Column:
     """A text as 32 bytes; null texts as none."""
-    return F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
 
 def _row_keys(base: DataFrame) -> DataFrame:
@@ -241,7 +263,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
 
 def _decided(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE, count: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """As near_duplicates; where ids repeat, with the digest of each row's text."""
+    """As near_duplicates; where ids repeat, with the digest of each row's text. A written table; what led to it is deleted."""
+    with only_last(docs.sparkSession):
+        return _decide(docs, threshold, words, count, rows)
+
+
+def _decide(docs: DataFrame, threshold: float, words: int, count: int, rows: int) -> DataFrame:
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     base = docs.select(own_id.alias("doc_id"), "text")
     sign = lambda rows_in: written(rows_in.mapInArrow(_signer(words, count, rows), "doc_id long, key binary, weight long, bands array<long>"), "dup-signed")
@@ -256,19 +283,21 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE
     mapped = written(attach(signed.select("doc_id", "key"), copies, ["key"], "doc_id").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "dup-mapped")
     nodes = attach(signed, copies, ["key"], "doc_id").filter(F.coalesce("rep", "doc_id") == F.col("doc_id"))
     members = written(nodes.select(F.col("doc_id").alias("id"), "weight", F.explode("bands").alias("band")), "dup-members")
-    buckets = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(members.join(buckets, "band"), "dup-shared")
+    buckets = written(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "dup-buckets")
+    shared = written(attach(members, buckets, ["band"], "id", counts=buckets).filter("n is not null"), "dup-shared")
 
     central = shared.groupBy("id").agg(F.sum("n").alias("c"))
     leaders = shared.join(central, "id").groupBy("band").agg(F.max(F.struct("c", "id", "weight")).alias("l")).select("band", F.col("l.id").alias("leader"), F.col("l.weight").alias("lw"))
+    leaders = written(leaders, "dup-leaders")
     close = F.least("weight", "lw") >= threshold * F.greatest("weight", "lw") - 1e-9
-    pairs = written(shared.join(leaders, "band").filter((F.col("id") != F.col("leader")) & close).select("id", "leader").distinct(), "dup-pairs")
+    pairs = written(attach(shared, leaders, ["band"], "id", counts=buckets).filter((F.col("id") != F.col("leader")) & close).select("id", "leader").distinct(), "dup-pairs")
 
     needed = written(shared.select(F.col("id").alias("doc_id")).distinct(), "dup-needed")
     few = needed.limit(PICKED_IDS + 1).count() <= PICKED_IDS
     texts = base.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_cell_lists(words), "id long, cells array<long>"), "dup-sets")
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("cells").alias("others")), "leader")
+    led = sets.join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leader"), F.col("cells").alias("others"))
+    both = attach(pairs, written(led, "dup-led"), ["leader"], "id", wide=True).join(sets, "id")
     common = F.size(F.array_intersect("cells", "others"))
     links = written(both.filter(common / (F.size("cells") + F.size("others") - common) >= threshold).select(F.col("id").alias("a"), F.col("leader").alias("b")), "dup-links")
     classes = written(connected(links), "dup-classes")
@@ -276,7 +305,7 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE
     placed = written(shared.join(classes, "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp")), "dup-placed")
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = placed.join(mixed, "band").withColumn("k", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = attach(placed, written(mixed, "dup-mixed"), ["band"], "id", counts=buckets).filter("blocks is not null").withColumn("k", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "id", "comp", F.least("k", "j").alias("i"), F.greatest("k", "j").alias("j")).join(sets, "id")
     more = written(dealt.groupBy("band", "i", "j").applyInArrow(_compare(threshold), "a long, b long").distinct(), "dup-more")
     if not more.isEmpty():
@@ -291,22 +320,24 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE
     named = written(of_keys.groupBy("comp").agg(F.min(F.struct("extra", "key")).alias("b")).select("comp", F.col("b.key").alias("class_id")), "dup-named")
     of_rows = attach(of_keys, named, ["comp"], "key").select(F.col("doc_id").alias("id"), "digest", "class_id", (F.col("key") == F.col("class_id")).alias("kept"))
     each = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_id.alias("id"), _digest().alias("digest"), F.monotonically_increasing_id().alias("place")), "dup-each")
-    return attach(each, written(of_rows, "dup-of-rows"), ["id", "digest"], "place").select("doc_id", "digest", null("class_id"), "kept")
+    return written(attach(each, written(of_rows, "dup-of-rows"), ["id", "digest"], "place").select("doc_id", "digest", null("class_id"), "kept"), "dup-rows")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with one row of each class: the one that names it. All columns are kept."""
-    classes = written(_decided(docs, threshold), "dup-decided")
+    """`docs` with one row of each class: the one that names it. All columns are kept, whatever their names."""
+    classes = _decided(docs, threshold)
     gone = classes.filter(~F.col("kept"))
+    plain, back = renamed(docs)
+    own_id, text = (F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text"))
     if "digest" not in classes.columns:
-        gone = gone.select(F.col("doc_id").alias("_gone"))
+        gone = gone.select(F.col("doc_id").alias("gone"))
         few = gone.limit(PICKED_IDS + 1).count() <= PICKED_IDS
-        return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    gone = written(gone.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_gone_digest")).distinct(), "dup-gone")
+        return back(plain.join(F.broadcast(gone) if few else gone, own_id.eqNullSafe(F.col("gone")), "left_anti"))
+    gone = written(gone.select(F.col("doc_id").alias("gone"), F.col("digest").alias("gone_digest")).distinct(), "dup-gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    marked = docs.withColumn("_digest", _digest())
-    same = marked["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest"))
-    return marked.join(F.broadcast(gone) if few else gone, same, "left_anti").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    marked = plain.withColumn("digest", _digest(text)).withColumn("number", own_id.cast("long"))
+    same = F.col("number").eqNullSafe(F.col("gone")) & (F.col("digest") == F.col("gone_digest"))
+    return back(marked.join(F.broadcast(gone) if few else gone, same, "left_anti").dropDuplicates(["number", "digest"]))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmask.llm.common import read, written
+from tagmask.llm.common import read, renamed, written
 from tagmask.llm.language_id import held_out
-from tagmask.llm.vector_text import LETTER, WORD, Block, Hashes, as_text, blocks, light, mix
+from tagmask.llm.vector_text import LETTER, Block, Hashes, as_text, blocks, light, mix
 
 if TYPE_CHECKING:  # Spark ML is imported where models are used: tasks need only the features
     from pyspark.ml.classification import GBTClassificationModel
@@ -56,7 +56,7 @@ def _word_hash(words: tuple[str, ...]) -> np.ndarray:
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Starts, documents and hashes of all words of a lower-cased block, and hashes of their beginnings (0: too short)."""
-    starts, ends = block.starts_ends(WORD[block.data])
+    starts, ends = block.words()
     hashes = block.hashes()
     begins = []
     for n in BEGINNINGS:
@@ -110,17 +110,15 @@ class Lexicon:
                     near[at] |= (np.abs(you[side] - at) <= NEAR) & (doc[you[side]] == doc[at])
             total = np.maximum(1.0, np.bincount(doc, minlength=n)[:n])
             size = np.maximum(1.0, np.diff(block.offsets))
-            inside = np.zeros(len(block.data), bool)
-            inside[1:-1] = _MASKING[block.data[1:-1]] & LETTER[block.data[:-2]] & LETTER[block.data[2:]]
+            letter = block.kinds >= LETTER
+            inside = _MASKING[block.data] & block.before(letter) & block.after(letter)
             out.append(np.stack([count(hit), count(is_word) / total, count(is_begin) / total, count(second.has(word)) / total, count(near), np.zeros(n), np.zeros(n), block.per_doc(_PUNCT[block.data]) / size, block.per_doc(_LOUD[block.data]) / total, block.per_doc(inside) / total, block.per_doc(_DIGIT[block.data]) / size, np.log1p(np.bincount(doc, minlength=n)[:n])], 1))
         features, place = np.concatenate(out), 0
         for block in blocks(as_text(original)):
             upper = _UPPER[block.data]
-            letters = np.maximum(1.0, block.per_doc(LETTER[block.data]))
+            letters = np.maximum(1.0, block.per_doc((block.kinds >= LETTER) & (block.data & 0xC0 != 0x80)))
             features[place : place + block.docs, 5] = block.per_doc(upper) / letters
-            pair = np.zeros(len(upper), bool)
-            pair[1:] = upper[1:] & upper[:-1]
-            features[place : place + block.docs, 6] = block.per_doc(pair) / letters
+            features[place : place + block.docs, 6] = block.per_doc(upper & block.before(upper)) / letters
             place += block.docs
         return features
 
@@ -167,25 +165,34 @@ class ToxicityModel:
     base: float
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """All columns of `docs` plus toxicity (0 to 1) and predicted (1 if toxicity >= 0.5). Names that clash are replaced."""
+        """All columns of `docs` plus toxicity (0 to 1) and predicted (1 if toxicity >= 0.5).
+
+        Own columns of these two names are replaced; all others stay, whatever their names. One row per row: equal texts
+        have equal scores, repeated rows stay, null texts count as empty, long texts are read whole, an empty table stays so.
+        """
         from pyspark.ml.functions import vector_to_array
 
-        own = [c for c in docs.columns if c not in ("toxicity", "predicted")]
+        own = docs.drop("toxicity", "predicted")
+        plain, _ = renamed(own)
         if self.trees is None:
-            scored = docs.select(*own).withColumn("toxicity", F.lit(float(self.base)))
+            score = F.lit(float(self.base))
+            scored = plain
         else:
-            margin = self.trees.transform(_assembled(_with_features(docs.select(*own), self.lexicon))).withColumn("_margin", vector_to_array("rawPrediction")[1])
-            scored = self.calibration.transform(margin.drop("prediction")).withColumnRenamed("prediction", "toxicity").select(*own, F.least(F.greatest("toxicity", F.lit(0.0)), F.lit(1.0)).alias("toxicity"))
-        return scored.withColumn("predicted", F.when(F.col("toxicity") >= 0.5, 1).otherwise(0))
+            margin = self.trees.transform(_assembled(_with_features(plain, self.lexicon, f"c{own.columns.index('text')}")))
+            margin = margin.withColumn("_margin", vector_to_array("rawPrediction")[1]).drop("prediction")
+            scored = self.calibration.transform(margin)
+            score = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
+        scored = scored.select(*plain.columns, score.alias("toxicity")).withColumn("predicted", F.when(F.col("toxicity") >= 0.5, 1).otherwise(0))
+        return scored.toDF(*own.columns, "toxicity", "predicted")
 
 
-def _with_features(docs: DataFrame, lexicon: Lexicon, drop_text: bool = False) -> DataFrame:
-    own = [c for c in docs.columns if not (drop_text and c == "text")]
+def _with_features(docs: DataFrame, lexicon: Lexicon, text: str = "text", drop_text: bool = False) -> DataFrame:
+    own = [c for c in docs.columns if not (drop_text and c == text)]
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in light(batches):
-            values = shared.value.features(batch.column("text"))
+        for batch in light(batches, text):
+            values = shared.value.features(batch.column(text))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(FEATURES)))], [*own, *(f"_f_{n}" for n in FEATURES)])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}

@@ -14,7 +14,7 @@ from tagmask.llm.common import attach, read, written
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts with `path`; the longest wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Suffixes of two labels under which names are registered.
+#: Suffixes of two labels under which names are registered (a short list; see with_domains for a whole table).
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.cn", "co.in", "co.kr", "com.mx", "com.tr", "co.za")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,6 +47,21 @@ def domain_parts(host: Column) -> tuple[Column, Column]:
     return F.when(two, last(3)).otherwise(last(2)), F.when(two, last(2)).otherwise(last(1))
 
 
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """`hosts` (host) plus domain and suffix. `suffixes` (suffix, of any number of labels) replaces the built-in short list:
+    the longest that a host ends with counts, else its last label."""
+    domain, suffix = domain_parts(F.col("host"))
+    if suffixes is None:
+        return hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    labels = F.split(F.regexp_replace("host", r":\d*$", ""), r"\.")
+    tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), n), ".")
+    each = hosts.select("host").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.size(labels)))).withColumn("suffix", tail(F.col("n")))
+    known = attach(each, suffixes.select("suffix", F.lit(True).alias("known")).distinct(), ["suffix"], "host")
+    longest = known.groupBy("host").agg(F.coalesce(F.max(F.when(F.col("known"), F.col("n"))), F.lit(1)).alias("n"))
+    parts = longest.select("host", tail(F.col("n") + 1).alias("domain"), tail(F.col("n")).alias("suffix"))
+    return attach(hosts, written(parts, "url-domains-of"), ["host"], "host")
+
+
 def _strength(groups: DataFrame, least: float = 0.5, most: float = 10_000.0) -> float:
     """Prior strength for groups (n, k, m = prior mean), from the over-dispersion of k against n * m."""
     spread = F.col("m") * (1 - F.col("m"))
@@ -55,15 +70,14 @@ def _strength(groups: DataFrame, least: float = 0.5, most: float = 10_000.0) ->
     return min(most, max(least, 1 / rho - 1)) if rho > 0 else most
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
     """Posterior of every host of `pages` (host) given `outcomes` (host, good 0/1): host, n, k, mean, bound.
 
     Hosts without outcomes get what their domain, suffix or the whole table says. Nulls in `good` are no outcome.
     """
     counted = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("good").cast("long").alias("k"))
     known = pages.select("host").distinct().join(counted, "host", "left").fillna(0, ["n", "k"])
-    domain, suffix = domain_parts(F.col("host"))
-    hosts = written(known.withColumn("domain", domain).withColumn("suffix", suffix), "url-hosts")
+    hosts = written(with_domains(known, suffixes), "url-hosts")
     total, good = hosts.agg(F.sum("n"), F.sum("k")).first()
     start = ((good or 0) + 1.0) / ((total or 0) + 2.0)
 
@@ -82,16 +96,17 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
     return shrunk.select("host", "n", "k", mean.alias("mean"), bound.alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_bound: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_bound: float = 0.5, id_col: str = "page_id", url_col: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """Verdict for every url: page_id, host, path, rule, verdict, reputation (the posterior's lower bound, 6 digits).
 
     `outcomes` has (page_id, good 0/1) for labelled pages; ids that are no page count for nothing, a page labelled twice
     counts twice. Null urls and urls without `://` have the host '' with a reputation of its own. Repeated rows stay.
     An empty table gives an empty result; without outcomes every host has the prior of one half with a wide bound.
+    `suffixes` (suffix) is a table of public suffixes to use in place of the built-in short list.
     """
     parsed = written(pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")), "url-parsed")
     labelled = outcomes.select(F.col(id_col).alias("page_id"), F.col("good")).join(parsed.select("page_id", "host"), "page_id")
-    reputation = written(host_reputation(parsed, labelled), "url-reputation").select("host", "bound")
+    reputation = written(host_reputation(parsed, labelled, suffixes=suffixes), "url-reputation").select("host", "bound")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = attach(parsed, reputation, ["host"], "page_id")
     by_host = F.when(F.col("bound") >= least_bound, "allow").otherwise("block")

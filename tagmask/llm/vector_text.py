@@ -10,22 +10,37 @@ import ctypes
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Bytes of text that one block holds (one longer document makes a block of its own).
 BLOCK_BYTES = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-_letters = np.zeros(256, bool)
-_letters[ord("a") : ord("z") + 1] = _letters[ord("A") : ord("Z") + 1] = _letters[128:] = True
-#: Bytes of letters (ASCII letters and all of a multi-byte character), and of words (with digits).
-LETTER = _letters
-WORD = _letters.copy()
-WORD[ord("0") : ord("9") + 1] = True
+#: Classes of characters: neither, numbers, letters and marks, and letters of scripts without blanks (each a word by itself).
+OTHER, NUMBER, LETTER, ALONE = 0, 1, 2, 3
+ALONE_SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+_classes: np.ndarray | None = None
+
+
+def character_classes() -> np.ndarray:
+    """Class of every code point."""
+    global _classes
+    if _classes is None:
+        classes = np.zeros(0x110000, np.uint8)
+        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        scripts = "".join(rf"\p{{{name}}}" for name in ALONE_SCRIPTS)
+        for pattern, name in ((r"\p{N}+", NUMBER), (r"[\p{L}\p{M}]+", LETTER), (rf"[[{scripts}]&&\p{{L}}]+", ALONE)):
+            for match in regex.finditer(pattern, everything, regex.V1):
+                first, last = (i if i < 0xD800 else i + 0x800 for i in (match.start(), match.end() - 1))
+                classes[first : last + 1] = name
+        _classes = classes
+    return _classes
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -63,18 +78,58 @@ class Block:
     def docs(self) -> int:
         return len(self.offsets) - 1
 
-    def starts_ends(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of every run of bytes for which `inside` holds, never across documents."""
-        before = np.empty_like(inside)
-        before[1:] = inside[:-1]
-        after = np.empty_like(inside)
-        after[:-1] = inside[1:]
-        if len(inside):
-            filled = self.offsets[:-1][self.offsets[1:] > self.offsets[:-1]]
-            before[filled] = False
-            after[filled[1:] - 1] = False
-            after[-1] = False
-        return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        """The class of every byte's character."""
+        table = character_classes()
+        kinds = table[:128][np.minimum(self.data, 127)]  # byte 127 is a control character
+        lead = np.flatnonzero(self.data >= 0xC0)
+        if len(lead):
+            b = np.concatenate([self.data, np.zeros(3, np.uint8)]).astype(np.int64)
+            kinds = np.concatenate([kinds, np.zeros(3, np.uint8)])
+            size = 2 + (b[lead] >= 0xE0) + (b[lead] >= 0xF0)
+            for n, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+                at = lead[size == n]
+                code = b[at] & mask
+                for i in range(1, n):
+                    code = code << 6 | b[at + i] & 0x3F
+                kind = table[np.minimum(code, 0x10FFFF)]
+                for i in range(n):
+                    kinds[at + i] = kind
+            kinds = kinds[: len(self.data)]
+        return kinds
+
+    def runs(self, inside: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every run of bytes for which `inside` holds, never across documents; `cut` begins a new run."""
+        on = np.zeros(len(inside) + 1, bool)
+        on[1:-1] = inside[1:] & inside[:-1]
+        on[self.offsets] = False
+        if cut is not None:
+            on[:-1] &= ~cut
+        return np.flatnonzero(inside & ~on[:-1]), np.flatnonzero(inside & ~on[1:]) + 1
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every word: a run of letters, marks and numbers, or one letter of a script without blanks."""
+        alone = self.kinds == ALONE
+        if not alone.any():
+            return self.runs(self.kinds > OTHER)
+        near = alone.copy()
+        near[1:] |= alone[:-1]
+        return self.runs(self.kinds > OTHER, near & (self.data & 0xC0 != 0x80))
+
+    def before(self, flags: np.ndarray) -> np.ndarray:
+        """The flag of the byte before each byte; False where a document begins."""
+        out = np.zeros(len(flags) + 1, bool)
+        out[1:] = flags
+        out[self.offsets] = False
+        return out[:-1]
+
+    def after(self, flags: np.ndarray) -> np.ndarray:
+        """The flag of the byte after each byte; False where a document ends."""
+        out = np.zeros(len(flags) + 1, bool)
+        out[:-1] = flags
+        out[self.offsets] = False
+        return out[1:]
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         """The document (from 0 in this block) of each byte position."""
