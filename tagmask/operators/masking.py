@@ -2,20 +2,29 @@
 
 Longest-first claiming is a fold of literal replacements: the n-th writing is replaced by a sentinel of private-use
 characters that no later writing can match, so shorter writings get only what longer ones left. Sentinels become
-placeholders at the end, or give the regions. Texts that hold such characters use another private-use range.
+placeholders at the end, or give the regions. Where a text holds such characters itself, they are escaped before, in
+the text and in the writings alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagmask.functions.text import placeholder
-from tagmask.model import APPLIED, DISABLED, NOT_FOUND
+from tagmask.model import APPLIED, APPROVED, DISABLED, NOT_FOUND, PENDING
 
-#: First characters of ranges of twelve: open, ten digits, close.
-_RANGES = (0xE000, 0xE100, 0xE200)
+#: Writings of a dossier up to which each of its documents meets the list of all. In larger dossiers a document meets those of
+#: which it has a part: the rarest one of PART characters, or of SHORT for shorter writings; writings under SHORT stay listed.
+LISTED, PART, SHORT = 500, 6, 3
+#: Sentinels are an opening character, shifted digits and a closing one; an escaped character is ESCAPE and two of six symbols.
+OPEN, DIGITS, CLOSE, ESCAPE = "\ue000", "".join(chr(0xE001 + i) for i in range(10)), "\ue00b", "\ue00c"
+SPECIAL = "".join(chr(0xE000 + i) for i in range(19))
+_CODES = {c: ESCAPE + SPECIAL[13 + i // 6] + SPECIAL[13 + i % 6] for i, c in enumerate(SPECIAL)}
 
 
 def new_values(detections: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -46,10 +55,18 @@ def assign_tags(new: DataFrame, counters: DataFrame | None = None, tags: DataFra
 def assign_tags_wide(new: DataFrame, buckets: int = 64) -> DataFrame:
     """Numbers as assign_tags without counters, for dossiers too large for one window: ranges by length and value are
     numbered by themselves, then shifted by the rows of the ranges before. Returns dossier_id, category, value, idx."""
-    ranged = new.repartitionByRange(buckets, F.length("value").desc(), F.col("value")).withColumn("_p", F.spark_partition_id())
+    key = F.struct((-F.length("value")).alias("l"), F.col("value").alias("v"))
+    # About a hundred keys a range give the borders; they are fixed before anything is numbered.
+    every = max(1, new.count() // (buckets * 100))
+    sampled = new.filter(F.pmod(F.xxhash64("value"), F.lit(every)) == 0).select(key.alias("k"))
+    tiles = sampled.withColumn("t", F.ntile(buckets).over(Window.orderBy("k"))).groupBy("t").agg(F.min("k").alias("k"))
+    borders = [r.k for r in tiles.filter("t > 1").collect()]
+    literals = F.array(*[F.struct(F.lit(k.l).alias("l"), F.lit(k.v).alias("v")) for k in borders])
+    size, value = -F.length("value"), F.col("value")
+    ranged = new.withColumn("_p", F.size(F.filter(literals, lambda k: (k["l"] < size) | ((k["l"] == size) & (k["v"] <= value)))) if borders else F.lit(0))
     within = Window.partitionBy("dossier_id", "category", "_p").orderBy(F.length("value").desc(), "value")
     local = ranged.withColumn("_i", F.row_number().over(within))
-    sizes = local.groupBy("dossier_id", "category", "_p").agg(F.count("*").alias("_n"))
+    sizes = ranged.groupBy("dossier_id", "category", "_p").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("dossier_id", "category").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("dossier_id", "category", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return local.join(shifts, ["dossier_id", "category", "_p"]).select("dossier_id", "category", "value", (F.col("_i") + F.col("_before")).cast("long").alias("idx"))
@@ -75,52 +92,90 @@ def writings(tags: DataFrame) -> DataFrame:
     return spelled.select("dossier_id", "tag", "writing", F.row_number().over(order).alias("rank"))
 
 
-def _alphabet(base: int) -> str:
-    return "".join(chr(base + i) for i in range(12))
+def _sentinel(rank: Column) -> Column:
+    return F.concat(F.lit(OPEN), F.translate(rank.cast("string"), "0123456789", DIGITS), F.lit(CLOSE))
 
 
-def _sentinel(n: Column) -> Column:
-    a = _alphabet(_RANGES[0])
-    return F.concat(F.lit(a[0]), F.translate(n.cast("string"), "0123456789", a[1:11]), F.lit(a[11]))
+def _escaped(text: Column) -> Column:
+    """The text without characters of sentinels. Literal matches are those of the unescaped texts: an escaped character
+    begins with ESCAPE, which occurs nowhere else, so no match begins or ends inside one."""
+    special = f"[{SPECIAL}]"
+    code = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    sides = F.zip_with(F.split(text, special), F.regexp_extract_all(text, F.lit(f"({special})"), 1), lambda part, c: F.concat(part, F.coalesce(F.element_at(code, c), F.lit(""))))
+    return F.when(text.rlike(special), F.array_join(sides, "")).otherwise(text)
 
 
-def claim(docs: DataFrame, spelled: DataFrame) -> DataFrame:
-    """`docs` plus `_ws` (the dossier's writings in the text: rank, writing, tag) and `_folded` (text with sentinels).
+def _unescaped(text: Column) -> Column:
+    plain = text
+    for c, escaped in _CODES.items():
+        if c != ESCAPE:
+            plain = F.replace(plain, F.lit(escaped), F.lit(c))
+    # ESCAPE itself comes last, so that it never meets what follows an escaped one.
+    return F.when(F.contains(text, F.lit(ESCAPE)), F.replace(plain, F.lit(_CODES[ESCAPE]), F.lit(ESCAPE))).otherwise(text)
 
-    Null if a text uses all private-use ranges that sentinels can take.
-    """
-    lists = spelled.groupBy("dossier_id").agg(F.array_sort(F.collect_list(F.struct("rank", "writing", "tag"))).alias("_all"))
-    found = docs.join(lists, "dossier_id", "left").withColumn("_ws", F.filter(F.coalesce("_all", F.array()), lambda w: F.contains(F.col("text"), w["writing"]))).drop("_all")
-    first = _alphabet(_RANGES[0])
-    free = [~F.col("text").rlike(f"[{chr(r)}-{chr(r + 11)}]") for r in _RANGES]
-    fold = lambda base: F.aggregate("_ws", F.col("text"), lambda t, w: F.replace(t, w["writing"], F.translate(_sentinel(w["rank"]), first, _alphabet(base))))
-    folded = F.when(free[0], fold(_RANGES[0])).when(free[1], fold(_RANGES[1])).when(free[2], fold(_RANGES[2]))
-    which = F.when(free[0], _alphabet(_RANGES[0])).when(free[1], _alphabet(_RANGES[1])).when(free[2], _alphabet(_RANGES[2]))
-    return found.withColumn("_folded", folded).withColumn("_abc", which)
 
+def _parts(text: str, size: int) -> Column:
+    """All runs of `size` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
 
-def _mark(rank: Column) -> Column:
-    """The sentinel of a rank in the text's own range."""
-    return F.call_function("translate", _sentinel(rank), F.lit(_alphabet(_RANGES[0])), F.col("_abc"))
 
+def _anchors(spelled: DataFrame) -> DataFrame:
+    """(dossier_id, part, rank, writing, tag): of every writing of SHORT characters or more the part that fewest writings have."""
+    parts = F.when(F.length("writing") >= PART, _parts("writing", PART)).otherwise(_parts("writing", SHORT))
+    each = spelled.filter(F.length("writing") >= SHORT).withColumn("part", F.explode(F.array_distinct(parts)))
+    counted = each.withColumn("n", F.count("*").over(Window.partitionBy("dossier_id", "part")))
+    rarest = F.min(F.struct("n", "part"))
+    return counted.groupBy("dossier_id", "rank", "writing", "tag").agg(rarest.alias("m")).select("dossier_id", "m.part", "rank", "writing", "tag")
 
-def mask_text(docs: DataFrame, spelled: DataFrame) -> DataFrame:
-    """`docs` plus `masked`."""
-    masked = F.aggregate("_ws", F.col("_folded"), lambda t, w: F.replace(t, _mark(w["rank"]), w["tag"]))
-    return claim(docs, spelled).withColumn("masked", masked).drop("_ws", "_folded", "_abc")
+
+def with_writings(docs: DataFrame, spelled: DataFrame) -> DataFrame:
+    """`docs` plus `_ws`: those of the dossier's writings that the text holds (rank, writing, tag), by rank.
+
+    In dossiers of more than LISTED writings the candidates come from a join of the texts' parts with the writings' rarest
+    ones, so that no row carries them all. Whether there is such a dossier is looked up first (`spelled` should be cheap to
+    read). Streams, which cannot be grouped, always meet the whole list.
+    """
+    entry = F.struct("rank", "writing", "tag")
+    held = lambda ws: F.filter(ws, lambda w: F.contains(F.col("text"), w["writing"]))
+    none = F.array().cast("array<struct<rank:int,writing:string,tag:string>>")
+    if docs.isStreaming or spelled.filter(F.col("rank") > LISTED).isEmpty():
+        lists = spelled.groupBy("dossier_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+        return docs.join(lists, "dossier_id", "left").withColumn("_ws", held(F.coalesce("_all", none))).drop("_all")
+    listed = F.when((F.col("rank") <= LISTED) | (F.length("writing") < SHORT), entry)
+    lists = spelled.groupBy("dossier_id").agg(F.max("rank").alias("_n"), F.array_sort(F.collect_list(listed)).alias("_all"))
+    near = docs.join(lists, "dossier_id", "left")
+    small = near.filter(F.coalesce("_n", F.lit(0)) <= LISTED).withColumn("_ws", held(F.coalesce("_all", none))).drop("_n", "_all")
+
+    large = near.filter(F.col("_n") > LISTED).drop("_n")
+    parts = large.select("dossier_id", "doc_id", F.explode(F.array_distinct(F.concat(_parts("text", PART), _parts("text", SHORT)))).alias("part"))
+    anchors = _anchors(spelled.join(lists.filter(F.col("_n") > LISTED).select("dossier_id"), "dossier_id", "left_semi"))
+    found = parts.join(anchors, ["dossier_id", "part"]).groupBy("dossier_id", "doc_id").agg(F.collect_set(entry).alias("_found"))
+    found = found.select(F.col("dossier_id").alias("_k"), F.col("doc_id").alias("_d"), "_found")
+    brief = F.filter("_all", lambda w: F.length(w["writing"]) < SHORT)
+    joined = large.join(found, (F.col("dossier_id") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    wide = joined.withColumn("_ws", F.array_sort(held(F.concat(brief, F.coalesce("_found", none))))).drop("_k", "_d", "_found", "_all")
+    return small.unionByName(wide)
+
+
+def claim(docs: DataFrame, spelled: DataFrame) -> DataFrame:
+    """`docs` plus `_ws` (the dossier's writings in the text: rank, writing, tag) and `_folded` (escaped text with sentinels)."""
+    folded = F.aggregate("_ws", _escaped(F.col("text")), lambda t, w: F.replace(t, _escaped(w["writing"]), _sentinel(w["rank"])))
+    return with_writings(docs, spelled).withColumn("_folded", folded)
 
 
-#: Sentinel characters back to digits; open and close become blanks, which the cast ignores.
-_digits = " 0123456789 "
+def mask_text(docs: DataFrame, spelled: DataFrame) -> DataFrame:
+    """`docs` plus `masked`. Null texts stay null."""
+    masked = F.aggregate("_ws", F.col("_folded"), lambda t, w: F.replace(t, _sentinel(w["rank"]), w["tag"]))
+    return claim(docs, spelled).withColumn("masked", _unescaped(masked)).drop("_ws", "_folded")
 
 
 def _pieces(claimed: DataFrame) -> DataFrame:
     """_texts: what lies between claims; _tags: the claimed (writing, tag) in order."""
-    mark = F.concat(F.substring("_abc", 1, 1), F.lit("([^"), F.substring("_abc", 12, 1), F.lit("]*)"), F.substring("_abc", 12, 1))
-    rank = lambda h: F.call_function("translate", h, F.col("_abc"), F.lit(_digits)).try_cast("int")
+    mark = f"{OPEN}([^{CLOSE}]*){CLOSE}"
+    rank = lambda h: F.translate(h, DIGITS, "0123456789").try_cast("int")
     found = lambda h: F.filter("_ws", lambda w: w["rank"] == rank(h))[0]
-    tags = F.transform(F.regexp_extract_all("_folded", mark, F.lit(0)), lambda h: F.struct(found(h)["writing"].alias("w"), found(h)["tag"].alias("t")))
-    return claimed.withColumn("_texts", F.split(F.col("_folded"), mark)).withColumn("_tags", tags)
+    tags = F.transform(F.regexp_extract_all("_folded", F.lit(mark), 1), lambda h: F.struct(found(h)["writing"].alias("w"), found(h)["tag"].alias("t")))
+    return claimed.withColumn("_texts", F.transform(F.split("_folded", mark), _unescaped)).withColumn("_tags", tags)
 
 
 def claimed_regions(docs: DataFrame, spelled: DataFrame) -> DataFrame:
@@ -177,6 +232,43 @@ def analyse(docs: DataFrame, detections: DataFrame, tags: DataFrame | None = Non
     return count_occurrences(table, claimed_regions(docs, writings(table)))
 
 
+class Analysis(NamedTuple):
+    """The tables after an analysis; `verdicts` has OK or EMPTY_DOSSIER for every dossier."""
+
+    tags: DataFrame
+    counters: DataFrame
+    analysed: DataFrame
+    dossiers: DataFrame
+    verdicts: DataFrame
+
+
+def analyse_dossiers(dossiers: DataFrame, docs: DataFrame, detector: Callable[[DataFrame], DataFrame], tags: DataFrame, counters: DataFrame, analysed: DataFrame) -> Analysis:
+    """Detect in documents not analysed before, number what is new, count over all documents.
+
+    A dossier (dossier_id, state, approval_hash) with documents becomes pending and keeps a stored hash; one without any is
+    refused and stays as it is. Tags and counters of all dossiers come back, `analysed` names all documents.
+    """
+    filled = docs.select("dossier_id").distinct().withColumn("_filled", F.lit(True))
+    fresh = pending_documents(docs, analysed)
+    table = tags.unionByName(assign_tags(new_values(detector(fresh), tags), counters, tags))
+    marked = dossiers.join(filled, "dossier_id", "left").withColumn("_filled", F.coalesce("_filled", F.lit(False)))
+    return Analysis(
+        count_occurrences(table, claimed_regions(docs, writings(table))),
+        advance_counters(counters, table),
+        analysed.select("dossier_id", "doc_id").unionByName(fresh.select("dossier_id", "doc_id")).distinct(),
+        marked.withColumn("state", F.when(F.col("_filled"), PENDING).otherwise(F.col("state"))).select(*dossiers.columns),
+        marked.select("dossier_id", F.when(F.col("_filled"), "OK").otherwise("EMPTY_DOSSIER").alias("verdict")),
+    )
+
+
+def take_back_approval(dossiers: DataFrame, changed: DataFrame) -> DataFrame:
+    """Dossiers of which the changed ones (dossier_id) lose an approval and its hash."""
+    touched = changed.select("dossier_id").distinct().withColumn("_touched", F.lit(True))
+    undone = (F.col("state") == APPROVED) & F.col("_touched").isNotNull()
+    joined = dossiers.join(touched, "dossier_id", "left")
+    return joined.withColumns({"state": F.when(undone, PENDING).otherwise(F.col("state")), "approval_hash": F.when(~undone, F.col("approval_hash"))}).select(*dossiers.columns)
+
+
 def remove_documents(docs: DataFrame, tags: DataFrame, gone: DataFrame) -> DataFrame:
     """Tags after documents (dossier_id, doc_id) are removed: counted again, and without those that no longer occur
     unless they are disabled."""
@@ -184,6 +276,35 @@ def remove_documents(docs: DataFrame, tags: DataFrame, gone: DataFrame) -> DataF
     return count_occurrences(tags, claimed_regions(left, writings(tags))).filter((F.col("occurrences") > 0) | (F.col("status") == DISABLED))
 
 
+class Removal(NamedTuple):
+    """The tables after a removal; `verdicts` has REMOVED or UNKNOWN_DOCUMENT for every request."""
+
+    docs: DataFrame
+    tags: DataFrame
+    analysed: DataFrame
+    dossiers: DataFrame
+    verdicts: DataFrame
+
+
+def remove_from_dossiers(dossiers: DataFrame, docs: DataFrame, tags: DataFrame, analysed: DataFrame, gone: DataFrame) -> Removal:
+    """Remove documents (dossier_id, doc_id) without asking a detector again. Only dossiers that lose a document are counted
+    anew and lose an approval; the removed documents are no longer analysed."""
+    key = ["dossier_id", "doc_id"]
+    known = docs.select(*key).distinct().withColumn("_known", F.lit(True))
+    asked = gone.select(*key).distinct().join(known, key, "left")
+    verdicts = asked.select(*key, F.when(F.col("_known"), "REMOVED").otherwise("UNKNOWN_DOCUMENT").alias("verdict"))
+    removed = asked.filter("_known").select(*key)
+    touched = removed.select("dossier_id").distinct()
+    counted = remove_documents(docs.join(touched, "dossier_id", "left_semi"), tags.join(touched, "dossier_id", "left_semi"), removed)
+    return Removal(
+        docs.join(removed, key, "left_anti"),
+        tags.join(touched, "dossier_id", "left_anti").unionByName(counted),
+        analysed.join(removed, key, "left_anti"),
+        take_back_approval(dossiers, removed),
+        verdicts,
+    )
+
+
 def set_category(switches: DataFrame, commands: DataFrame) -> DataFrame:
     """Switches after commands (dossier_id, seq, target, enabled): the last one per category wins."""
     all_of = switches.select("dossier_id", "category", "enabled", F.lit(-1).cast("long").alias("seq")).unionByName(commands.select("dossier_id", F.col("target").alias("category"), "enabled", F.col("seq").cast("long")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tagmask.functions.text import name_tokens, normalised_name, tokens_equivalent
 from tagmask.model import NAMED
+from tagmask.operators.masking import claimed_regions, count_occurrences, take_back_approval, writings
 
 
 def suggest_merges(tags: DataFrame, seen: DataFrame | None = None, ascii_only: bool = False) -> DataFrame:
@@ -46,23 +47,51 @@ def apply_merges(tags: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(merged.select("dossier_id", "tag", "_variants"), ["dossier_id", "tag"], "left").withColumn("variants", F.coalesce("_variants", "variants")).select(*tags.columns)
 
 
+def _step(rows: dict, a_tag: str, b_tag: str) -> bool:
+    """One merge in a table of tags by name; False if it is refused."""
+    a, b = rows.get(a_tag), rows.get(b_tag)
+    if a is None or b is None or a is b or a["category"] != b["category"]:
+        return False
+    keep, gone = (a, b) if a["idx"] <= b["idx"] else (b, a)
+    keep["variants"] = list(dict.fromkeys([*keep["variants"], gone["value"], *gone["variants"]]))
+    del rows[gone["tag"]]
+    return True
+
+
+def _involved(tags: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags that decisions name, and the others: only the former go through a fold."""
+    named = decisions.select("dossier_id", F.explode(F.array("tag_a", "tag_b")).alias("tag")).distinct()
+    return tags.join(named, ["dossier_id", "tag"], "left_semi"), tags.join(named, ["dossier_id", "tag"], "left_anti")
+
+
 def apply_merges_in_order(tags: DataFrame, decisions: DataFrame) -> DataFrame:
     """As apply_merges for decisions (dossier_id, seq, tag_a, tag_b) that depend on each other: one after another per
     dossier; a pair that names a tag absorbed before is refused, not followed."""
     schema, decisions = tags.schema, decisions.select(*[F.col(c).alias(c) for c in ("dossier_id", "seq", "tag_a", "tag_b")])
+    involved, others = _involved(tags, decisions)
 
     def fold(pair: tuple, table: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
         rows = {r["tag"]: r for r in table.to_dict("records")}
         for step in steps.sort_values("seq").to_dict("records"):
-            a, b = rows.get(step["tag_a"]), rows.get(step["tag_b"])
-            if a is None or b is None or a is b or a["category"] != b["category"]:
-                continue
-            keep, gone = (a, b) if a["idx"] <= b["idx"] else (b, a)
-            keep["variants"] = list(dict.fromkeys([*keep["variants"], gone["value"], *gone["variants"]]))
-            del rows[gone["tag"]]
+            _step(rows, step["tag_a"], step["tag_b"])
         return pd.DataFrame(list(rows.values()), columns=table.columns)
 
-    return tags.groupBy("dossier_id").cogroup(decisions.groupBy("dossier_id")).applyInPandas(fold, schema)
+    return others.unionByName(involved.select(*tags.columns).groupBy("dossier_id").cogroup(decisions.groupBy("dossier_id")).applyInPandas(fold, schema))
+
+
+def merges_done(tags: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(dossier_id, seq, done) for decisions in order: whether each merge takes place."""
+    decisions = decisions.select(*[F.col(c).alias(c) for c in ("dossier_id", "seq", "tag_a", "tag_b")])
+    involved, _ = _involved(tags, decisions)
+
+    def fold(pair: tuple, table: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        rows = {r["tag"]: r for r in table.to_dict("records")}
+        steps = steps.sort_values("seq")
+        done = [_step(rows, a, b) for a, b in zip(steps["tag_a"], steps["tag_b"], strict=True)]
+        return pd.DataFrame({"dossier_id": steps["dossier_id"], "seq": steps["seq"], "done": done})
+
+    kind = decisions.schema["seq"].dataType.simpleString()
+    return involved.groupBy("dossier_id").cogroup(decisions.groupBy("dossier_id")).applyInPandas(fold, f"dossier_id string, seq {kind}, done boolean")
 
 
 def decide_merges(queue: DataFrame, tags: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -76,6 +105,34 @@ def decide_merges(queue: DataFrame, tags: DataFrame, decisions: DataFrame) -> Da
     return joined.select("dossier_id", "seq", "merge_id", "decision", verdict.alias("verdict"))
 
 
+class Settlement(NamedTuple):
+    """The tables after decisions on the merge queue, and a verdict per decision."""
+
+    verdicts: DataFrame
+    queue: DataFrame
+    tags: DataFrame
+    dossiers: DataFrame
+
+
+def settle_merges(queue: DataFrame, tags: DataFrame, decisions: DataFrame, docs: DataFrame, dossiers: DataFrame) -> Settlement:
+    """Carry out decisions (dossier_id, seq, merge_id, decision): verdicts as decide_merges, one after another.
+
+    Accepted merges are applied in their order and the dossiers concerned counted again and an approval taken back;
+    `separate` only resolves the suggestion; a merge of which a tag is gone (an earlier one may have absorbed it) fails and
+    stays open.
+    """
+    judged = decide_merges(queue, tags, decisions)
+    wanted = judged.filter("verdict = 'MERGED'").join(queue.select("dossier_id", "merge_id", "tag_a", "tag_b"), ["dossier_id", "merge_id"])
+    done = merges_done(tags, wanted)
+    verdicts = judged.join(done, ["dossier_id", "seq"], "left").withColumn("verdict", F.when((F.col("verdict") == "MERGED") & ~F.col("done"), "FAILED").otherwise(F.col("verdict"))).drop("done")
+    closed = verdicts.filter(F.col("verdict").isin("MERGED", "SEPARATED")).select("dossier_id", "merge_id", F.lit(True).alias("_closed")).distinct()
+    after = queue.join(closed, ["dossier_id", "merge_id"], "left").withColumn("resolved", F.col("resolved") | F.coalesce("_closed", F.lit(False))).select(*queue.columns)
+    touched = verdicts.filter("verdict = 'MERGED'").select("dossier_id").distinct()
+    merged = apply_merges_in_order(tags.join(touched, "dossier_id", "left_semi").select(*tags.columns), wanted)
+    counted = count_occurrences(merged, claimed_regions(docs.join(touched, "dossier_id", "left_semi"), writings(merged)))
+    return Settlement(verdicts, after, tags.join(touched, "dossier_id", "left_anti").select(*tags.columns).unionByName(counted), take_back_approval(dossiers, touched))
+
+
 def merge_queue_view(queue: DataFrame, tags: DataFrame) -> DataFrame:
     """The queue with both values; null where a tag is gone."""
     value = lambda c: tags.select("dossier_id", F.col("tag").alias(f"tag_{c}"), F.col("value").alias(f"value_{c}"))

@@ -77,9 +77,20 @@ def approval_digest_wide(masked: DataFrame) -> DataFrame:
 
 
 def review(docs: DataFrame, tags: DataFrame, switches: DataFrame, dossiers: DataFrame) -> DataFrame:
-    """One row per dossier: state, totals, exposure and categories."""
-    kinds = category_summary(tags, switches).groupBy("dossier_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "category"))), lambda x: x["category"]).alias("categories"))
-    return dossiers.select("dossier_id", "state").join(dossier_totals(docs), "dossier_id", "left").join(exposure(tags, switches), "dossier_id", "left").join(kinds, "dossier_id", "left")
+    """One row per dossier: state, totals, exposure, exposure by category (the most exposed first) and categories."""
+    in_order = lambda df, order, value: df.groupBy("dossier_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"]))
+    kinds = in_order(category_summary(tags, switches), F.col("place"), F.col("category")).toDF("dossier_id", "categories")
+    exposed = in_order(exposure_by_category(tags, switches), F.col("place"), F.concat_ws(":", "category", F.col("in_clear").cast("string"))).toDF("dossier_id", "exposed")
+    whole = dossiers.select("dossier_id", "state")
+    for part in (dossier_totals(docs), exposure(tags, switches), exposed, kinds):
+        whole = whole.join(part, "dossier_id", "left")
+    return whole
+
+
+def review_documents(docs: DataFrame, tags: DataFrame, switches: DataFrame) -> DataFrame:
+    """One row per document: its segments in order (text, tag, category, masked), as a reviewer reads them."""
+    parts = segments(docs, tags, switches).groupBy("dossier_id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text", "tag", "category", "masked"))), lambda s: s.dropFields("seq")).alias("segments"))
+    return docs.select("dossier_id", "doc_id", "filename").join(parts, ["dossier_id", "doc_id"], "left")
 
 
 def leak_audit(masked: DataFrame, tags: DataFrame, switches: DataFrame) -> DataFrame:
@@ -107,8 +118,13 @@ def recall_audit(truth: DataFrame, detections: DataFrame) -> DataFrame:
 
 def segments_audit(docs: DataFrame, tags: DataFrame, switches: DataFrame) -> DataFrame:
     """Documents whose segments do not add up to the text; to be empty."""
-    parts = segments(docs, tags, switches).groupBy("dossier_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "").alias("joined"))
-    return docs.join(parts, ["dossier_id", "doc_id"], "left").filter(F.coalesce("joined", F.lit("")) != F.col("text")).select("dossier_id", "doc_id")
+    return audit_parts(docs, segments(docs, tags, switches))
+
+
+def audit_parts(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Documents that their segments (dossier_id, doc_id, seq, text) do not give back."""
+    whole = parts.groupBy("dossier_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "").alias("joined"))
+    return docs.join(whole, ["dossier_id", "doc_id"], "left").filter(F.coalesce("joined", F.lit("")) != F.col("text")).select("dossier_id", "doc_id")
 
 
 def not_found_report(tags: DataFrame) -> DataFrame:

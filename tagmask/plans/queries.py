@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,19 +38,19 @@ firsts AS (SELECT *, row_number() OVER (PARTITION BY dossier_id, value ORDER BY
 fresh AS (SELECT dossier_id, value, category FROM firsts WHERE r = 1),
 tags0 AS (SELECT dossier_id, category, value, row_number() OVER (PARTITION BY dossier_id, category ORDER BY length(value) DESC, value) AS idx,
   row_number() OVER (PARTITION BY dossier_id ORDER BY length(value) DESC, value) AS pos FROM fresh),
-tags AS (SELECT *, '[' || category || '_' || idx || ']' AS tag FROM tags0)"""
+tags AS MATERIALIZED (SELECT *, '[' || category || '_' || idx || ']' AS tag FROM tags0)"""
 HITS = """,
 finds AS (SELECT l.dossier_id, l.doc_id, l.text, t.tag, t.value, t.pos FROM letters l JOIN tags t ON l.dossier_id = t.dossier_id AND contains(l.text, t.value)),
 lists AS (SELECT dossier_id, doc_id, any_value(text) AS text, list(value || chr(31) || chr(57344) || translate(CAST(pos AS VARCHAR), '0123456789', chr(57345) || chr(57346) || chr(57347) || chr(57348) || chr(57349) || chr(57350) || chr(57351) || chr(57352) || chr(57353) || chr(57354)) || chr(57355) ORDER BY pos) AS ws,
   list(chr(57344) || translate(CAST(pos AS VARCHAR), '0123456789', chr(57345) || chr(57346) || chr(57347) || chr(57348) || chr(57349) || chr(57350) || chr(57351) || chr(57352) || chr(57353) || chr(57354)) || chr(57355) || chr(31) || tag ORDER BY pos) AS back FROM finds GROUP BY dossier_id, doc_id),
-folded AS (SELECT dossier_id, doc_id, text, back, list_reduce(list_concat([text], ws), lambda t, w: replace(t, split_part(w, chr(31), 1), split_part(w, chr(31), 2))) AS f FROM lists),
+folded AS MATERIALIZED (SELECT dossier_id, doc_id, text, back, list_reduce(list_concat([text], ws), lambda t, w: replace(t, split_part(w, chr(31), 1), split_part(w, chr(31), 2))) AS f FROM lists),
 masks AS (SELECT l.dossier_id, l.doc_id, l.arrival, l.filename, l.text, coalesce(list_reduce(list_concat([f.f], f.back), lambda t, w: replace(t, split_part(w, chr(31), 1), split_part(w, chr(31), 2))), l.text) AS masked
   FROM letters l LEFT JOIN folded f ON l.dossier_id = f.dossier_id AND l.doc_id = f.doc_id)"""
 REGIONS = """,
 cut AS (SELECT dossier_id, doc_id, regexp_split_to_array(f, chr(57344) || '[^' || chr(57355) || ']*' || chr(57355)) AS texts,
   list_transform(regexp_extract_all(f, chr(57344) || '[^' || chr(57355) || ']*' || chr(57355)), lambda s: CAST(translate(s[2:-2], chr(57345) || chr(57346) || chr(57347) || chr(57348) || chr(57349) || chr(57350) || chr(57351) || chr(57352) || chr(57353) || chr(57354), '0123456789') AS BIGINT)) AS places FROM folded),
 pieces AS (SELECT dossier_id, doc_id, unnest(places) AS pos, unnest(texts[:-2]) AS gap, generate_subscripts(places, 1) AS i FROM cut),
-regions AS (SELECT p.dossier_id, p.doc_id, p.i, t.tag, t.category, length(t.value) AS size, CAST(sum(length(gap) + length(t.value)) OVER (PARTITION BY p.dossier_id, p.doc_id ORDER BY i) AS INT) AS stop
+regions AS MATERIALIZED (SELECT p.dossier_id, p.doc_id, p.i, t.tag, t.category, length(t.value) AS size, CAST(sum(length(gap) + length(t.value)) OVER (PARTITION BY p.dossier_id, p.doc_id ORDER BY i) AS INT) AS stop
   FROM pieces p JOIN tags t ON p.dossier_id = t.dossier_id AND p.pos = t.pos),
 counted AS (SELECT t.*, coalesce(n, 0) AS occurrences, CASE WHEN n > 0 THEN 'APPLIED' ELSE 'NOT_FOUND' END AS status
   FROM tags t LEFT JOIN (SELECT dossier_id, tag, count(*) AS n FROM regions GROUP BY ALL) c ON t.dossier_id = c.dossier_id AND t.tag = c.tag)"""
@@ -686,11 +687,16 @@ def _(spark, sf):
 
 # --- files, vault, streams -----------------------------------------------------------------------------------------------
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    import uuid
-
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='tagmask-')).rstrip('/')}/tagmask-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; it goes when the session ends. It lies under spark.checkpoint.dir; only
+    where that is unset and driver and executors are one process, in a temporary one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(named or 'file://' + tempfile.mkdtemp(prefix='tagmask-')).rstrip('/')}/tagmask-{uuid.uuid4().hex}"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def _round_trip(spark: SparkSession, sf: str, rounds: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +101,24 @@ def write_export(exported: DataFrame, path: str) -> None:
     exported.write.partitionBy("dossier_id").parquet(path)
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """Write (dossier_id, filename, content binary) as one file a row, in a directory for each dossier, in tasks.
+
+    A row that a task writes again replaces its own file. `path` is a URI that driver and executors share.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, folder = fs.FileSystem.from_uri(path)
+        for frame in frames:
+            for dossier, name, content in zip(frame["dossier_id"], frame["filename"], frame["content"], strict=True):
+                store.create_dir(f"{folder}/{dossier}", recursive=True)
+                with store.open_output_stream(f"{folder}/{dossier}/{name}", compression=None) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"written": [len(frame)]})
+
+    rows.select("dossier_id", "filename", "content").mapInPandas(write, "written long").write.format("noop").mode("overwrite").save()
+
+
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """Returned texts, one file each: dossier_id (directory), answer_id (file name), text; verdict EMPTY for blank ones."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("_path", F.input_file_name())

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tagmask.operators.masking import assign_tags, mask_text, new_values, pending_documents, writings
+from tagmask.operators.masking import assign_tags, claimed_regions, count_occurrences, mask_text, new_values, pending_documents, writings
 from tagmask.operators.restore import restore
 
 
 def stream_analyse(docs: DataFrame, detector: Callable[[DataFrame], DataFrame], state_path: str, checkpoint: str) -> StreamingQuery:
-    """New documents are detected once; tags grow and are never numbered again.
+    """New documents are detected once; tags grow and are never numbered again; counts follow all documents so far.
 
-    State lies in batch folders under `state_path` (tags, analysed); a batch that is run again overwrites its own folder
-    and reads only earlier ones, so its result is the same.
+    State lies in batch folders under `state_path` (documents, tags, counts); a batch that is run again overwrites its
+    own folder and reads only earlier ones, so its result is the same. A batch counts the dossiers that it touches, over all
+    their documents, as new values may claim text in old ones. See stream_tags for the table.
     """
     spark = docs.sparkSession
 
@@ -28,16 +29,31 @@ def stream_analyse(docs: DataFrame, detector: Callable[[DataFrame], DataFrame],
                 return None
             return spark.read.parquet(path).filter(F.col("batch") < batch_id).drop("batch")
 
-        seen, tags = earlier("analysed"), earlier("tags")
-        fresh = batch if seen is None else pending_documents(batch, seen)
-        counters = None if tags is None else tags.groupBy("dossier_id", "category").agg(F.max("idx").alias("last_idx"))
-        new = assign_tags(new_values(detector(fresh), tags), counters, tags)
-        for name, rows in (("tags", new), ("analysed", fresh.select("dossier_id", "doc_id").distinct())):
+        def kept(name: str, rows: DataFrame) -> DataFrame:
             rows.write.mode("overwrite").parquet(f"{state_path}/{name}/batch={batch_id}")
+            return spark.read.schema(rows.schema).parquet(f"{state_path}/{name}/batch={batch_id}")
+
+        seen, tags = earlier("documents"), earlier("tags")
+        batch = batch.dropDuplicates(["dossier_id", "doc_id"])
+        fresh = kept("documents", batch if seen is None else pending_documents(batch, seen.select("dossier_id", "doc_id")))
+        counters = None if tags is None else tags.groupBy("dossier_id", "category").agg(F.max("idx").alias("last_idx"))
+        new = kept("tags", assign_tags(new_values(detector(fresh), tags), counters, tags))
+        touched = fresh.select("dossier_id").distinct()
+        table = (new if tags is None else tags.unionByName(new)).join(touched, "dossier_id", "left_semi")
+        texts = (fresh if seen is None else seen.unionByName(fresh)).join(touched, "dossier_id", "left_semi")
+        kept("counts", count_occurrences(table, claimed_regions(texts, writings(table))).select("dossier_id", "tag", "occurrences", "status"))
 
     return docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_tags(spark: SparkSession, state_path: str) -> DataFrame:
+    """The tag table of a stream_analyse run so far, each dossier's counts from the last batch that touched it."""
+    counts = spark.read.parquet(f"{state_path}/counts")
+    last = counts.groupBy("dossier_id", "tag").agg(F.max_by(F.struct("occurrences", "status"), "batch").alias("c"))
+    tags = spark.read.parquet(f"{state_path}/tags").drop("batch", "occurrences", "status")
+    return tags.join(last, ["dossier_id", "tag"]).select(*tags.columns, "c.occurrences", "c.status")
+
+
 def stream_mask(docs: DataFrame, tags: DataFrame) -> DataFrame:
     """A stream of documents masked with the tags there are."""
     return mask_text(docs, writings(tags))

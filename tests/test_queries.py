@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import tagmask.plans.planted  # noqa: F401
 from tagmask.plans import queries as dossiers
 
 DIR = entry.SMOKE_DIR

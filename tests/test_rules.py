@@ -46,6 +46,72 @@ def test_detection(spark):
         assert r.value in docs.first().text
 
 
+SPANS = [
+    ("TELEFONO", "Tel. +39 340 123456 14/03/2024", ["+39 340 123456"]),
+    ("TELEFONO", "Tel. 02 12 34 56 78 e cell. 333-1234567", ["02 12 34 56 78", "333-1234567"]),
+    ("TELEFONO", "tel 01123456 o tel 012312345678", []),
+    ("TELEFONO", "hotel 0112345678", []),
+    ("TELEFONO", "Ordine 00391234567 spedito, particella 3331234567", []),
+    ("TELEFONO", "chiama 0039 06 1234567 oppure +393401234567.", ["0039 06 1234567", "+393401234567"]),
+    ("PIVA", "IT12345678903 e P. IVA: 12345678903, mai 12345678903" + " " * 40 + "12345678903", ["IT12345678903", "12345678903", "12345678903"]),
+    ("CATASTO", "al foglio n. 12, particella 345, sub 6 e fg 12 mappale 345", ["foglio n. 12, particella 345, sub 6", "fg 12 mappale 345"]),
+    ("CATASTO", "foglio 12 " + "x" * 50 + " particella 3", []),
+    ("PRATICA", "Pratica n. P/123, prot. 2024-55.b; fascicolo numero 7/A. Riferimento alla nota; pratica chiusa", ["Pratica n. P/123", "prot. 2024-55.b", "fascicolo numero 7/A"]),
+    ("IMPORTO", "paga 1.250,00 € o € 0,505 o Totale 12345 EUR, € 1,2.3", ["1.250,00 €", "€ 0,505", "12345 EUR"]),
+    ("INDIRIZZO", "in Via dei Mille 5, 10121 Torino", ["Via dei Mille 5, 10121"]),
+    ("INDIRIZZO", "Piazza del Popolo 12 e VIA GARIBALDI 42, Corso della Repubblica 3", ["Piazza del Popolo 12", "VIA GARIBALDI 42", "Corso della Repubblica 3"]),
+    ("INDIRIZZO", "via email dal cliente, Via Roma 10121 Torino", ["Via Roma 10121"]),
+    ("INDIRIZZO", "viale dell'Arte 3/b; Via G. Verdi, n. 7. Poi", ["viale dell'Arte 3/b", "Via G. Verdi, n. 7"]),
+    ("AZIENDA", "la Banca di Roma S.p.A. e Cooperativa alle Ginestre S.r.l, Neri & Figli snc", ["Banca di Roma S.p.A.", "Cooperativa alle Ginestre S.r.l", "Neri & Figli snc"]),
+    ("AZIENDA", "il nuovo centro benessere spa", []),
+    ("IBAN", "IBAN IT60 X054 2811 1010 0000 0123 456 AGENZIA", ["IT60 X054 2811 1010 0000 0123 456"]),
+    ("DATA", "il 3 marzo 2024, il 31/02/2024, il 2024-02-29 o 1.1.2020", ["3 marzo 2024", "2024-02-29", "1.1.2020"]),
+]
+
+
+def test_each_rule(spark):
+    docs = spark.createDataFrame([("k", f"{i:02}", 1, text) for i, (_, text, _) in enumerate(SPANS)], "dossier_id string, doc_id string, arrival long, text string")
+    found = {}
+    for r in detect.rule_spans(docs).collect():
+        found.setdefault((int(r.doc_id), r.category), []).append((r.start, r.value))
+        text = SPANS[int(r.doc_id)][1]
+        assert text[r.start : r.end] == r.value
+    for i, (category, _, want) in enumerate(SPANS):
+        assert [v for _, v in sorted(found.get((i, category), []))] == want, (category, i)
+
+
+def test_adversarial_texts_end(spark):
+    import time
+
+    texts = ["Via " + "A " * 3000, "Tel. " + "0 " * 4000, "foglio 1 " * 800, "pratica " + "a/" * 4000, "A" * 8000, "Rossi di " * 900, "1." * 4000, "a@" * 3000]
+    docs = spark.createDataFrame([("k", str(i), 1, t) for i, t in enumerate(texts)], "dossier_id string, doc_id string, arrival long, text string")
+    begin = time.time()
+    detect.rule_spans(docs).count()
+    assert time.time() - begin < 30
+
+
+def test_span_resolution_by_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    rows, want, pairs = [], set(), set()
+    for d in range(40):
+        mine = []
+        for i in range(rng.randrange(0, 15)):
+            start = rng.randrange(60)
+            mine.append((start, start + rng.randrange(1, 9), rng.choice(["CF", "EMAIL", "DATA", "PERSONA"]), f"{d}:{i:02}"))
+        rows += [("k", str(d), s, a, b, c, "v") for a, b, c, s in mine]
+        kept = []
+        for a, b, c, s in sorted(mine, key=lambda x: (detect.PRIORITY[x[2]], x[0] - x[1], x[0], x[3])):
+            if all(b <= x or y <= a for x, y in kept):
+                kept.append((a, b))
+                want.add(s)
+        pairs |= {(x[3], y[3]) for x in mine for y in mine if x[3] < y[3] and x[0] < y[1] and y[0] < x[1]}
+    spans = spark.createDataFrame(rows, "dossier_id string, doc_id string, span_id string, start int, end int, category string, value string")
+    assert {r.span_id for r in detect.resolve_spans(spans).collect()} == want
+    assert {(r.span_a, r.span_b) for r in detect.span_overlaps(spans).collect()} == pairs
+
+
 def test_span_resolution_is_greedy(spark):
     spans = spark.createDataFrame([("k", "d", "a", 0, 10, "AZIENDA", "v"), ("k", "d", "b", 5, 8, "CF", "v"), ("k", "d", "c", 8, 12, "PERSONA", "v"), ("k", "d", "e", 10, 12, "PERSONA", "v")], "dossier_id string, doc_id string, span_id string, start int, end int, category string, value string")
     assert sorted(r.span_id for r in detect.resolve_spans(spans).collect()) == ["b", "c"]
@@ -118,13 +184,27 @@ def test_responses(spark):
     assert [(r.value, r.category) for r in responses.parse_responses(raw).collect()] == [("Mario", "PERSONA")]
 
 
+WHOLE = {"vault_version": 4, "fascicolo_id": "k", "documents": [], "tags": [{"tag": "[CF_1]", "categoria": "CF", "valore": "x", "occorrenze": 2, "stato": "APPLICATO", "varianti": []}], "fusioni": [], "analizzati": [], "category_enabled": {"CF": True}, "state": "DRAFT", "approval_hash": None, "counters": {"CF": 1}}
+
+
 def test_vault(spark):
-    jsons = spark.createDataFrame([("k", '{"vault_version": 4, "fascicolo_id": "k"}'), ("old", '{"vault_version": 3, "fascicolo_id": "old"}'), ("odd", '{"vault_version": true}')], "dossier_id string, json string")
+    import json
+
+    without = lambda key: {k: v for k, v in WHOLE.items() if k != key}
+    tag = lambda **more: WHOLE | {"tags": [WHOLE["tags"][0] | more]}
+    cases = {"k": (WHOLE, None), "old": (WHOLE | {"vault_version": 3}, "VAULT_VERSION"), "new": (WHOLE | {"vault_version": 5}, "VAULT_VERSION")}
+    spoiled = [WHOLE | {"vault_version": True}, WHOLE | {"vault_version": "4"}, WHOLE | {"state": "OPEN"}, tag(stato="APPLIED"), tag(categoria="PERSONE"), WHOLE | {"counters": {"X": 1}}, tag(occorrenze=None), [], "x"]
+    cases |= {f"s{i}": (x, "VAULT_UNREADABLE") for i, x in enumerate([*spoiled, *map(without, WHOLE)])}
+    jsons = spark.createDataFrame([(k, json.dumps(x)) for k, (x, _) in cases.items()] + [("no", "not json")], "dossier_id string, json string")
     blobs = vault.write_vault(jsons, "prova", rounds=10).cache()
-    assert {r.dossier_id: r.error for r in vault.read_vault(blobs, "prova").collect()} == {"k": None, "old": "VAULT_VERSION", "odd": "VAULT_UNREADABLE"}
+    opened = vault.read_vault(blobs, "prova")
+    assert {r.dossier_id: r.error for r in opened.collect()} == {k: e for k, (_, e) in cases.items()} | {"no": "VAULT_UNREADABLE"}
+    assert [tuple(r) for r in vault.opened_tags(opened).collect()] == [("k", "[CF_1]", "CF", 1, "x", 2, "APPLIED", [], 1)]
     assert {r.error for r in vault.read_vault(blobs, "falsa").collect()} == {"VAULT_UNREADABLE"}
-    cut = blobs.withColumn("blob", F.expr("substring(blob, 1, length(blob) - 1)"))
-    assert {r.error for r in vault.read_vault(cut, "prova").collect()} == {"VAULT_UNREADABLE"}
+    good = blobs.filter("dossier_id = 'k'")
+    part = lambda a, n=None: f"substring(blob, {a}{'' if n is None else f', {n}'})"
+    for blob in (part(1, 36), part(1, 3), "cast('' as binary)", "cast(null as binary)", f"concat({part(1, 4)}, unhex('FFFFFFFF'), {part(9)})", f"concat({part(1, 4)}, unhex('00000000'), {part(9)})", f"concat(unhex('00'), {part(2)})", "substring(blob, 1, length(blob) - 1)"):
+        assert [r.error for r in vault.read_vault(good.withColumn("blob", F.expr(blob)), "prova").collect()] == ["VAULT_UNREADABLE"], blob
 
 
 @pytest.mark.parametrize("text,image,verdict", [("x" * 50, 1.0, False), ("", 1.0, True), ("", 0.0, False), ("x" * 6, 0.9, True), ("x" * 6, 0.09, False)])
