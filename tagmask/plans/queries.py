@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmask.functions import text as fn
-from tagmask.model import CATEGORIES, TITLES_SQL
+from tagmask.model import CATEGORIES
 from tagmask.operators import detect, masking, merging, restore, review, state, wide
 from tagmask.plans.derived import register, with_derived
 from tagmask.sources import ingest, responses, vault
@@ -370,6 +370,7 @@ def _(spark, sf):
 
 
 # --- names and merges ----------------------------------------------------------------------------------------------------
+TITLES_SQL = "^((" + "|".join(t.replace(".", r"\.") for t in fn.TITLES) + ")( |$))+"
 _NORM = f"trim(regexp_replace(trim(regexp_replace(lower(value), '\\s+', ' ', 'g')), '{TITLES_SQL}', ''))"
 MERGE = f"""fresh AS (SELECT DISTINCT dossier_id, person AS value FROM persons),
 names AS (SELECT *, row_number() OVER (PARTITION BY dossier_id ORDER BY length(value) DESC, value) AS idx, list_filter(regexp_split_to_array({_NORM}, '[\\s,]+'), lambda t: t <> '') AS t FROM fresh),
