@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmask.llm.common import read, written
+from tagmask.llm.common import only_last, read, written
 from tagmask.llm.language_id import UNKNOWN, identify, train_languages
 from tagmask.llm.mixing import take_mix
 from tagmask.llm.near_dup import drop_near_duplicates
@@ -54,6 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with only_last(spark):
+        for name, stage in STAGES:
+            with only_last(spark):
+                docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
