@@ -309,7 +309,10 @@ def _(spark, sf):
 
 @query("review", TAGS[1:] + HITS + REGIONS + OFF + f""", e AS (SELECT dossier_id, CAST(sum(CASE WHEN NOT active THEN occurrences ELSE 0 END) AS BIGINT) AS in_clear, CAST(sum(CASE WHEN active THEN occurrences ELSE 0 END) AS BIGINT) AS masked FROM activity GROUP BY dossier_id),
 k AS (SELECT dossier_id, list(DISTINCT category ORDER BY list_position({list(CATEGORIES)}, category)) AS categories FROM tags GROUP BY dossier_id), t AS (SELECT dossier_id, count(*) AS documents, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(0 AS BIGINT) AS warnings FROM letters GROUP BY dossier_id)
-SELECT t.dossier_id, 'PENDING_REVIEW' AS state, documents, pages, characters, warnings, in_clear, masked, categories FROM t LEFT JOIN e USING (dossier_id) LEFT JOIN k USING (dossier_id)""")
+, x AS (SELECT dossier_id, list(category || ':' || n ORDER BY n DESC, category) AS exposed
+  FROM (SELECT dossier_id, category, CAST(sum(occurrences) AS BIGINT) AS n FROM activity WHERE NOT active AND occurrences > 0 GROUP BY ALL) GROUP BY dossier_id)
+SELECT t.dossier_id, 'PENDING_REVIEW' AS state, documents, pages, characters, warnings, in_clear, masked, exposed, categories
+FROM t LEFT JOIN e USING (dossier_id) LEFT JOIN x USING (dossier_id) LEFT JOIN k USING (dossier_id)""")
 def _(spark, sf):
     docs, tags, switches = _counted(spark, sf)
     dossiers = docs.select("dossier_id").distinct().withColumn("state", F.lit("PENDING_REVIEW"))
