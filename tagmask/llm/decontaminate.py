@@ -276,7 +276,7 @@ lengths AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 grams AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM places JOIN lengths ON i + n - 1 <= len(w)),
 found AS MATERIALIZED (SELECT r, i, g.n, item FROM grams g JOIN windows USING (n, gram)),
-hits AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
 names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM words LEFT JOIN hits USING (r) LEFT JOIN names USING (r)
