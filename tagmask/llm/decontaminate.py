@@ -135,9 +135,10 @@ class SuffixAutomaton:
         yield from zip(starts[good].tolist(), ends[good].tolist(), strict=True)
 
 
-def split_words(text: pa.Array, between: str) -> tuple[pa.Array, np.ndarray]:
-    """Words of all texts (A-Z lower-cased) and the row of each."""
-    parts = pc.split_pattern_regex(pc.ascii_lower(text), between)
+def split_words(column: pa.Array, between: str) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts (A-Z lower-cased) and the row of each. Lower-casing comes before the cast: Arrow's ASCII kernels
+    give zero bytes for a slice that was cast."""
+    parts = pc.split_pattern_regex(as_text(pc.ascii_lower(column)), between)
     words, rows = parts.flatten(), pc.list_parent_indices(parts)
     full = pc.greater(pc.binary_length(words), 0)
     return words.filter(full), np.asarray(rows.filter(full))
@@ -148,7 +149,7 @@ def _searching(shared, keep: list[str], names: list[str]) -> Callable:
         automaton: SuffixAutomaton = shared.value
         known = pa.array(list(automaton.words), pa.large_string())
         for batch in light(batches):
-            words, rows = split_words(as_text(batch.column("text")), BETWEEN)
+            words, rows = split_words(batch.column("text"), BETWEEN)
             codes = np.asarray(pc.fill_null(pc.index_in(words, known), -1), np.int64)
             firsts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -266,7 +267,7 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 OP11_SQL = r"""
-WITH words AS (
+WITH words AS MATERIALIZED (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -39,7 +39,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in light(batches):
         lang, source = (as_text(batch.column(c)).dictionary_encode() for c in ("lang", "source"))
-        words, rows = split_words(as_text(batch.column("text")), BETWEEN)
+        words, rows = split_words(batch.column("text"), BETWEEN)
         coded = words.dictionary_encode()
         per_doc = pa.table({"doc": rows, "t": coded.indices}).group_by(["doc", "t"]).aggregate([([], "count_all")])
         doc = per_doc["doc"].combine_chunks()
@@ -143,7 +143,7 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = r"""
-WITH d AS (
+WITH d AS MATERIALIZED (
   SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
 w AS (SELECT lang, source, r, unnest(ts) AS term FROM d),

@@ -62,6 +62,13 @@ def test_overlaps_brute_force(spark):
         assert overlaps(spark, texts, items, window=5, shard_words=40) == want
 
 
+def test_overlaps_of_sliced_batches(spark):
+    """Texts of several MB, which are looked at in slices of an Arrow batch."""
+    texts = [f"x{i} " + "word " * 200_000 + "one TWO three four five six seven eight nine ten" for i in range(6)]
+    items = [(1, "One two three four five six seven eight nine ten")]
+    assert overlaps(spark, texts, items) == [(200_011, 10, ["1"])] * 6
+
+
 def test_overlaps_odd_tables(spark):
     assert overlaps(spark, ["a b", None], []) == [(2, 0, []), (0, 0, [])]
     assert overlaps(spark, ["a b", None], [(1, None), (2, "...")]) == [(2, 0, []), (0, 0, [])]
