@@ -8,6 +8,7 @@ computed where the stored bytes are read, so only digests and features meet in t
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -90,7 +91,7 @@ class _Interleaver(HTMLParser):
                 self.figures[-1].place = len(self.segments)
             self.figures[-1].captioned = True
         named = dict(attrs)
-        source = named.get("src") or named.get("data")
+        source = named.get("src") or named.get("data") or first_candidate(named.get("srcset"))
         if tag in MEDIA and source:
             self.segments.append({"kind": "media", "text": None, "source": source, "caption": named.get("alt")})
             if self.figures:
@@ -117,6 +118,12 @@ class _Interleaver(HTMLParser):
             (self.figures[-1].caption if self.figures and self.figures[-1].captioned else self.words).append(data)
 
 
+def first_candidate(srcset: str | None) -> str | None:
+    """The address of the first image of a srcset (addresses, each with a descriptor, between commas); null where there is none."""
+    found = re.match(r"[\s,]*(\S+)", srcset or "")
+    return (found[1].rstrip(",") or None) if found else None
+
+
 def interleave(html: str | None) -> list[dict]:
     """Text and media of an HTML text in reading order; a figure's caption belongs to the media of the figure.
 

@@ -507,6 +507,7 @@ def test_interleaving():
     assert short("<figure><img src=a alt=k><figcaption>open <p>caption</figure>then") == [("media", "a", "open caption"), ("text", "then", None)]
     assert short("<figure><img src=a><figcaption>never closed") == [("media", "a", "never closed")]
     assert short("<head>words</head>") == [("text", "words", None)] and short("<p>a</noscript>b</figure></figcaption>c") == [("text", "ab", None), ("text", "c", None)]
+    assert short("<picture><source srcset='a 1x, b 2x'><img srcset=' ,c.png, d 2x'></picture><img srcset=' '>") == [("media", "a", None), ("media", "c.png", None)]
     assert media.interleave(None) == [] and [s["position"] for s in media.interleave(html)] == list(range(6))
 
 
@@ -650,6 +651,51 @@ def test_search_prunes_and_stays_exact():
     assert np.mean(scored) < 100
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_search_with_ties_at_the_border_of_frequent_lists(seed, monkeypatch):
+    """Families of near copies, so that lists tie in length where the frequent ones end, and queries' terms in any order."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(100):
+        words = rng.integers(0, 1000, 100)
+        texts += [" ".join(f"w{x}" for x in np.where(rng.random(100) < 0.02, rng.integers(0, 1000, 100), words)) for _ in range(12)]
+    n = len(texts)
+    parts = list(search.term_counts(pa.array(texts, pa.large_string())))
+    doc, term, times = (np.concatenate([p[i] + (p[0] if i == 1 else 0) for p in parts]) for i in (1, 2, 3))
+    lengths, sizes = np.concatenate([p[4] for p in parts]), np.bincount(doc, minlength=n)
+    terms, code = np.unique(term, return_inverse=True)
+    df = np.bincount(code)
+    falling = np.sort(df)[::-1]
+    monkeypatch.setattr(search, "FREQUENT", next(f for f in range(256, len(falling)) if falling[f - 1] == falling[f]))
+    shard = search.Shard(search.invert_shard(search.unpack_arrays(search.gather_shard(np.arange(n), lengths, sizes, term, times)), lengths.mean()))
+    gain = np.zeros((n, len(terms)))
+    gain[doc, code] = times * 2.2 / (times + 1.2 * (0.25 + 0.75 * lengths / lengths.mean())[doc])
+    asked = [rng.permutation(np.flatnonzero(doc == q)) for q in range(0, n, 7)]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    weights = [times[mine] * idf[code[mine]] for mine in asked]
+    distinct, which = np.unique(np.concatenate([term[mine] for mine in asked]), return_inverse=True)
+    lists = shard.lists(distinct, which, np.cumsum([len(mine) for mine in asked]), np.concatenate(weights))
+    for i, mine in enumerate(asked):
+        want = gain[:, code[mine]] @ weights[i]
+        order = np.lexsort((np.arange(n), -np.round(want, 9)))[:10]
+        for ids, best in ((np.zeros(0, np.int64), np.zeros(0)), (np.full(10, -1), np.full(10, np.sort(want)[-10] * 0.999))):
+            ids, best = shard.search(lists, i, 10, ids, best)
+            # Scores that are equal but for the order of summing may change places.
+            assert len(set(ids.tolist())) == 10 and np.allclose(best, want[order], rtol=1e-12) and np.allclose(want[ids], want[order], rtol=1e-12)
+
+
+def test_blocks_of_more_texts_than_a_shard_numbers(spark):
+    """Very short texts: one block of bytes holds more of them than 16 bits number."""
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 69_999, "needle x").otherwise("x").alias("text")).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        hits = search.search(docs, spark.createDataFrame([(1, "needle x")], "query_id long, text string"), 3).orderBy("rank").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.doc_id for r in hits] == [69_999, 0, 1]
+
+
 def test_search_odd_rows(spark):
     odd = odd_rows(spark).drop("score", "label")
     hits = search.search(odd, odd.filter("doc_id is not null").select(F.col("doc_id").alias("query_id"), "text")).collect()
