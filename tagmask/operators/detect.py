@@ -6,6 +6,7 @@ det_seq, value, category). Every value is a literal part of the text; one that i
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 from tagmask.functions.text import CF_SHAPE, MONTHS, date_exists, has_context, iban_valid, phone_plausible, tax_code_valid, vat_number_valid
 from tagmask.model import PRIORITY
-
+from tagmask.operators.masking import with_writings
 
 
 def _any(*words: str) -> str:
@@ -25,7 +26,7 @@ def _any(*words: str) -> str:
 
 # --- the parts that the rules name, put together to patterns in Java's syntax -----------------------------------------------
 #: Kinds of streets and their usual short forms, initials of company forms.
-STREETS = ("via", "viale", "piazza", "corso", "largo", "vicolo", "strada", "contrada", "località", "borgo", "salita", "lungomare", "v.le", "p.zza", "p.za", "c.so", "l.go", "str.", "loc.")
+STREETS = ("via", "viale", "piazza", "piazzale", "corso", "largo", "vicolo", "strada", "contrada", "località", "localita", "borgo", "salita", "lungomare", "v.le", "p.zza", "p.za", "c.so", "l.go", "str.", "loc.")
 COMPANY_FORMS = ("srl", "spa", "snc", "sas", "scarl")
 #: What may stand between the capitalised words of a name (articles and prepositions), and the prepositions and
 #: articles that grow together (da + lla).
@@ -67,13 +68,26 @@ PATTERNS = {
 }
 
 
+#: What a text must have for a category's pattern to be tried: cheap to find, and part of every match.
+GUARDS = {
+    "EMAIL": "@", "CATASTO": "(?i)f(?:oglio|ogl|g)", "PRATICA": rf"(?i){_FILE}", "TELEFONO": r"\d[ ./-]?\d[ ./-]?\d", "PIVA": r"\d{11}", "IBAN": r"[A-Z]{2}\d{2}",
+    "DATA": r"\d{4}", "IMPORTO": rf"€|{_CURRENCY}", "CF": r"[A-Z]{6}", "AZIENDA": "(?i)s[.]?(?:r[.]?l|p[.]?a|n[.]?c|a[.]?s|c[.]?a[.]?r)",
+}
+#: Marks of a match's start and end in a scanned text.
+_START, _STOP = "\ue100", "\ue101"
+
+
 def _with_places(pattern: str) -> Column:
-    """All matches in `text` as structs of start (in code points) and value."""
-    found = F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)
-    sides = F.zip_with(F.split("text", pattern), found, lambda gap, value: F.struct(F.length(gap).alias("g"), value.alias("v")))
+    """All matches in `text` as structs of start (in code points) and value. The pattern runs once: it puts a mark around every
+    match, and the marked text is cut there. Texts that hold a mark themselves are split and searched."""
+    split = F.zip_with(F.split("text", pattern), F.regexp_extract_all("text", F.lit(f"({pattern})"), 1), lambda gap, value: F.struct(gap.alias("g"), value.alias("v")))
+    marked = F.split(F.regexp_replace("text", f"({pattern})", f"{_STOP}$1{_START}"), _START)
+    # Each part is a gap, and but for the last the match behind it.
+    cut = F.transform(marked, lambda part: F.struct(F.substring_index(part, _STOP, 1).alias("g"), F.when(F.contains(part, F.lit(_STOP)), F.substring_index(part, _STOP, -1)).alias("v")))
+    sides = F.when(F.col("text").rlike(f"[{_START}-{_STOP}]"), split).otherwise(cut)
 
     def step(acc: Column, side: Column) -> Column:
-        start = acc["at"] + side["g"]
+        start = acc["at"] + F.length(side["g"])
         return F.struct((start + F.length(side["v"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), side["v"].alias("value")))).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
@@ -114,9 +128,10 @@ def rule_spans(docs: DataFrame, categories=tuple(PATTERNS)) -> DataFrame:
         found = _with_places(PATTERNS[category])
         if category in ("PIVA", "TELEFONO"):
             found = F.filter(found, lambda s: has_context(F.col("text"), s["start"], s["value"], F.lit(category)))
-        return F.transform(found, lambda s: F.struct(F.lit(category).alias("category"), s["start"].alias("start"), s["value"].alias("value")))
+        found = F.transform(found, lambda s: F.struct(F.lit(category).alias("category"), s["start"].alias("start"), s["value"].alias("value")))
+        return F.when(F.col("text").rlike(GUARDS[category]), found) if category in GUARDS else found
 
-    spans = docs.select("dossier_id", "doc_id", F.explode(F.concat(*map(spans_of, categories))).alias("s")).select("dossier_id", "doc_id", "s.*")
+    spans = docs.select("dossier_id", "doc_id", F.explode(F.flatten(F.array_compact(F.array(*map(spans_of, categories))))).alias("s")).select("dossier_id", "doc_id", "s.*")
     value = F.col("value")
     if "IBAN" in categories:
         spans = spans.withColumn("_iban", _iban_part(F.when(F.col("category") == "IBAN", value)))
@@ -140,14 +155,36 @@ def _islands(spans: DataFrame) -> DataFrame:
     return opened.withColumn("_island", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
+_CHOSEN = T.StructType([T.StructField(n, T.IntegerType() if n in ("start", "end") else T.StringType()) for n in ("span_id", "start", "end", "category", "value")])
+
+
+@F.pandas_udf(T.ArrayType(_CHOSEN))
+def _strongest(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Of spans in order of strength those that overlap no stronger one: the taken intervals stay sorted, so each span meets
+    only its two neighbours."""
+
+    def choose(spans: list[dict]) -> list[dict]:
+        starts, ends, chosen = [], [], []
+        for span in spans:
+            start, end = span["start"], span["end"]
+            at = bisect_left(ends, start + 1)  # the first taken interval that ends behind the start
+            if at < len(starts) and starts[at] < end:
+                continue
+            starts.insert(at, start)
+            ends.insert(at, end)
+            chosen.append({k: span[k] for k in _CHOSEN.names})
+        return chosen
+
+    for series in lists:
+        yield series.map(choose)
+
+
 def resolve_spans(spans: DataFrame) -> DataFrame:
     """Of overlapping spans of a document the stronger: priority of the category, then longer, earlier, span_id."""
     rank = F.element_at(F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))]), F.col("category"))
-    entry = F.struct(rank.alias("p"), (F.col("start") - F.col("end")).alias("l"), "start", "span_id", "end", "category", "value")
-    lists = _islands(spans).groupBy("dossier_id", "doc_id", "_island").agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    free = lambda acc, x: ~F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    chosen = F.aggregate("s", F.filter("s", lambda x: F.lit(False)), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return lists.select("dossier_id", "doc_id", F.explode(chosen).alias("x")).select("dossier_id", "doc_id", "x.span_id", "x.start", "x.end", "x.category", "x.value")
+    entry = F.struct(rank.alias("p"), (F.col("start") - F.col("end")).alias("l"), F.col("start").cast("int").alias("start"), F.col("span_id").cast("string").alias("span_id"), F.col("end").cast("int").alias("end"), "category", "value")
+    lists = spans.groupBy("dossier_id", "doc_id").agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    return lists.select("dossier_id", "doc_id", F.explode(_strongest("s")).alias("x")).select("dossier_id", "doc_id", "x.*")
 
 
 def span_overlaps(spans: DataFrame) -> DataFrame:
@@ -183,12 +220,15 @@ def rule_detector(categories=tuple(PATTERNS)) -> Callable[[DataFrame], DataFrame
 
 
 def lookup_detector(values: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A detector that answers from a table (dossier_id, value, category): what the text contains literally."""
+    """A detector that answers from a table (dossier_id, value, category): what the text contains literally, by value and
+    category. Texts meet values as they meet writings (see masking.with_writings)."""
 
     def detect(docs: DataFrame) -> DataFrame:
-        lists = values.groupBy("dossier_id").agg(F.array_sort(F.collect_set(F.struct("value", "category"))).alias("_v"))
-        found = docs.join(lists, "dossier_id").withColumn("_v", F.filter("_v", lambda v: F.contains(F.col("text"), v["value"])))
-        return found.select("dossier_id", "doc_id", "arrival", F.posexplode("_v").alias("det_seq", "v")).select("dossier_id", "doc_id", "arrival", "det_seq", "v.value", "v.category")
+        order = Window.partitionBy("dossier_id").orderBy("value", "category")
+        known = values.select("dossier_id", "value", "category").filter(F.col("value").isNotNull()).distinct()
+        listed = known.select("dossier_id", F.row_number().over(order).alias("rank"), F.col("value").alias("writing"), F.col("category").alias("tag"))
+        found = with_writings(docs, listed)
+        return found.select("dossier_id", "doc_id", "arrival", F.posexplode("_ws").alias("det_seq", "v")).select("dossier_id", "doc_id", "arrival", "det_seq", F.col("v.writing").alias("value"), F.col("v.tag").alias("category"))
 
     return detect
 

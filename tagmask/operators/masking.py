@@ -17,13 +17,16 @@ from pyspark.sql.window import Window
 
 from tagmask.functions.text import placeholder
 from tagmask.model import APPLIED, APPROVED, DISABLED, NOT_FOUND, PENDING
+from tagmask.operators.anchors import SHORTEST, candidates, rarest_anchors
+from tagmask.sources.scratch import kept
 
-#: Writings of a dossier up to which each of its documents meets the list of all. In larger dossiers a document meets those of
-#: which it has a part: the rarest one of PART characters, or of SHORT for shorter writings; writings under SHORT stay listed.
-LISTED, PART, SHORT = 500, 6, 3
+#: Writings of a dossier up to which each of its documents meets the list of all; in larger dossiers candidates come by a join.
+LISTED = 500
 #: Sentinels are an opening character, shifted digits and a closing one; an escaped character is ESCAPE and two of six symbols.
 OPEN, DIGITS, CLOSE, ESCAPE = "\ue000", "".join(chr(0xE001 + i) for i in range(10)), "\ue00b", "\ue00c"
 SPECIAL = "".join(chr(0xE000 + i) for i in range(19))
+#: The same as a range: a class of single characters beyond Latin takes Java many times longer.
+_SPECIALS = f"[{SPECIAL[0]}-{SPECIAL[-1]}]"
 _CODES = {c: ESCAPE + SPECIAL[13 + i // 6] + SPECIAL[13 + i % 6] for i, c in enumerate(SPECIAL)}
 
 
@@ -99,7 +102,7 @@ def _sentinel(rank: Column) -> Column:
 def _escaped(text: Column) -> Column:
     """The text without characters of sentinels. Literal matches are those of the unescaped texts: an escaped character
     begins with ESCAPE, which occurs nowhere else, so no match begins or ends inside one."""
-    special = f"[{SPECIAL}]"
+    special = _SPECIALS
     code = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
     sides = F.zip_with(F.split(text, special), F.regexp_extract_all(text, F.lit(f"({special})"), 1), lambda part, c: F.concat(part, F.coalesce(F.element_at(code, c), F.lit(""))))
     return F.when(text.rlike(special), F.array_join(sides, "")).otherwise(text)
@@ -114,59 +117,58 @@ def _unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(ESCAPE)), F.replace(plain, F.lit(_CODES[ESCAPE]), F.lit(ESCAPE))).otherwise(text)
 
 
-def _parts(text: str, size: int) -> Column:
-    """All runs of `size` characters."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
-
-
-def _anchors(spelled: DataFrame) -> DataFrame:
-    """(dossier_id, part, rank, writing, tag): of every writing of SHORT characters or more the part that fewest writings have."""
-    parts = F.when(F.length("writing") >= PART, _parts("writing", PART)).otherwise(_parts("writing", SHORT))
-    each = spelled.filter(F.length("writing") >= SHORT).withColumn("part", F.explode(F.array_distinct(parts)))
-    counted = each.withColumn("n", F.count("*").over(Window.partitionBy("dossier_id", "part")))
-    rarest = F.min(F.struct("n", "part"))
-    return counted.groupBy("dossier_id", "rank", "writing", "tag").agg(rarest.alias("m")).select("dossier_id", "m.part", "rank", "writing", "tag")
+def _entry() -> Column:
+    """A writing as the fold needs it: how it stands in escaped text (null: as it is) and the sentinel that replaces it."""
+    escaped = F.when(F.col("writing").rlike(_SPECIALS), _escaped(F.col("writing")))
+    return F.struct("rank", "writing", "tag", escaped.alias("escaped"), _sentinel(F.col("rank")).alias("mark"))
 
 
 def with_writings(docs: DataFrame, spelled: DataFrame) -> DataFrame:
-    """`docs` plus `_ws`: those of the dossier's writings that the text holds (rank, writing, tag), by rank.
+    """`docs` plus `_ws`: those of the dossier's writings that the text holds (rank, writing, tag, ...), by rank.
 
-    In dossiers of more than LISTED writings the candidates come from a join of the texts' parts with the writings' rarest
-    ones, so that no row carries them all. Whether there is such a dossier is looked up first (`spelled` should be cheap to
-    read). Streams, which cannot be grouped, always meet the whole list.
+    `spelled` is written once and read where it is needed. In dossiers of more than LISTED writings the candidates come
+    from a join of rare grams (see anchors.py), so that no row carries them all and each text is shuffled once; only writings
+    of less than three bytes are listed there. Streams, which cannot be grouped, meet the whole list.
     """
-    entry = F.struct("rank", "writing", "tag")
+    entry = _entry()
     held = lambda ws: F.filter(ws, lambda w: F.contains(F.col("text"), w["writing"]))
-    none = F.array().cast("array<struct<rank:int,writing:string,tag:string>>")
-    if docs.isStreaming or spelled.filter(F.col("rank") > LISTED).isEmpty():
+    if docs.isStreaming:
         lists = spelled.groupBy("dossier_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-        return docs.join(lists, "dossier_id", "left").withColumn("_ws", held(F.coalesce("_all", none))).drop("_all")
-    listed = F.when((F.col("rank") <= LISTED) | (F.length("writing") < SHORT), entry)
-    lists = spelled.groupBy("dossier_id").agg(F.max("rank").alias("_n"), F.array_sort(F.collect_list(listed)).alias("_all"))
-    near = docs.join(lists, "dossier_id", "left")
-    small = near.filter(F.coalesce("_n", F.lit(0)) <= LISTED).withColumn("_ws", held(F.coalesce("_all", none))).drop("_n", "_all")
-
-    large = near.filter(F.col("_n") > LISTED).drop("_n")
-    parts = large.select("dossier_id", "doc_id", F.explode(F.array_distinct(F.concat(_parts("text", PART), _parts("text", SHORT)))).alias("part"))
-    anchors = _anchors(spelled.join(lists.filter(F.col("_n") > LISTED).select("dossier_id"), "dossier_id", "left_semi"))
-    found = parts.join(anchors, ["dossier_id", "part"]).groupBy("dossier_id", "doc_id").agg(F.collect_set(entry).alias("_found"))
+        return docs.join(lists, "dossier_id", "left").withColumn("_ws", held(_or_none("_all", lists))).drop("_all")
+    spelled = kept(spelled.select("dossier_id", "rank", "writing", "tag"))
+    large = spelled.filter(F.col("rank") > LISTED).select("dossier_id").distinct()
+    some = not large.isEmpty()
+    brief = F.octet_length("writing") < SHORTEST
+    listed = spelled.join(large.withColumn("_large", F.lit(True)), "dossier_id", "left").filter(F.col("_large").isNull() | brief) if some else spelled
+    lists = listed.groupBy("dossier_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    if not some:
+        return docs.join(lists, "dossier_id", "left").withColumn("_ws", held(_or_none("_all", lists))).drop("_all")
+    near = docs.join(large.withColumn("_large", F.lit(True)), "dossier_id", "left")
+    small = near.filter(F.col("_large").isNull()).join(lists, "dossier_id", "left").withColumn("_ws", held(_or_none("_all", lists))).drop("_all", "_large")
+
+    hot = spelled.join(large, "dossier_id", "left_semi").filter(~brief)
+    wide = near.filter("_large").drop("_large")
+    found = candidates(wide, kept(rarest_anchors(hot, "writing", "dossier_id")), "dossier_id", entry)
     found = found.select(F.col("dossier_id").alias("_k"), F.col("doc_id").alias("_d"), "_found")
-    brief = F.filter("_all", lambda w: F.length(w["writing"]) < SHORT)
-    joined = large.join(found, (F.col("dossier_id") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    wide = joined.withColumn("_ws", F.array_sort(held(F.concat(brief, F.coalesce("_found", none))))).drop("_k", "_d", "_found", "_all")
-    return small.unionByName(wide)
+    joined = wide.join(found, (F.col("dossier_id") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").join(lists, "dossier_id", "left")
+    both = F.concat(_or_none("_all", lists), _or_none("_found", found))
+    return small.unionByName(joined.withColumn("_ws", F.array_sort(held(both))).drop("_k", "_d", "_found", "_all"))
+
+
+def _or_none(column: str, of: DataFrame) -> Column:
+    return F.coalesce(column, F.array().cast(of.schema[column].dataType))
 
 
 def claim(docs: DataFrame, spelled: DataFrame) -> DataFrame:
     """`docs` plus `_ws` (the dossier's writings in the text: rank, writing, tag) and `_folded` (escaped text with sentinels)."""
-    folded = F.aggregate("_ws", _escaped(F.col("text")), lambda t, w: F.replace(t, _escaped(w["writing"]), _sentinel(w["rank"])))
+    folded = F.aggregate("_ws", _escaped(F.col("text")), lambda t, w: F.replace(t, F.coalesce(w["escaped"], w["writing"]), w["mark"]))
     return with_writings(docs, spelled).withColumn("_folded", folded)
 
 
 def mask_text(docs: DataFrame, spelled: DataFrame) -> DataFrame:
     """`docs` plus `masked`. Null texts stay null."""
-    masked = F.aggregate("_ws", F.col("_folded"), lambda t, w: F.replace(t, _sentinel(w["rank"]), w["tag"]))
-    return claim(docs, spelled).withColumn("masked", _unescaped(masked)).drop("_ws", "_folded")
+    masked = F.aggregate("_ws", F.col("_folded"), lambda t, w: F.replace(t, w["mark"], w["tag"]))
+    return claim(docs, spelled).withColumn("_masked", masked).withColumn("masked", _unescaped(F.col("_masked"))).drop("_ws", "_folded", "_masked")
 
 
 def _pieces(claimed: DataFrame) -> DataFrame:

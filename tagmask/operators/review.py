@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagmask.model import CATEGORIES, STRICT
-from tagmask.operators.masking import active_tags, claimed_regions, mask_documents, segments, writings
+from tagmask.operators.masking import active_tags, claimed_regions, mask_documents, segments, with_writings, writings
 from tagmask.operators.restore import restore
 
 
@@ -94,11 +94,13 @@ def review_documents(docs: DataFrame, tags: DataFrame, switches: DataFrame) -> D
 
 
 def leak_audit(masked: DataFrame, tags: DataFrame, switches: DataFrame) -> DataFrame:
-    """Values of applied active tags that a masked text still holds; to be empty. Placeholders are not searched."""
-    values = active_tags(tags, switches).filter("status = 'APPLIED'").select("dossier_id", "tag", "value")
-    lists = values.groupBy("dossier_id").agg(F.collect_list(F.struct("tag", "value")).alias("_v"))
-    kept = F.filter("_v", lambda v: F.exists("_o", lambda s: F.contains(s, v["value"])))
-    return masked.withColumn("_o", F.split("masked", STRICT)).join(lists, "dossier_id").select("dossier_id", "doc_id", F.explode(kept).alias("v")).select("dossier_id", "doc_id", "v.tag", "v.value")
+    """Values of applied active tags that a masked text still holds; to be empty. Placeholders are not searched. Texts meet
+    values as they meet writings (see masking.with_writings)."""
+    values = active_tags(tags, switches).filter("status = 'APPLIED'").withColumn("variants", F.array().cast("array<string>"))
+    left = masked.select("dossier_id", "doc_id", F.col("masked").alias("text"))
+    held = with_writings(left, writings(values)).withColumn("_o", F.split("text", STRICT))
+    kept = F.filter("_ws", lambda v: F.exists("_o", lambda s: F.contains(s, v["writing"])))
+    return held.select("dossier_id", "doc_id", F.explode(kept).alias("v")).select("dossier_id", "doc_id", "v.tag", F.col("v.writing").alias("value"))
 
 
 def round_trip_audit(docs: DataFrame, tags: DataFrame) -> DataFrame:

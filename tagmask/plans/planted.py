@@ -8,18 +8,12 @@ from pyspark.sql import functions as F
 from tagmask.model import PENDING
 from tagmask.operators import detect, masking, merging, restore, review
 from tagmask.plans.derived import register
-from tagmask.plans.queries import HITS, OFF, REGIONS, TAGS, _counted, _tags, query, scratch
+from tagmask.plans.queries import FACTS, HITS, OFF, REGIONS, TAGS, _counted, _tags, query
 from tagmask.sources import ingest, vault
+from tagmask.sources.scratch import kept, scratch
 from tagmask.streaming import jobs
 
 
-def _kept(spark: SparkSession, table: DataFrame) -> DataFrame:
-    """A table as it is kept between two runs: written and read."""
-    path = scratch(spark)
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
-
-
 @query("leak_audit_planted", "SELECT dossier_id, doc_id, c_name AS value FROM letter_parts WHERE arrival % 13 = 0")
 def _(spark, sf):
     """The client's name left in each thirteenth masked letter."""
@@ -77,7 +71,7 @@ def _(spark, sf):
     return masking.writings(tags)
 
 
-@query("analyse_dossiers", TAGS[1:] + HITS + REGIONS + " SELECT dossier_id, category, value, occurrences, status FROM counted")
+@query("analyse_dossiers", TAGS[1:] + FACTS + " SELECT dossier_id, category, value, occurrences, status FROM counted")
 def _(spark, sf):
     """Letters in two runs, odd arrivals after even ones: values and counts are those of one run over all."""
     d = register(spark, sf, "letters", "detections")
@@ -88,7 +82,7 @@ def _(spark, sf):
     counters = masking.advance_counters(none.select("dossier_id", "category", F.col("idx").alias("last_idx")), none)
     seen = docs.limit(0).select("dossier_id", "doc_id")
     first = masking.analyse_dossiers(dossiers, docs.filter("arrival % 2 = 0"), detector, none, counters, seen)
-    first = masking.Analysis(*[_kept(spark, table) for table in first])
+    first = masking.Analysis(*[kept(table) for table in first])
     second = masking.analyse_dossiers(first.dossiers, docs, detector, first.tags, first.counters, first.analysed)
     return second.tags.select("dossier_id", "category", "value", "occurrences", "status")
 
@@ -107,8 +101,8 @@ def _(spark, sf):
     return _removal(spark, sf).dossiers
 
 
-@query("removal_counts", TAGS[1:] + HITS + REGIONS + """, touched AS (SELECT DISTINCT dossier_id FROM letters WHERE arrival % 4 = 0),
-left_of AS (SELECT dossier_id, tag, count(*) AS n FROM regions WHERE CAST(doc_id[3:] AS BIGINT) % 4 <> 0 GROUP BY ALL)
+@query("removal_counts", TAGS[1:] + FACTS + """, touched AS (SELECT DISTINCT dossier_id FROM letters WHERE arrival % 4 = 0),
+left_of AS (SELECT p.dossier_id, tag, CAST(sum(n) AS BIGINT) AS n FROM placed p JOIN tags t ON p.dossier_id = t.dossier_id AND p.value = t.value WHERE arrival % 4 <> 0 GROUP BY ALL)
 SELECT c.dossier_id, c.tag, CASE WHEN t.dossier_id IS NULL THEN c.occurrences ELSE n END AS occurrences
 FROM counted c LEFT JOIN touched t ON c.dossier_id = t.dossier_id LEFT JOIN left_of l ON c.dossier_id = l.dossier_id AND c.tag = l.tag WHERE t.dossier_id IS NULL OR n IS NOT NULL""")
 def _(spark, sf):
@@ -119,7 +113,7 @@ def _(spark, sf):
 def _removal(spark, sf) -> masking.Removal:
     d = register(spark, sf, "letters", "detections")
     docs = d["letters"]
-    tags = _kept(spark, masking.analyse(docs, d["detections"]))
+    tags = kept(masking.analyse(docs, d["detections"]))
     dossiers = docs.select("dossier_id").distinct().withColumns({"state": F.lit("APPROVED"), "approval_hash": F.lit("h")})
     gone = docs.filter("arrival % 4 = 0").select("dossier_id", "doc_id").unionByName(docs.select("dossier_id", F.lit("none").alias("doc_id")).distinct())
     return masking.remove_from_dossiers(dossiers, docs, tags, docs.select("dossier_id", "doc_id"), gone)
@@ -131,7 +125,7 @@ FROM people, (SELECT unnest([1, 2, 3, 4, 5]) AS seq)""")
 def _(spark, sf):
     """Per dossier: 2 into 1; then 2 and 3, which fails as 2 is gone; one kept apart, again, and an unknown one."""
     docs, tags = _tags(spark, sf)
-    tags = _kept(spark, tags)
+    tags = kept(tags)
     dossiers = docs.select("dossier_id").distinct().withColumns({"state": F.lit("APPROVED"), "approval_hash": F.lit("h")})
     pair = lambda a, b: F.struct(F.lit(f"[PERSONA_{a}]+[PERSONA_{b}]").alias("merge_id"), F.lit(f"[PERSONA_{a}]").alias("tag_a"), F.lit(f"[PERSONA_{b}]").alias("tag_b"))
     people = tags.filter("category = 'PERSONA'").select("dossier_id").distinct()
@@ -206,7 +200,7 @@ def _(spark, sf):
     return vault.read_vault(spark.read.parquet(path), "prova").select("dossier_id", "error")
 
 
-@query("vault_tags", TAGS[1:] + HITS + REGIONS + OFF + " SELECT dossier_id, tag, category, idx, value, occurrences, status, pos FROM offs")
+@query("vault_tags", TAGS[1:] + FACTS + OFF + " SELECT dossier_id, tag, category, idx, value, occurrences, status, pos FROM offs")
 def _(spark, sf):
     """Counted tags, sealed and opened again: the format's words for a status come back as the library's."""
     docs, tags, switches = _counted(spark, sf)
@@ -220,7 +214,7 @@ def _(spark, sf):
     return vault.opened_tags(opened).select("dossier_id", "tag", "category", "idx", "value", "occurrences", "status", "pos")
 
 
-@query("stream_counts", TAGS[1:] + HITS + REGIONS + " SELECT dossier_id, category, value, occurrences, status FROM counted")
+@query("stream_counts", TAGS[1:] + FACTS + " SELECT dossier_id, category, value, occurrences, status FROM counted")
 def _(spark, sf):
     """Letters in three micro-batches: after the last, values, counts and status are those of one run over all."""
     d = register(spark, sf, "letters", "detections")
@@ -236,7 +230,7 @@ def _one_dossier(spark, sf) -> tuple[DataFrame, DataFrame]:
     """All letters in one dossier, with its tags: far more writings than a list takes."""
     d = register(spark, sf, "letters", "detections")
     docs, found = (d[n].withColumn("dossier_id", F.lit("all")) for n in ("letters", "detections"))
-    return docs, _kept(spark, masking.assign_tags(masking.new_values(found.filter("category in ('AZIENDA', 'EMAIL', 'PRATICA')"))))
+    return docs, kept(masking.assign_tags(masking.new_values(found.filter("category in ('AZIENDA', 'EMAIL', 'PRATICA')"))))
 
 
 @query("mask_hot_dossier", """firsts AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY arrival, det_seq, category) AS r FROM detections WHERE category IN ('AZIENDA', 'EMAIL', 'PRATICA')),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from tagmask.model import CATEGORIES
 from tagmask.operators import detect, masking, merging, restore, review, state, wide
 from tagmask.plans.derived import register, with_derived
 from tagmask.sources import ingest, responses, vault
+from tagmask.sources.scratch import scratch
 from tagmask.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +53,15 @@ regions AS MATERIALIZED (SELECT p.dossier_id, p.doc_id, p.i, t.tag, t.category,
   FROM pieces p JOIN tags t ON p.dossier_id = t.dossier_id AND p.pos = t.pos),
 counted AS (SELECT t.*, coalesce(n, 0) AS occurrences, CASE WHEN n > 0 THEN 'APPLIED' ELSE 'NOT_FOUND' END AS status
   FROM tags t LEFT JOIN (SELECT dossier_id, tag, count(*) AS n FROM regions GROUP BY ALL) c ON t.dossier_id = c.dossier_id AND t.tag = c.tag)"""
+#: The same counts without masking anything, from what letters are made of: every value stands where the letter puts it, and a
+#: value inside another (as EUR 12 in EUR 123) is never claimed there, as the longer one is a value of the dossier, too.
+FACTS = """,
+placed AS (SELECT dossier_id, arrival, c_name AS value, 1 AS n FROM letter_parts UNION ALL SELECT dossier_id, arrival, person, 2 FROM letter_parts
+  UNION ALL SELECT dossier_id, arrival, 'EUR ' || amount, 1 FROM letter_parts UNION ALL SELECT dossier_id, arrival, day, 1 FROM letter_parts
+  UNION ALL SELECT dossier_id, arrival, 'P/' || number, 1 FROM letter_parts UNION ALL SELECT dossier_id, arrival, 'u' || custkey || '@example.com', 1 FROM letter_parts),
+totals AS (SELECT dossier_id, value, CAST(sum(n) AS BIGINT) AS n FROM placed GROUP BY dossier_id, value),
+counted AS MATERIALIZED (SELECT t.*, coalesce(n, 0) AS occurrences, CASE WHEN n > 0 THEN 'APPLIED' ELSE 'NOT_FOUND' END AS status
+  FROM tags t LEFT JOIN totals c ON t.dossier_id = c.dossier_id AND t.value = c.value)"""
 OFF = """,
 offs AS (SELECT c.* REPLACE (CASE WHEN category = 'PRATICA' AND idx % 2 = 0 THEN 'DISABLED' ELSE status END AS status) FROM counted c),
 activity AS (SELECT o.*, status <> 'DISABLED' AND coalesce(s.enabled, true) AS active FROM offs o LEFT JOIN switches s ON o.dossier_id = s.dossier_id AND o.category = s.category)"""
@@ -126,7 +134,7 @@ def _(spark, sf):
     return masking.claimed_regions(docs, masking.writings(tags))
 
 
-@query("count_occurrences", TAGS[1:] + HITS + REGIONS + " SELECT dossier_id, tag, occurrences, status FROM counted")
+@query("count_occurrences", TAGS[1:] + FACTS + " SELECT dossier_id, tag, occurrences, status FROM counted")
 def _(spark, sf):
     d = register(spark, sf, "letters", "detections")
     return masking.analyse(d["letters"], d["detections"]).select("dossier_id", "tag", "occurrences", "status")
@@ -141,7 +149,7 @@ def _(spark, sf):
     return masking.segments(*_counted(spark, sf))
 
 
-@query("active_tags", TAGS[1:] + HITS + REGIONS + OFF + " SELECT dossier_id, tag FROM activity WHERE active")
+@query("active_tags", TAGS[1:] + FACTS + OFF + " SELECT dossier_id, tag FROM activity WHERE active")
 def _(spark, sf):
     _, tags, switches = _counted(spark, sf)
     return masking.active_tags(tags, switches).select("dossier_id", "tag")
@@ -183,7 +191,7 @@ def _commands(spark, sf):
     return parts.select("dossier_id", F.col("arrival").alias("seq"), F.concat(F.lit("[PERSONA_"), (F.col("arrival") % 5 + 1).cast("string"), F.lit("]")).alias("target"), (F.col("arrival") % 2 == 0).alias("enabled"))
 
 
-@query("set_tag", TAGS[1:] + HITS + REGIONS + ", " + COMMANDS + """, last AS (SELECT dossier_id, target, arg_max(enabled, seq) AS e FROM commands GROUP BY ALL)
+@query("set_tag", TAGS[1:] + FACTS + ", " + COMMANDS + """, last AS (SELECT dossier_id, target, arg_max(enabled, seq) AS e FROM commands GROUP BY ALL)
 SELECT c.dossier_id, tag, CASE WHEN e IS NULL THEN status WHEN NOT e THEN 'DISABLED' WHEN occurrences > 0 THEN 'APPLIED' ELSE 'NOT_FOUND' END AS status FROM counted c LEFT JOIN last l ON c.dossier_id = l.dossier_id AND c.tag = l.target""")
 def _(spark, sf):
     d = register(spark, sf, "letters", "detections")
@@ -366,7 +374,7 @@ def _(spark, sf):
     return review.recall_audit(dets, dets.filter("category <> 'PERSONA'"))
 
 
-@query("not_found_report", TAGS[1:] + HITS + REGIONS + " SELECT dossier_id, tag, category, value FROM counted WHERE status = 'NOT_FOUND'")
+@query("not_found_report", TAGS[1:] + FACTS + " SELECT dossier_id, tag, category, value FROM counted WHERE status = 'NOT_FOUND'")
 def _(spark, sf):
     d = register(spark, sf, "letters", "detections")
     return review.not_found_report(masking.analyse(d["letters"], d["detections"]))
@@ -690,19 +698,6 @@ def _(spark, sf):
 
 
 # --- files, vault, streams -----------------------------------------------------------------------------------------------
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; it goes when the session ends. It lies under spark.checkpoint.dir; only
-    where that is unset and driver and executors are one process, in a temporary one."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and context.master != "local" and not context.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(named or 'file://' + tempfile.mkdtemp(prefix='tagmask-')).rstrip('/')}/tagmask-{uuid.uuid4().hex}"
-    target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def _round_trip(spark: SparkSession, sf: str, rounds: int) -> DataFrame:
     """Every dossier sealed, written, read and opened."""
     docs, tags = _tags(spark, sf)

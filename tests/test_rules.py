@@ -211,3 +211,39 @@ def test_vault(spark):
 def test_page_verdict(spark, text, image, verdict):
     pages = spark.createDataFrame([("k", "d", 1, text, image, 1.0)], "dossier_id string, doc_id string, page_no int, text string, image_area double, page_area double")
     assert ingest.page_verdicts(pages).first().scan is verdict
+
+
+def test_every_street_word_begins_an_address(spark):
+    docs = spark.createDataFrame([("d", str(i), i, f"Abita in {w} Roma 3, dal 2020.") for i, w in enumerate(detect.STREETS)], "dossier_id string, doc_id string, arrival long, text string")
+    found = {r.doc_id: r.value for r in detect.rule_spans(docs, ("INDIRIZZO",)).collect()}
+    assert found == {str(i): f"{w} Roma 3" for i, w in enumerate(detect.STREETS)}
+    assert {"piazzale", "localita", "località"} <= set(detect.STREETS)
+
+
+def test_texts_with_the_scanner_s_marks(spark):
+    """Places are those of the pattern run by itself, whether or not a text holds the characters that mark matches."""
+    texts = ["a@b.it \ue100 c@d.it", "\ue101x@y.it\ue100", "x@y.it", "", "no", "🙂 a@b.it,c@d.it"]
+    docs = spark.createDataFrame([("d", str(i), i, t) for i, t in enumerate(texts)], "dossier_id string, doc_id string, arrival long, text string")
+    for r in detect.rule_spans(docs, ("EMAIL",)).collect():
+        assert texts[int(r.doc_id)][r.start : r.end] == r.value
+    assert detect.rule_spans(docs, ("EMAIL",)).count() == 6
+
+
+def test_guards_lose_no_match(spark):
+    """Every match of a category's pattern in the rule tests' texts passes its guard."""
+    docs = spark.createDataFrame([("d", str(i), i, t) for i, t in enumerate([
+        "Foglio 12 part. 3 sub 4; fg. 1 mapp. 22", "pratica n. A/12 prot 9 Rif. 7", "tel. 06 1234567, cell 333 1234567, +39 02-12345678", "P.IVA 12345678903", "IT60X0542811101000000123456",
+        "12/03/2024, 2024-01-02, 3 maggio 1990", "€ 12,50 e EUR 1.000 e 30 euro", "RSSMRA85M01H501Q", "Rossi s.r.l., Bianchi & Figli SPA, Neri S.n.c. Verdi sas Blu s.c.a.r.l."])], "dossier_id string, doc_id string, arrival long, text string")
+    guarded = {(r.doc_id, r.start, r.category) for r in detect.rule_spans(docs).collect()}
+    before = dict(detect.GUARDS)
+    detect.GUARDS.clear()
+    try:
+        plain = {(r.doc_id, r.start, r.category) for r in detect.rule_spans(docs).collect()}
+    finally:
+        detect.GUARDS.update(before)
+    assert guarded == plain and {c for _, _, c in plain} >= {"CATASTO", "PRATICA", "TELEFONO", "PIVA", "IBAN", "DATA", "IMPORTO", "CF", "AZIENDA"}
+
+
+def test_many_overlapping_spans_of_one_document(spark):
+    spans = spark.range(100_000).select(F.lit("d").alias("dossier_id"), F.lit("x").alias("doc_id"), F.col("id").cast("string").alias("span_id"), F.col("id").cast("int").alias("start"), (F.col("id") + 10).cast("int").alias("end"), F.lit("DATA").alias("category"), F.lit("v").alias("value"))
+    assert {r.start for r in detect.resolve_spans(spans).collect()} == set(range(0, 100_000, 10))
