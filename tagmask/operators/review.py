@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,11 +66,34 @@ def usage_cost(usage: DataFrame, price_in: float, price_out: float) -> DataFrame
     return sums.withColumn("cost", (F.col("token_in") * price_in + F.col("token_out") * price_out) / 1e6).withColumn("priced", F.lit(price_in > 0 or price_out > 0))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each dossier's blocks, which come in order; the state goes on from batch to batch."""
+    current, state, done = None, None, []
+    for batch in batches:
+        for dossier, block in zip(batch.column("dossier_id").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if state is None or dossier != current:
+                if state is not None:
+                    done.append((current, state.hexdigest()))
+                current, state = dossier, hashlib.sha256()
+            state.update((block or "").encode())
+        yield pa.RecordBatch.from_pylist([{"dossier_id": d, "digest": h} for d, h in done], schema=_DIGESTS)
+        done = []
+    if state is not None:
+        yield pa.RecordBatch.from_pylist([{"dossier_id": current, "digest": state.hexdigest()}], schema=_DIGESTS)
+
+
+_DIGESTS = pa.schema([("dossier_id", pa.string()), ("digest", pa.string())])
+
+
 def approval_digest(masked: DataFrame) -> DataFrame:
-    """SHA-256 per dossier over `filename, length, text` of its masked documents, by file name and id."""
+    """SHA-256 per dossier over `filename, length, text` of its masked documents, by file name and id.
+
+    Documents come sorted out of a shuffle by dossier and are hashed one after another, so a dossier may be of any size: no
+    row holds more than one document. The digest itself can only be taken in order.
+    """
     block = F.concat_ws("\n", "filename", F.length("masked").cast("string"), "masked")
-    ordered = F.array_sort(F.collect_list(F.struct("filename", "doc_id", block.alias("block"))))
-    return masked.groupBy("dossier_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["block"]), ""), 256).alias("digest"))
+    ordered = masked.select("dossier_id", "filename", "doc_id", block.alias("block")).repartition("dossier_id").sortWithinPartitions("dossier_id", "filename", "doc_id", "block")
+    return ordered.select("dossier_id", "block").mapInArrow(_digests, "dossier_id string, digest string")
 
 
 def approval_digest_wide(masked: DataFrame) -> DataFrame:

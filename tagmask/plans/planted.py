@@ -119,21 +119,49 @@ def _removal(spark, sf) -> masking.Removal:
     return masking.remove_from_dossiers(dossiers, docs, tags, docs.select("dossier_id", "doc_id"), gone)
 
 
-@query("settle_merges", TAGS[1:] + """, people AS (SELECT dossier_id, bool_or(idx = 2) AS has2 FROM tags WHERE category = 'PERSONA' GROUP BY dossier_id)
-SELECT dossier_id, seq, CASE seq WHEN 1 THEN CASE WHEN has2 THEN 'MERGED' ELSE 'FAILED' END WHEN 2 THEN 'FAILED' WHEN 3 THEN 'SEPARATED' WHEN 4 THEN 'ALREADY_RESOLVED' ELSE 'UNKNOWN' END AS verdict
-FROM people, (SELECT unnest([1, 2, 3, 4, 5]) AS seq)""")
+PEOPLE = """, people AS (SELECT dossier_id, bool_or(idx = 2) AS has2 FROM tags WHERE category = 'PERSONA' GROUP BY dossier_id)"""
+
+
+@query("settle_merges", TAGS[1:] + PEOPLE + """
+SELECT dossier_id, seq, CASE seq WHEN 1 THEN CASE WHEN has2 THEN 'MERGED' ELSE 'FAILED' END WHEN 2 THEN 'FAILED' WHEN 4 THEN 'ALREADY_RESOLVED' WHEN 5 THEN 'UNKNOWN' ELSE 'SEPARATED' END AS verdict
+FROM people, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS seq)""")
 def _(spark, sf):
-    """Per dossier: 2 into 1; then 2 and 3, which fails as 2 is gone; one kept apart, again, and an unknown one."""
+    return _settled(spark, sf).verdicts.select("dossier_id", "seq", "verdict")
+
+
+@query("settle_queue", TAGS[1:] + PEOPLE + """
+SELECT dossier_id, merge_id, has2 OR merge_id <> '[PERSONA_1]+[PERSONA_2]' AS resolved FROM people, (SELECT unnest(['[PERSONA_1]+[PERSONA_2]', '[PERSONA_2]+[PERSONA_3]', '[PERSONA_1]+[PERSONA_3]']) AS merge_id)""")
+def _(spark, sf):
+    return _settled(spark, sf).queue.select("dossier_id", "merge_id", "resolved")
+
+
+@query("settle_dossiers", TAGS[1:] + PEOPLE + """
+SELECT dossier_id, CASE WHEN has2 THEN 'PENDING_REVIEW' ELSE 'APPROVED' END AS state, CASE WHEN NOT has2 THEN 'h' END AS approval_hash FROM people""")
+def _(spark, sf):
+    return _settled(spark, sf).dossiers
+
+
+@query("settle_tags", TAGS[1:] + FACTS + PEOPLE + """, gone AS (SELECT * FROM counted WHERE category = 'PERSONA' AND idx = 2)
+SELECT c.dossier_id, c.tag, c.value, CASE WHEN g.value IS NULL THEN [] ELSE [g.value] END AS variants, CASE WHEN has2 THEN c.occurrences + coalesce(g.occurrences, 0) ELSE 0 END AS occurrences
+FROM counted c JOIN people p ON p.dossier_id = c.dossier_id LEFT JOIN gone g ON g.dossier_id = c.dossier_id AND c.category = 'PERSONA' AND c.idx = 1 WHERE NOT (c.category = 'PERSONA' AND c.idx = 2)""")
+def _(spark, sf):
+    """Only dossiers with an accepted merge are counted; the others' tags come back as they were."""
+    return _settled(spark, sf).tags.select("dossier_id", "tag", "value", "variants", "occurrences")
+
+
+def _settled(spark, sf) -> merging.Settlement:
+    """Per dossier: 2 into 1; then 2 and 3, which fails as 2 is gone; 1 and 3 kept apart, again, and an unknown pair; at last the
+    failed one, which is open still, kept apart."""
     docs, tags = _tags(spark, sf)
     tags = kept(tags)
     dossiers = docs.select("dossier_id").distinct().withColumns({"state": F.lit("APPROVED"), "approval_hash": F.lit("h")})
     pair = lambda a, b: F.struct(F.lit(f"[PERSONA_{a}]+[PERSONA_{b}]").alias("merge_id"), F.lit(f"[PERSONA_{a}]").alias("tag_a"), F.lit(f"[PERSONA_{b}]").alias("tag_b"))
     people = tags.filter("category = 'PERSONA'").select("dossier_id").distinct()
     queue = people.select("dossier_id", F.explode(F.array(pair(1, 2), pair(2, 3), pair(1, 3))).alias("p")).select("dossier_id", "p.*").withColumns({"category": F.lit("PERSONA"), "resolved": F.lit(False)})
-    step = lambda seq, merge, what: F.struct(F.lit(seq).alias("seq"), F.lit(merge).alias("merge_id"), F.lit(what).alias("decision"))
-    steps = [step(1, "[PERSONA_1]+[PERSONA_2]", "merge"), step(2, "[PERSONA_2]+[PERSONA_3]", "merge"), step(3, "[PERSONA_1]+[PERSONA_3]", "separate"), step(4, "[PERSONA_1]+[PERSONA_3]", "merge"), step(5, "[PERSONA_8]+[PERSONA_9]", "merge")]
+    step = lambda seq, a, b, what: F.struct(F.lit(seq).alias("seq"), F.lit(f"[PERSONA_{a}]+[PERSONA_{b}]").alias("merge_id"), F.lit(what).alias("decision"))
+    steps = [step(1, 1, 2, "merge"), step(2, 2, 3, "merge"), step(3, 1, 3, "separate"), step(4, 1, 3, "merge"), step(5, 8, 9, "merge"), step(6, 2, 3, "separate")]
     decisions = people.select("dossier_id", F.explode(F.array(*steps)).alias("s")).select("dossier_id", "s.*")
-    return merging.settle_merges(queue, tags, decisions, docs, dossiers).verdicts.select("dossier_id", "seq", "verdict")
+    return merging.settle_merges(queue, tags, decisions, docs, dossiers)
 
 
 @query("review_documents", TAGS[1:] + HITS + REGIONS + OFF + """,

@@ -275,6 +275,22 @@ def _(spark, sf):
     return restore.missing_values(masking.mask_documents(docs, tags).select("dossier_id", F.col("doc_id").alias("answer_id"), F.col("masked").alias("text")), tags)
 
 
+@query("missing_bitmaps", TAGS[1:] + HITS + """, said AS (SELECT dossier_id, doc_id, unnest(list_distinct(regexp_extract_all(masked, '\\[[A-Z]+_[0-9]+\\]'))) AS tag FROM masks)
+SELECT m.dossier_id, m.doc_id AS answer_id, t.tag FROM masks m JOIN tags t ON m.dossier_id = t.dossier_id ANTI JOIN said s ON m.dossier_id = s.dossier_id AND m.doc_id = s.doc_id AND t.tag = s.tag""")
+def _(spark, sf):
+    """A bitmap per masked letter, expanded again."""
+    docs, tags = _tags(spark, sf)
+    answers = masking.mask_documents(docs, tags).select("dossier_id", F.col("doc_id").alias("answer_id"), F.col("masked").alias("text"))
+    return restore.expand_missing(restore.missing_bitmaps(answers, tags), tags)
+
+
+@query("approval_digest_hot", TAGS[1:] + HITS + " SELECT 'all' AS dossier_id, sha256(string_agg(filename || chr(10) || length(masked) || chr(10) || masked, '' ORDER BY filename, doc_id)) AS digest FROM masks")
+def _(spark, sf):
+    """All masked letters as the documents of one dossier."""
+    docs, tags = _tags(spark, sf)
+    return review.approval_digest(masking.mask_documents(docs, tags).withColumn("dossier_id", F.lit("all")))
+
+
 # --- review --------------------------------------------------------------------------------------------------------------
 @query("exposure", TAGS[1:] + HITS + REGIONS + OFF + " SELECT dossier_id, CAST(sum(CASE WHEN NOT active THEN occurrences ELSE 0 END) AS BIGINT) AS in_clear, CAST(sum(CASE WHEN active THEN occurrences ELSE 0 END) AS BIGINT) AS masked FROM activity GROUP BY dossier_id")
 def _(spark, sf):
