@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tagmask.functions.numbers import AMOUNT_WORDS, DATE_WORDS, form_key
 from tagmask.functions.text import CF_SHAPE, MONTHS, date_exists, has_context, iban_valid, phone_plausible, tax_code_valid, vat_number_valid
 from tagmask.model import PRIORITY
 from tagmask.operators.masking import with_writings
@@ -143,6 +144,24 @@ def rule_spans(docs: DataFrame, categories=tuple(PATTERNS)) -> DataFrame:
     return spans.filter(valid).select("dossier_id", "doc_id", span_id.alias("span_id"), "start", end.alias("end"), "category", "value")
 
 
+def word_spans(docs: DataFrame) -> DataFrame:
+    """Spans of amounts and dates written in words, as rule_spans has those in digits; a text often says both, and each is a
+    value of its own. Words that say no number, and days that there never were, go."""
+    one = lambda pattern, category: F.transform(_with_places(pattern), lambda s: F.struct(F.lit(category).alias("category"), s["start"].alias("start"), s["value"].alias("value")))
+    both = F.concat(one(AMOUNT_WORDS, "IMPORTO"), F.coalesce(F.when(F.col("text").rlike(f"(?i){_MONTH}"), one(DATE_WORDS, "DATA")), F.array().cast("array<struct<category:string,start:int,value:string>>")))
+    spans = docs.select("dossier_id", "doc_id", F.explode(both).alias("s")).select("dossier_id", "doc_id", "s.*")
+    end = F.col("start") + F.length("value")
+    span_id = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), "category")
+    return spans.filter(form_key(F.col("category"), F.col("value")).isNotNull()).select("dossier_id", "doc_id", span_id.alias("span_id"), "start", end.alias("end"), "category", "value")
+
+
+def two_forms(spans: DataFrame) -> DataFrame:
+    """Amounts and dates that a dossier writes in more than one way: dossier_id, category, key (cents, or the ISO day), forms.
+    Masking one form only would leave the value to be read from the other."""
+    keyed = spans.withColumn("key", form_key(F.col("category"), F.col("value"))).filter(F.col("key").isNotNull())
+    return keyed.groupBy("dossier_id", "category", "key").agg(F.array_sort(F.collect_set("value")).alias("forms")).filter(F.size("forms") > 1)
+
+
 def valid_ibans(values: DataFrame) -> DataFrame:
     return values.withColumn("valid", iban_valid(F.col("value")))
 
@@ -215,8 +234,15 @@ def validate_manual_spans(manual: DataFrame, docs: DataFrame, spans: DataFrame)
 
 
 def rule_detector(categories=tuple(PATTERNS)) -> Callable[[DataFrame], DataFrame]:
-    """A detector of resolved rule spans."""
-    return lambda docs: spans_to_detections(resolve_spans(rule_spans(docs, categories)), docs)
+    """A detector of resolved rule spans; amounts and dates in words are among them where their categories are."""
+
+    def detect(docs: DataFrame) -> DataFrame:
+        spans, worded = rule_spans(docs, categories), [c for c in ("IMPORTO", "DATA") if c in categories]
+        if worded:
+            spans = spans.unionByName(word_spans(docs).filter(F.col("category").isin(*worded)))
+        return spans_to_detections(resolve_spans(spans), docs)
+
+    return detect
 
 
 def lookup_detector(values: DataFrame) -> Callable[[DataFrame], DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagmask.functions.numbers import SMALL, TENS, number_in_words
+from tagmask.functions.text import MONTHS
 from tagmask.model import PENDING
 from tagmask.operators import detect, masking, merging, restore, review
 from tagmask.plans.derived import register
@@ -277,6 +279,46 @@ def _(spark, sf):
     return restore.restore(masked, masking.restore_dictionary(tags)).select("answer_id", "verdict", "restored")
 
 
+#: Words of a number below a thousand in SQL, from lists; `n` is the number.
+_SMALL_SQL = str([""] + list(SMALL[1:]))
+_BELOW = """CASE WHEN {n} < 100 THEN '' WHEN {n} < 200 THEN '' ELSE {small}[{n} // 100 + 1] END || CASE WHEN {n} < 100 THEN '' WHEN {n} % 100 = 8 OR ({n} % 100) // 10 = 8 THEN 'cent' ELSE 'cento' END
+|| CASE WHEN {n} % 100 < 20 THEN {small}[{n} % 100 + 1] WHEN {n} % 10 IN (1, 8) THEN left({tens}[({n} % 100) // 10 - 1], -1) || {small}[{n} % 10 + 1] ELSE {tens}[({n} % 100) // 10 - 1] || {small}[{n} % 10 + 1] END"""
+
+
+def _words_sql(n: str) -> str:
+    below = lambda x: _BELOW.format(n=f"({x})", small=_SMALL_SQL, tens=str(list(TENS)))
+    plain = f"(CASE ({n}) // 1000 WHEN 0 THEN '' WHEN 1 THEN 'mille' ELSE {below(f'({n}) // 1000')} || 'mila' END || {below(f'({n}) % 1000')})"
+    return f"CASE WHEN ({n}) % 10 = 3 AND ({n}) % 100 <> 13 AND ({n}) > 20 THEN left({plain}, -1) || 'é' ELSE {plain} END"
+
+
+WORDED = f"""worded AS (SELECT dossier_id, doc_id, arrival, 'EUR ' || amount AS amount, {_words_sql("amount")} || '/00' AS amount_words, day,
+{_words_sql("CAST(day[9:10] AS BIGINT)")} || ' ' || {list(MONTHS)}[CAST(day[6:7] AS INT)] || ' ' || {_words_sql("CAST(day[1:4] AS BIGINT)")} AS day_words FROM letter_parts)"""
+
+
+def _worded(spark, sf) -> DataFrame:
+    """Letters that say amount and day in digits and in words."""
+    parts = register(spark, sf, "letter_parts")["letter_parts"]
+    number = lambda at, size: F.substring("day", at, size).cast("long")
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), number(6, 2).cast("int"))
+    text = F.concat(F.lit("Pagano EUR "), F.col("amount").cast("string"), F.lit(" ("), number_in_words(F.col("amount")), F.lit("/00) il "), "day", F.lit(", ossia "), number_in_words(number(9, 2)), F.lit(" "), month, F.lit(" "), number_in_words(number(1, 4)), F.lit("."))
+    return parts.select("dossier_id", "doc_id", "arrival", text.alias("text"))
+
+
+@query("word_spans", WORDED + " SELECT doc_id, 'IMPORTO' AS category, amount_words AS value FROM worded UNION ALL SELECT doc_id, 'DATA', day_words FROM worded")
+def _(spark, sf):
+    """Amounts and dates in words, from the text; the words themselves are stated once more in SQL."""
+    return detect.word_spans(_worded(spark, sf)).select("doc_id", "category", "value")
+
+
+@query("two_forms", WORDED + """, forms AS (SELECT dossier_id, 'IMPORTO' AS category, CAST(CAST(amount[5:] AS BIGINT) * 100 AS VARCHAR) AS key, unnest([amount, amount_words]) AS form FROM worded
+UNION ALL SELECT dossier_id, 'DATA', day, unnest([day, day_words]) FROM worded) SELECT dossier_id, category, key, list_sort(list_distinct(list(form))) AS forms FROM forms GROUP BY ALL""")
+def _(spark, sf):
+    """Both forms of a value meet under one key."""
+    docs = _worded(spark, sf)
+    spans = detect.rule_spans(docs, ("IMPORTO", "DATA")).unionByName(detect.word_spans(docs))
+    return detect.two_forms(detect.resolve_spans(spans))
+
+
 @query("detected_exposure", """d AS (SELECT dossier_id, arrival, doc_id, 'EMAIL' AS category, 'u' || custkey || '@example.com' AS value FROM letter_parts UNION ALL SELECT dossier_id, arrival, doc_id, 'IMPORTO', 'EUR ' || amount FROM letter_parts
 UNION ALL SELECT dossier_id, arrival, doc_id, 'DATA', day FROM letter_parts UNION ALL SELECT dossier_id, arrival, doc_id, 'PRATICA', 'Pratica n. P/' || number FROM letter_parts)
 SELECT dossier_id, category, count(DISTINCT value) AS tags FROM d GROUP BY ALL""")
