@@ -13,7 +13,7 @@ from tagmask.plans.derived import register
 from tagmask.plans.queries import FACTS, HITS, OFF, REGIONS, TAGS, _counted, _tags, query
 from tagmask.sources import ingest, vault
 from tagmask.sources.scratch import kept, scratch
-from tagmask.streaming import jobs
+from tagmask.streaming import jobs, keyed
 
 
 @query("leak_audit_planted", "SELECT dossier_id, doc_id, c_name AS value FROM letter_parts WHERE arrival % 13 = 0")
@@ -263,6 +263,46 @@ def _one_dossier(spark, sf) -> tuple[DataFrame, DataFrame]:
     return docs, kept(masking.assign_tags(masking.new_values(found.filter("category in ('AZIENDA', 'EMAIL', 'PRATICA')"))))
 
 
+def _incoming(spark: SparkSession, rows: DataFrame, path: str, files: int = 3) -> DataFrame:
+    """Rows as a stream of micro-batches of one file each."""
+    rows.repartition(files).write.parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@query("stream_keyed_counts", TAGS[1:] + FACTS + " SELECT dossier_id, category, value, occurrences, status FROM counted")
+def _(spark, sf):
+    """Letters in three micro-batches with state per dossier: after the last, values and counts are those of one run over all."""
+    d = register(spark, sf, "letters", "detections")
+    path = scratch(spark)
+    found = d["detections"].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("det_seq", "value", "category"))).alias("found"))
+    docs = _incoming(spark, d["letters"].join(found, "doc_id", "left").select(*d["letters"].columns, "found"), path)
+    changes = keyed.stream_changes(docs)
+    changes.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return keyed.newest(spark.read.parquet(f"{path}/out")).select("dossier_id", "category", "value", "occurrences", "status")
+
+
+@query("stream_mask_hot", """firsts AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY arrival, det_seq, category) AS r FROM detections WHERE category IN ('AZIENDA', 'EMAIL', 'PRATICA')),
+tags AS MATERIALIZED (SELECT category, value, '[' || category || '_' || row_number() OVER (PARTITION BY category ORDER BY length(value) DESC, value) || ']' AS tag FROM firsts WHERE r = 1)
+SELECT l.doc_id, replace(replace(replace(text, a.value, a.tag), e.value, e.tag), p.value || ',', p.tag || ',') AS masked FROM letters l JOIN letter_parts q ON l.doc_id = q.doc_id
+JOIN tags a ON a.value = c_name JOIN tags e ON e.value = 'u' || custkey || '@example.com' JOIN tags p ON p.value = 'P/' || number""")
+def _(spark, sf):
+    """A stream into one dossier of all letters: texts meet tags by keys, and the result is that of a batch."""
+    docs, tags = _one_dossier(spark, sf)
+    path = scratch(spark)
+    keyed.stream_mask_batches(_incoming(spark, docs, path), lambda version: tags, lambda: 0, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out/rows").select("doc_id", "masked")
+
+
+@query("stream_restore_hot", "SELECT doc_id AS answer_id, 'OK' AS verdict, text AS restored FROM letters")
+def _(spark, sf):
+    docs, tags = _one_dossier(spark, sf)
+    path = scratch(spark)
+    masked = masking.mask_documents(docs, tags).select("dossier_id", F.col("doc_id").alias("answer_id"), F.col("masked").alias("text"))
+    dictionary = masking.restore_dictionary(tags)
+    keyed.stream_restore_batches(_incoming(spark, masked, path), lambda version: dictionary, lambda: 0, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out/rows").select("answer_id", "verdict", "restored")
+
+
 @query("mask_hot_dossier", """firsts AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY arrival, det_seq, category) AS r FROM detections WHERE category IN ('AZIENDA', 'EMAIL', 'PRATICA')),
 tags AS MATERIALIZED (SELECT category, value, '[' || category || '_' || row_number() OVER (PARTITION BY category ORDER BY length(value) DESC, value) || ']' AS tag FROM firsts WHERE r = 1)
 SELECT l.doc_id, replace(replace(replace(text, a.value, a.tag), e.value, e.tag), p.value || ',', p.tag || ',') AS masked FROM letters l JOIN letter_parts q ON l.doc_id = q.doc_id

@@ -756,14 +756,16 @@ def _(spark, sf):
 
 
 def _run_stream(spark, rows: DataFrame, transform, mode: str, path: str) -> DataFrame:
-    rows.write.parquet(f"{path}/in")
-    out = transform(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    rows.repartition(2).write.parquet(f"{path}/in")
+    out = transform(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
     if mode == "append":
         out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    else:
-        save = lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out")
-        out.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+        return spark.read.parquet(f"{path}/out")
+    # Update mode: a batch writes the rows that it changes, the last batch of each key counts.
+    save = lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out/batch={i}")
+    out.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    key, rest = out.columns[0], out.columns[1:]
+    return spark.read.parquet(f"{path}/out").groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
 @query("stream_mask", TAGS[1:] + HITS + " SELECT dossier_id, doc_id, masked FROM masks")
@@ -780,4 +782,4 @@ def _(spark, sf):
 
 @query("stream_usage", "SELECT session_id, CAST(sum(token_in) AS BIGINT) AS token_in, CAST(sum(token_out) AS BIGINT) AS token_out, count(*) AS calls FROM usage GROUP BY session_id")
 def _(spark, sf):
-    return _run_stream(spark, register(spark, sf, "usage")["usage"], jobs.stream_usage, "complete", scratch(spark))
+    return _run_stream(spark, register(spark, sf, "usage")["usage"], jobs.stream_usage, "update", scratch(spark))
