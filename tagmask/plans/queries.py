@@ -247,16 +247,7 @@ def _(spark, sf):
     return restore.restore(answers, masking.restore_dictionary(tags)).select("dossier_id", "answer_id", "restored")
 
 
-@query("fragment_fixes", TAGS[1:] + HITS + """ SELECT dossier_id, doc_id AS answer_id, 'OK' AS verdict FROM masks WHERE CAST(doc_id[3:] AS BIGINT) % 10 = 0""")
-def _(spark, sf):
-    docs, tags = _tags(spark, sf)
-    masked = masking.mask_documents(docs, tags).filter("arrival % 10 = 0").select("dossier_id", F.col("doc_id").alias("answer_id"), F.regexp_replace("masked", r"\[PERSONA_(\d+)\]", "[Persona $1]").alias("text"), "masked")
-    bad = masked.select("dossier_id", "answer_id", F.posexplode(F.array_distinct(fn.altered(F.col("text")))).alias("seq", "fragment"))
-    fixes = bad.withColumn("tag", F.regexp_replace(F.upper("fragment"), " ", "_"))
-    return restore.restore(restore.apply_fragment_fixes(masked, fixes), tags).select("dossier_id", "answer_id", "verdict")
-
-
-@query("fragment_fixes_whole", TAGS[1:] + """ SELECT dossier_id, doc_id AS answer_id, CASE WHEN arrival % 7 = 0 THEN 'UNKNOWN' ELSE 'OK' END AS verdict, CASE WHEN arrival % 7 <> 0 THEN text END AS restored FROM letters""")
+@query("fragment_fixes", TAGS[1:] + """ SELECT dossier_id, doc_id AS answer_id, CASE WHEN arrival % 7 = 0 THEN 'UNKNOWN' ELSE 'OK' END AS verdict, CASE WHEN arrival % 7 <> 0 THEN text END AS restored FROM letters""")
 def _(spark, sf):
     """Every masked letter with altered placeholders; the fixes of each seventh name a tag that the dossier has not."""
     docs, tags = _tags(spark, sf)
@@ -558,14 +549,7 @@ def _(spark, sf):
     return responses.parse_responses(register(spark, sf, "responses")["responses"]).drop("arrival")
 
 
-@query("drop_failed_dossiers", """f AS (SELECT DISTINCT dossier_id FROM persons WHERE p_partkey % 17 = 0 AND p_partkey % 3 = 0), ok AS (SELECT * FROM persons WHERE p_partkey % 3 = 0 AND dossier_id NOT IN (SELECT dossier_id FROM f)) SELECT dossier_id, count(*) AS n FROM ok GROUP BY dossier_id""")
-def _(spark, sf):
-    raw = register(spark, sf, "responses")["responses"].filter("arrival % 3 = 0")
-    verdicts = raw.select("dossier_id", F.col("arrival").alias("a")).withColumn("valid", F.col("a") % 17 != 0)
-    return responses.drop_failed_dossiers(raw, verdicts).groupBy("dossier_id").agg(F.count("*").alias("n"))
-
-
-@query("drop_failed_dossiers_whole", """d AS (SELECT *, 'C' || (p_partkey // 8) AS d FROM persons), f AS (SELECT DISTINCT d FROM d WHERE p_partkey % 17 = 0 OR p_partkey % 19 = 0 OR (p_partkey % 23 <> 0 AND (p_partkey % 29 = 0 OR p_partkey % 31 = 0 OR p_partkey % 37 = 0))),
+@query("drop_failed_dossiers", """d AS (SELECT *, 'C' || (p_partkey // 8) AS d FROM persons), f AS (SELECT DISTINCT d FROM d WHERE p_partkey % 17 = 0 OR p_partkey % 19 = 0 OR (p_partkey % 23 <> 0 AND (p_partkey % 29 = 0 OR p_partkey % 31 = 0 OR p_partkey % 37 = 0))),
 ok AS (SELECT * FROM d WHERE p_partkey % 23 <> 0 AND d NOT IN (SELECT d FROM f))
 SELECT d AS dossier_id, CAST(p_partkey AS VARCHAR) AS doc_id, CAST(0 AS INT) AS det_seq, person AS value, 'PERSONA' AS category FROM ok UNION ALL SELECT d, CAST(p_partkey AS VARCHAR), 1, '2024-01-0' || (p_partkey % 9 + 1), 'DATA' FROM ok""")
 def _(spark, sf):
@@ -574,16 +558,7 @@ def _(spark, sf):
     return responses.drop_failed_dossiers(responses.parse_responses(raw), responses.response_verdicts(raw)).drop("arrival")
 
 
-@query("find_vault", """i AS (SELECT sha256('lettera_' || (number % 7)) AS h, 'V' || number AS vault_id FROM letter_parts WHERE number % 7 < 5 AND number <= 40), f AS (SELECT DISTINCT 'lettera_' || (number % 7) AS n FROM letter_parts)
-SELECT n || '.mascherato.txt' AS filename, CASE WHEN count(DISTINCT vault_id) = 1 THEN any_value(vault_id) END AS vault_id, coalesce(list(DISTINCT vault_id ORDER BY vault_id) FILTER (vault_id IS NOT NULL), []) AS candidates FROM f LEFT JOIN i ON sha256(n) = h GROUP BY n""")
-def _(spark, sf):
-    parts = register(spark, sf, "letter_parts")["letter_parts"]
-    name = F.concat(F.lit("lettera_"), (F.col("number") % 7).cast("string"))
-    index = parts.filter("number % 7 < 5 and number <= 40").select(F.sha2(name, 256).alias("name_sha256"), F.concat(F.lit("V"), F.col("number").cast("string")).alias("vault_id"))
-    return ingest.find_vault(parts.select(F.concat(name, F.lit(".mascherato.txt")).alias("filename")).distinct(), index)
-
-
-@query("find_vault_whole", """i AS (SELECT sha256('lettera_' || number) AS h, 'V' || number AS vault_id FROM letter_parts WHERE number % 7 < 5 UNION ALL SELECT sha256('lettera_' || number), 'W' || number FROM letter_parts WHERE number % 11 = 0)
+@query("find_vault", """i AS (SELECT sha256('lettera_' || number) AS h, 'V' || number AS vault_id FROM letter_parts WHERE number % 7 < 5 UNION ALL SELECT sha256('lettera_' || number), 'W' || number FROM letter_parts WHERE number % 11 = 0)
 SELECT 'lettera_' || number || '.mascherato.txt' AS filename, CASE WHEN count(DISTINCT vault_id) = 1 THEN any_value(vault_id) END AS vault_id, coalesce(list(DISTINCT vault_id ORDER BY vault_id) FILTER (vault_id IS NOT NULL), []) AS candidates FROM letter_parts LEFT JOIN i ON sha256('lettera_' || number) = h GROUP BY number""")
 def _(spark, sf):
     """Every letter has a name of its own and is looked up; some names are in no vault, some in two."""
@@ -714,12 +689,17 @@ def _(spark, sf):
 
 
 # --- files, vault, streams -----------------------------------------------------------------------------------------------
-def _round_trip(spark: SparkSession, sf: str, rounds: int) -> DataFrame:
-    """Every dossier sealed, written, read and opened."""
-    docs, tags = _tags(spark, sf)
+def _round_trip(spark: SparkSession, sf: str, rounds: int, nations: bool = False) -> DataFrame:
+    """Every dossier (or all letters, by the clients' nations) sealed, written, read and opened."""
+    d = register(spark, sf, "letters", "detections", "switches")
+    docs, found, switches = d["letters"], d["detections"], d["switches"]
+    if nations:
+        nation = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("D"), F.col("c_custkey").cast("string")).alias("dossier_id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("_n"))
+        docs, found = (t.join(nation, "dossier_id").withColumn("dossier_id", F.col("_n")).select(*t.columns) for t in (docs, found))
+        switches = switches.limit(0)
+    tags = masking.assign_tags(masking.new_values(found))
     dossiers = docs.select("dossier_id").distinct().withColumn("state", F.lit("PENDING_REVIEW")).withColumn("approval_hash", F.lit(None).cast("string"))
     none = spark.createDataFrame([], "dossier_id string, merge_id string, category string, tag_a string, tag_b string, resolved boolean")
-    switches = register(spark, sf, "switches")["switches"]
     counters = masking.advance_counters(spark.createDataFrame([], "dossier_id string, category string, last_idx long"), tags)
     texts = docs.withColumn("page_offsets", F.array(F.lit(0))).withColumn("sha256", F.sha2("text", 256))
     jsons = vault.dossier_json(dossiers, texts, tags, none, docs.select("dossier_id", "doc_id"), switches, counters)
@@ -733,14 +713,18 @@ def _(spark, sf):
     return _round_trip(spark, sf, 100).select("dossier_id", "error", F.size("data.tags").cast("long").alias("tags"))
 
 
-@query("vault_round_trip_whole", TAGS[1:] + """, texts AS (SELECT dossier_id, string_agg(doc_id || chr(31) || filename || chr(31) || text || chr(31) || sha256(text), chr(30) ORDER BY doc_id) AS t FROM letters GROUP BY dossier_id),
+_NATIONS = "(SELECT x.* REPLACE ('N' || c_nationkey AS dossier_id) FROM {} x JOIN customer ON x.dossier_id = 'D' || c_custkey)"
+
+
+@query("vault_round_trip_whole", TAGS[1:].replace("FROM detections", "FROM " + _NATIONS.format("detections")) + f""", texts AS (SELECT dossier_id, string_agg(doc_id || chr(31) || filename || chr(31) || text || chr(31) || sha256(text), chr(30) ORDER BY doc_id) AS t FROM {_NATIONS.format("letters")} GROUP BY dossier_id),
 named AS (SELECT dossier_id, string_agg(tag || chr(31) || category || chr(31) || value, chr(30) ORDER BY pos) AS n FROM tags GROUP BY dossier_id)
 SELECT t.dossier_id, CAST(NULL AS VARCHAR) AS error, sha256(t) AS texts, sha256(n) AS tags FROM texts t JOIN named n ON t.dossier_id = n.dossier_id""")
 def _(spark, sf):
-    """With the rounds that vaults are sealed with, and digests of all texts and tags that come back."""
+    """All letters, a dossier for each nation, with the rounds that vaults are sealed with, and digests of all texts and tags
+    that come back."""
     joined = lambda rows, *fields: F.sha2(F.array_join(F.transform(rows, lambda x: F.concat_ws("\x1f", *[x[f] for f in fields])), "\x1e"), 256)
     texts, tags = joined("data.documents", "doc_id", "filename", "text", "sha256"), joined("data.tags", "tag", "categoria", "valore")
-    return _round_trip(spark, sf, vault.ROUNDS).select("dossier_id", "error", texts.alias("texts"), tags.alias("tags"))
+    return _round_trip(spark, sf, vault.ROUNDS, nations=True).select("dossier_id", "error", texts.alias("texts"), tags.alias("tags"))
 
 
 @query("stream_analyse", TAGS[1:] + " SELECT dossier_id, category, value FROM tags")
