@@ -207,6 +207,13 @@ def mask_documents(docs: DataFrame, tags: DataFrame, switches: DataFrame | None
     return mask_text(docs, writings(tags if switches is None else active_tags(tags, switches)))
 
 
+def mask_wide(docs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text) plus `masked`, by writings (rank, writing, tag) that hold for all documents: one dossier of any size."""
+    one = F.lit("all").alias("dossier_id")
+    texts = docs.select(one, "doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return mask_text(texts, ranked.select(one, "rank", "writing", "tag")).select("_row.*", "masked")
+
+
 def count_occurrences(tags: DataFrame, regions: DataFrame) -> DataFrame:
     """Tags with their counts over the dossier and status; disabled tags keep status and count."""
     per_doc = regions.groupBy("dossier_id", "doc_id", "tag").agg(F.count("*").alias("_n"))

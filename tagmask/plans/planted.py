@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmask.functions.numbers import SMALL, TENS, number_in_words
 from tagmask.functions.text import MONTHS
 from tagmask.model import PENDING
-from tagmask.operators import detect, masking, merging, restore, review
+from tagmask.operators import detect, masking, merging, registry, restore, review
 from tagmask.plans.derived import register
 from tagmask.plans.queries import FACTS, HITS, OFF, REGIONS, TAGS, _counted, _tags, query
 from tagmask.sources import ingest, vault
@@ -359,6 +361,25 @@ def _(spark, sf):
     return detect.two_forms(detect.resolve_spans(spans))
 
 
+EMAILS = re.compile(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", re.ASCII)
+
+
+@query("udtf_emails", "SELECT doc_id, CAST(0 AS INT) AS det_seq, 'u' || custkey || '@example.com' AS value, 'EMAIL' AS category FROM letter_parts")
+def _(spark, sf):
+    """A detector in Python, called from SQL for every letter."""
+    registry.register_detector(spark, "find_emails", lambda text: [(m.group(), "EMAIL") for m in EMAILS.finditer(text)])
+    return registry.detector(spark, "find_emails")(register(spark, sf, "letters")["letters"]).select("doc_id", "det_seq", "value", "category")
+
+
+@query("udtf_lookup", "v AS (SELECT DISTINCT dossier_id, value FROM detections WHERE category = 'EMAIL') SELECT l.doc_id, v.value FROM letters l JOIN v ON l.dossier_id = v.dossier_id AND contains(l.text, v.value)")
+def _(spark, sf):
+    """The lookup detector as a table function: what lookup_detector finds."""
+    d = register(spark, sf, "letters", "detections")
+    registry.register_detector(spark, "find_listed", registry.contained, listed=True)
+    values = d["detections"].filter("category = 'EMAIL'").select("dossier_id", "value", "category")
+    return registry.detector(spark, "find_listed", values)(d["letters"]).select("doc_id", "value")
+
+
 @query("detected_exposure", """d AS (SELECT dossier_id, arrival, doc_id, 'EMAIL' AS category, 'u' || custkey || '@example.com' AS value FROM letter_parts UNION ALL SELECT dossier_id, arrival, doc_id, 'IMPORTO', 'EUR ' || amount FROM letter_parts
 UNION ALL SELECT dossier_id, arrival, doc_id, 'DATA', day FROM letter_parts UNION ALL SELECT dossier_id, arrival, doc_id, 'PRATICA', 'Pratica n. P/' || number FROM letter_parts)
 SELECT dossier_id, category, count(DISTINCT value) AS tags FROM d GROUP BY ALL""")

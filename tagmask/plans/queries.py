@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagmask.functions import text as fn
 from tagmask.model import CATEGORIES
-from tagmask.operators import detect, masking, merging, restore, review, state, wide
+from tagmask.operators import detect, masking, merging, restore, review, state
 from tagmask.plans.derived import register, with_derived
 from tagmask.sources import ingest, responses, vault
 from tagmask.sources.scratch import scratch
@@ -166,7 +166,7 @@ def _(spark, sf):
     d = register(spark, sf, "letters", "letter_parts")
     names = d["letter_parts"].select(F.lit("all").alias("dossier_id"), F.lit("AZIENDA").alias("category"), F.col("c_name").alias("value")).distinct()
     ranked = masking.writings(masking.assign_tags(names))
-    return wide.mask_wide(d["letters"].select("doc_id", "text"), ranked).select("doc_id", "masked")
+    return masking.mask_wide(d["letters"].select("doc_id", "text"), ranked).select("doc_id", "masked")
 
 
 @query("remove_documents", TAGS[1:] + HITS + REGIONS + """, left_of AS (SELECT dossier_id, tag, count(*) AS n FROM regions WHERE CAST(doc_id[3:] AS BIGINT) % 4 <> 0 GROUP BY ALL)
@@ -574,17 +574,38 @@ _ODD = "[" + ",".join(map(str, fn.CF_ODD)) + "]"
 _NUM = "(ascii(c) - CASE WHEN ascii(c) < 65 THEN 48 ELSE 55 END)"
 
 
-@query("code_checks", f"""d AS (SELECT *, CASE WHEN starts_with(vat, 'IT') THEN vat[3:] ELSE vat END AS digits, iban[5:] || iban[:4] AS moved FROM codes)
-SELECT k, list_sum(list_transform(range(1, 12), lambda i: CASE WHEN i % 2 = 1 THEN CAST(digits[i] AS INT) WHEN CAST(digits[i] AS INT) > 4 THEN 2 * CAST(digits[i] AS INT) - 9 ELSE 2 * CAST(digits[i] AS INT) END)) % 10 = 0 AS vat_ok,
+CODE_CHECKS = f"""d AS (SELECT *, CASE WHEN starts_with(vat, 'IT') THEN vat[3:] ELSE vat END AS digits, iban[5:] || iban[:4] AS moved FROM codes),
+checks AS (SELECT k, list_sum(list_transform(range(1, 12), lambda i: CASE WHEN i % 2 = 1 THEN CAST(digits[i] AS INT) WHEN CAST(digits[i] AS INT) > 4 THEN 2 * CAST(digits[i] AS INT) - 9 ELSE 2 * CAST(digits[i] AS INT) END)) % 10 = 0 AS vat_ok,
 CAST(string_agg_moved AS HUGEINT) % 97 = 1 AS iban_ok, chr(CAST(65 + cf_sum % 26 AS INT)) = cf[16] AS cf_ok, try_strptime(day, '%d/%m/%Y') IS NOT NULL AS day_ok,
 length(regexp_replace(regexp_replace(phone, '^(\\+39|0039)', ''), '[^0-9]', '', 'g')) BETWEEN 9 AND 11 AS phone_ok
 FROM (SELECT *, array_to_string(list_transform(string_split(moved, ''), lambda c: CAST({_NUM} AS VARCHAR)), '') AS string_agg_moved,
-list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN {_ODD}[CAST(CASE WHEN ascii(cf[i]) < 65 THEN ascii(cf[i]) - 47 ELSE ascii(cf[i]) - 54 END AS INT)] WHEN ascii(cf[i]) < 65 THEN ascii(cf[i]) - 48 ELSE ascii(cf[i]) - 65 END)) AS cf_sum FROM d)""")
+list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN {_ODD}[CAST(CASE WHEN ascii(cf[i]) < 65 THEN ascii(cf[i]) - 47 ELSE ascii(cf[i]) - 54 END AS INT)] WHEN ascii(cf[i]) < 65 THEN ascii(cf[i]) - 48 ELSE ascii(cf[i]) - 65 END)) AS cf_sum FROM d))"""
+
+
+@query("code_checks", CODE_CHECKS + " SELECT * FROM checks")
 def _(spark, sf):
     c = register(spark, sf, "codes")["codes"]
     return c.select("k", fn.vat_number_valid(F.col("vat")).alias("vat_ok"), fn.iban_valid(F.col("iban")).alias("iban_ok"), fn.tax_code_valid(F.col("cf")).alias("cf_ok"), fn.date_exists(F.col("day")).alias("day_ok"), fn.phone_plausible(F.col("phone")).alias("phone_ok"))
 
 
+#: A text for every client with a value of each category that has no other query with SQL; some numbers are announced, some not.
+@query("rule_spans_planted", CODE_CHECKS + """, n AS (SELECT c.k, vat, iban, cf, vat_ok, iban_ok, cf_ok, lpad(CAST(c.k % 10000000 AS VARCHAR), 7, '1') AS line FROM codes c JOIN checks USING (k))
+SELECT k, 'CF' AS category, cf AS value FROM n WHERE cf_ok UNION ALL SELECT k, 'PIVA', vat FROM n WHERE vat_ok AND (k % 3 = 0 OR starts_with(vat, 'IT'))
+UNION ALL SELECT k, 'IBAN', iban FROM n WHERE iban_ok UNION ALL SELECT k, 'TELEFONO', '06 ' || line FROM n WHERE k % 2 = 0
+UNION ALL SELECT k, 'INDIRIZZO', 'piazzale Roma ' || (k % 300 + 1) FROM n UNION ALL SELECT k, 'CATASTO', 'foglio ' || (k % 90 + 1) || ' particella ' || (k % 500 + 1) FROM n
+UNION ALL SELECT k, 'AZIENDA', 'Verdi & Neri S.r.l.' FROM n WHERE k % 5 = 0""")
+def _(spark, sf):
+    c, k = register(spark, sf, "codes")["codes"], F.col("k")
+    text = F.concat(
+        F.lit("Dati: "), "cf", F.lit("; "), F.when(k % 3 == 0, "P.IVA ").otherwise("numero "), "vat", F.lit("; conto "), "iban", F.lit("; presso la sede; "), F.when(k % 2 == 0, "tel. ").otherwise("cod. "),
+        F.lit("06 "), F.lpad((k % 10_000_000).cast("string"), 7, "1"), F.lit("; abita in piazzale Roma "), (k % 300 + 1).cast("string"), F.lit("; foglio "), (k % 90 + 1).cast("string"),
+        F.lit(" particella "), (k % 500 + 1).cast("string"), F.when(k % 5 == 0, "; per Verdi & Neri S.r.l.; fine").otherwise("; fine"),
+    )
+    docs = c.select(F.lit("d").alias("dossier_id"), F.col("k").cast("string").alias("doc_id"), k.alias("arrival"), text.alias("text"))
+    found = detect.rule_spans(docs, ("CF", "PIVA", "IBAN", "TELEFONO", "INDIRIZZO", "CATASTO", "AZIENDA"))
+    return found.select(F.col("doc_id").cast("long").alias("k"), "category", "value")
+
+
 def _documents(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("dossier_id"), "doc_id", F.col("doc_id").alias("arrival"), "text")
 

@@ -1,4 +1,7 @@
-"""Incremental runs: detection and numbering per micro-batch, masking and restoring as streams, running totals."""
+"""Incremental runs: detection and numbering per micro-batch, masking and restoring as streams, running totals.
+
+Here a batch reads the tables of earlier ones; keyed.py keeps state per dossier instead.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from tagmask.operators.masking import assign_tags, claimed_regions, count_occurrences, mask_text, new_values, pending_documents, writings
 from tagmask.operators.restore import restore
@@ -34,7 +38,8 @@ def stream_analyse(docs: DataFrame, detector: Callable[[DataFrame], DataFrame],
             return spark.read.schema(rows.schema).parquet(f"{state_path}/{name}/batch={batch_id}")
 
         seen, tags = earlier("documents"), earlier("tags")
-        batch = batch.dropDuplicates(["dossier_id", "doc_id"])
+        first = F.row_number().over(Window.partitionBy("dossier_id", "doc_id").orderBy("arrival", "text"))
+        batch = batch.withColumn("_r", first).filter("_r = 1").drop("_r")
         fresh = kept("documents", batch if seen is None else pending_documents(batch, seen.select("dossier_id", "doc_id")))
         counters = None if tags is None else tags.groupBy("dossier_id", "category").agg(F.max("idx").alias("last_idx"))
         new = kept("tags", assign_tags(new_values(detector(fresh), tags), counters, tags))

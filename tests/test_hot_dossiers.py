@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tagmask.operators import masking, merging, restore, review, state
+from tagmask.operators import detect, masking, merging, registry, restore, review, state
 from tagmask.sources.scratch import kept, scratch
 from tagmask.streaming import keyed
 
@@ -265,3 +265,22 @@ def test_streams_meet_the_table_of_their_batch(spark):
     stream = spark.readStream.schema(answers.schema).parquet(f"{path}/answers")
     keyed.stream_restore_batches(stream, snapshot, lambda: now[0], f"{path}/back", f"{path}/cp2").awaitTermination()
     assert {r.answer_id: r.restored or r.verdict for r in spark.read.parquet(f"{path}/back/rows").collect()} == {"a": "v2 e v1", "b": "UNKNOWN"}
+
+
+# --- detectors by name ---------------------------------------------------------------------------------------------------------------
+def test_table_functions_are_detectors(spark):
+    docs = spark.createDataFrame([("d", "1", 1, "ciao Anna, Bo"), ("d", "2", 2, None), ("e", "3", 3, "Anna"), ("d", "4", 4, "")], "dossier_id string, doc_id string, arrival long, text string")
+    values = spark.createDataFrame([("d", "Bo", "PERSONA"), ("d", "Anna", "PERSONA"), ("d", "Anna", "AZIENDA")], "dossier_id string, value string, category string")
+    registry.register_detector(spark, "t_listed", registry.contained, listed=True)
+    rows = lambda df: sorted(map(tuple, df.select("dossier_id", "doc_id", "arrival", "det_seq", "value", "category").collect()))
+    assert rows(registry.detector(spark, "t_listed", values)(docs)) == rows(detect.lookup_detector(values)(docs)) and rows(detect.lookup_detector(values)(docs))
+    registry.register_detector(spark, "t_words", lambda text: [(w, "PERSONA") for w in text.split()])
+    docs.createOrReplaceTempView("t_docs")
+    assert spark.sql("SELECT doc_id, value FROM t_docs, LATERAL t_words(text) WHERE det_seq = 0").count() == 2
+    registry.register_detector(spark, "t_wrong", lambda text: [(text, "NOBODY")])
+    with pytest.raises(Exception, match="no category"):
+        spark.sql("SELECT * FROM t_docs, LATERAL t_wrong(text)").collect()
+    with pytest.raises(Exception, match="takes a text"):
+        spark.sql("SELECT * FROM t_docs, LATERAL t_words(arrival)").collect()
+    with pytest.raises(KeyError):
+        registry.detector(spark, "t_none")

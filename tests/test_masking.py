@@ -1,6 +1,6 @@
 import random
 
-from tagmask.operators import masking, wide
+from tagmask.operators import masking
 
 TAGS = "dossier_id string, tag string, category string, idx long, value string, occurrences long, status string, variants array<string>, pos long"
 
@@ -55,7 +55,12 @@ def brute(text, ranked):
         while at >= 0:
             hits.append((rank, at, at + len(w)))
             at = text.find(w, at + 1)
-    return wide.claim_hits(text, hits)
+    # Stronger hits first (a lower rank, then what begins earlier); a hit that meets a taken place goes.
+    taken = []
+    for rank, start, end in sorted(hits):
+        if all(end <= s or e <= start for s, e, _ in taken):
+            taken.append((start, end, rank))
+    return sorted(taken)
 
 
 def test_random_texts(spark):
@@ -72,7 +77,7 @@ def test_random_texts(spark):
             want = [(a, b, ranked[k][1]) for a, b, k in brute(text, [w for w, _ in ranked])]
             assert sorted(regions.get(f"d{i}", [])) == want, (text, values)
         table = masking.writings(tags).select("rank", "writing", "tag")
-        assert [r.masked for r in wide.mask_wide(docs, table).orderBy("doc_id").collect()] == [r.masked for r in masking.mask_documents(docs, tags).orderBy("doc_id").collect()]
+        assert [r.masked for r in masking.mask_wide(docs, table).orderBy("doc_id").collect()] == [r.masked for r in masking.mask_documents(docs, tags).orderBy("doc_id").collect()]
 
 
 def test_texts_with_sentinel_characters(spark):
@@ -184,10 +189,14 @@ def test_empty_tables(spark):
     assert masking.mask_documents(docs_of(spark, "x", None), tags_of(spark, "y").limit(0)).orderBy("doc_id").first().masked == "x"
 
 
-def test_wide_table_in_shards(spark):
+def test_wide_table_by_lists_and_by_rare_grams(spark, monkeypatch):
     rng = random.Random(4)
     values = list({"".join(rng.choice("ab1[é") for _ in range(rng.randint(1, 4))) for _ in range(40)})
     texts = ["".join(rng.choice("ab1[é") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", None]
     docs, table = docs_of(spark, *texts), masking.writings(tags_of(spark, *values)).select("rank", "writing", "tag")
-    got = [[(r.doc_id, r.masked) for r in wide.mask_wide(docs, table, most).orderBy("doc_id").collect()] for most in (1000, 15)]
+    got = []
+    for listed in (500, 3):
+        monkeypatch.setattr(masking, "LISTED", listed)
+        got.append([(r.doc_id, r.masked) for r in masking.mask_wide(docs, table).orderBy("doc_id").collect()])
     assert got[0] == got[1] and any("PERSONA" in (m or "") for _, m in got[1])
+    assert masking.mask_wide(docs, table).columns == [*docs.columns, "masked"]
