@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from tagmask.functions.text import placeholder
 from tagmask.model import APPLIED, APPROVED, DISABLED, NOT_FOUND, PENDING
 from tagmask.operators.anchors import SHORTEST, candidates, rarest_anchors
+from tagmask.operators.numbering import numbered
 from tagmask.sources.scratch import kept
 
 #: Writings of a dossier up to which each of its documents meets the list of all; in larger dossiers candidates come by a join.
@@ -41,38 +42,17 @@ def new_values(detections: DataFrame, tags: DataFrame | None = None) -> DataFram
     return first if tags is None else first.join(tags.select("dossier_id", "value"), ["dossier_id", "value"], "left_anti")
 
 
-def assign_tags(new: DataFrame, counters: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
-    """Tags for new values: per category by length descending, then value; numbers go on from the counters."""
-    order = Window.partitionBy("dossier_id", "category").orderBy(F.length("value").desc(), "value")
-    numbered = new.withColumn("_i", F.row_number().over(order).cast("long"))
+def assign_tags(new: DataFrame, counters: DataFrame | None = None, tags: DataFrame | None = None, wide: bool = False) -> DataFrame:
+    """Tags for new values: per category by length descending, then value; numbers go on from the counters, places (pos) from the
+    tags. `wide` is for dossiers too large for one task (see numbering.py)."""
+    order = [F.length("value").desc(), F.col("value")]
+    placed = numbered(numbered(new, ["dossier_id", "category"], order, "_i", wide), ["dossier_id"], order, "_pos", wide)
     if counters is not None:
-        numbered = numbered.join(counters, ["dossier_id", "category"], "left").withColumn("_i", F.col("_i") + F.coalesce("last_idx", F.lit(0))).drop("last_idx")
-    place = F.row_number().over(Window.partitionBy("dossier_id").orderBy(F.length("value").desc(), "value")).cast("long")
+        placed = placed.join(counters, ["dossier_id", "category"], "left").withColumn("_i", F.col("_i") + F.coalesce("last_idx", F.lit(0))).drop("last_idx")
     if tags is not None:
         last = tags.groupBy("dossier_id").agg(F.max("pos").alias("_last"))
-        numbered = numbered.join(last, "dossier_id", "left")
-        place = place + F.coalesce("_last", F.lit(0))
-    return numbered.select("dossier_id", placeholder(F.col("category"), F.col("_i")).alias("tag"), "category", F.col("_i").alias("idx"), "value", F.lit(0).cast("long").alias("occurrences"), F.lit(NOT_FOUND).alias("status"), F.array().cast("array<string>").alias("variants"), place.alias("pos"))
-
-
-def assign_tags_wide(new: DataFrame, buckets: int = 64) -> DataFrame:
-    """Numbers as assign_tags without counters, for dossiers too large for one window: ranges by length and value are
-    numbered by themselves, then shifted by the rows of the ranges before. Returns dossier_id, category, value, idx."""
-    key = F.struct((-F.length("value")).alias("l"), F.col("value").alias("v"))
-    # About a hundred keys a range give the borders; they are fixed before anything is numbered.
-    every = max(1, new.count() // (buckets * 100))
-    sampled = new.filter(F.pmod(F.xxhash64("value"), F.lit(every)) == 0).select(key.alias("k"))
-    tiles = sampled.withColumn("t", F.ntile(buckets).over(Window.orderBy("k"))).groupBy("t").agg(F.min("k").alias("k"))
-    borders = [r.k for r in tiles.filter("t > 1").collect()]
-    literals = F.array(*[F.struct(F.lit(k.l).alias("l"), F.lit(k.v).alias("v")) for k in borders])
-    size, value = -F.length("value"), F.col("value")
-    ranged = new.withColumn("_p", F.size(F.filter(literals, lambda k: (k["l"] < size) | ((k["l"] == size) & (k["v"] <= value)))) if borders else F.lit(0))
-    within = Window.partitionBy("dossier_id", "category", "_p").orderBy(F.length("value").desc(), "value")
-    local = ranged.withColumn("_i", F.row_number().over(within))
-    sizes = ranged.groupBy("dossier_id", "category", "_p").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("dossier_id", "category").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("dossier_id", "category", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return local.join(shifts, ["dossier_id", "category", "_p"]).select("dossier_id", "category", "value", (F.col("_i") + F.col("_before")).cast("long").alias("idx"))
+        placed = placed.join(last, "dossier_id", "left").withColumn("_pos", F.col("_pos") + F.coalesce("_last", F.lit(0)))
+    return placed.select("dossier_id", placeholder(F.col("category"), F.col("_i")).alias("tag"), "category", F.col("_i").alias("idx"), "value", F.lit(0).cast("long").alias("occurrences"), F.lit(NOT_FOUND).alias("status"), F.array().cast("array<string>").alias("variants"), F.col("_pos").alias("pos"))
 
 
 def advance_counters(counters: DataFrame, tags: DataFrame) -> DataFrame:
@@ -88,11 +68,12 @@ def active_tags(tags: DataFrame, switches: DataFrame) -> DataFrame:
     return joined.select(*tags.columns)
 
 
-def writings(tags: DataFrame) -> DataFrame:
-    """Every value and variant with its rank in the dossier: longer first, then text, then the older tag."""
+def writings(tags: DataFrame, wide: bool = False) -> DataFrame:
+    """Every value and variant with its rank in the dossier: longer first, then text, then the older tag. `wide` is for dossiers
+    too large for one task (see numbering.py)."""
     spelled = tags.select("dossier_id", "tag", "pos", F.posexplode(F.concat(F.array("value"), F.coalesce("variants", F.array().cast("array<string>")))).alias("_v", "writing")).filter("writing <> ''")
-    order = Window.partitionBy("dossier_id").orderBy(F.length("writing").desc(), "writing", "pos", "_v")
-    return spelled.select("dossier_id", "tag", "writing", F.row_number().over(order).alias("rank"))
+    ranked = numbered(spelled, ["dossier_id"], [F.length("writing").desc(), F.col("writing"), F.col("pos"), F.col("_v")], "rank", wide)
+    return ranked.select("dossier_id", "tag", "writing", F.col("rank").cast("int").alias("rank"))
 
 
 def _sentinel(rank: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmask.functions.numbers import SMALL, TENS, number_in_words
-from tagmask.functions.text import MONTHS
+from tagmask.functions.text import MONTHS, has_context
 from tagmask.model import PENDING
 from tagmask.operators import detect, masking, merging, registry, restore, review
 from tagmask.plans.derived import register
@@ -75,6 +75,32 @@ def _(spark, sf):
     return masking.writings(tags)
 
 
+@query("assign_tags_hot", """old_first AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY arrival, det_seq, category) AS r FROM detections WHERE value <> '' AND arrival % 2 = 0),
+old AS (SELECT category, value, row_number() OVER (PARTITION BY category ORDER BY length(value) DESC, value) AS idx, row_number() OVER (ORDER BY length(value) DESC, value) AS pos FROM old_first WHERE r = 1),
+new_first AS (SELECT d.*, row_number() OVER (PARTITION BY d.value ORDER BY arrival, det_seq, d.category) AS r FROM detections d ANTI JOIN old ON d.value = old.value WHERE d.value <> '' AND arrival % 2 = 1),
+tops AS (SELECT category, max(idx) AS top FROM old GROUP BY ALL),
+fresh AS (SELECT n.category, value, coalesce(top, 0) + row_number() OVER (PARTITION BY n.category ORDER BY length(value) DESC, value) AS idx,
+  (SELECT coalesce(max(pos), 0) FROM old) + row_number() OVER (ORDER BY length(value) DESC, value) AS pos FROM new_first n LEFT JOIN tops t ON n.category = t.category WHERE r = 1)
+SELECT category, value, CAST(idx AS BIGINT) AS idx, CAST(pos AS BIGINT) AS pos FROM (SELECT * FROM old UNION ALL SELECT * FROM fresh)""")
+def _(spark, sf):
+    """All letters in one dossier, odd arrivals after even ones: numbers and places of the second run go on from the first."""
+    found = register(spark, sf, "detections")["detections"].withColumn("dossier_id", F.lit("all"))
+    old = kept(masking.assign_tags(masking.new_values(found.filter("arrival % 2 = 0")), wide=True))
+    counters = masking.advance_counters(spark.createDataFrame([], "dossier_id string, category string, last_idx long"), old)
+    fresh = masking.assign_tags(masking.new_values(found.filter("arrival % 2 = 1"), old), counters, old, wide=True)
+    return old.unionByName(fresh).select("category", "value", "idx", "pos")
+
+
+@query("writings_hot", """firsts AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY arrival, det_seq, category) AS r FROM detections WHERE value <> ''),
+forms AS (SELECT unnest([value, upper(value)]) AS writing, unnest([0, 1]) AS v, row_number() OVER (ORDER BY length(value) DESC, value) AS pos FROM firsts WHERE r = 1)
+SELECT writing, CAST(row_number() OVER (ORDER BY length(writing) DESC, writing, pos, v) AS INT) AS rank FROM forms""")
+def _(spark, sf):
+    """All values of one dossier and their capitals, ranked over many tasks."""
+    found = register(spark, sf, "detections")["detections"].withColumn("dossier_id", F.lit("all"))
+    tags = masking.assign_tags(masking.new_values(found), wide=True).withColumn("variants", F.array(F.upper("value")))
+    return masking.writings(tags, wide=True).select("writing", "rank")
+
+
 @query("analyse_dossiers", TAGS[1:] + FACTS + " SELECT dossier_id, category, value, occurrences, status FROM counted")
 def _(spark, sf):
     """Letters in two runs, odd arrivals after even ones: values and counts are those of one run over all."""
@@ -388,3 +414,43 @@ def _(spark, sf):
     docs = register(spark, sf, "letters")["letters"]
     found = detect.rule_detector(("EMAIL", "IMPORTO", "DATA", "PRATICA"))(docs)
     return masking.assign_tags(masking.new_values(found)).groupBy("dossier_id", "category").agg(F.count("*").alias("tags"))
+
+
+#: Numbers of the customers' codes behind nine leads: keywords near and far, whole words and parts of words, and none.
+ANNOUNCED = """SELECT k, category, value, concat(lead, value) AS text, length(lead) AS start FROM (
+  SELECT k, category, value, CASE k % 9 WHEN 0 THEN 'Ditta con P. IVA ' WHEN 1 THEN 'partita iva: ' WHEN 2 THEN 'un privat ' WHEN 3 THEN 'tel. ' WHEN 4 THEN 'hotel '
+    WHEN 5 THEN 'Cellulare aziendale n. ' WHEN 6 THEN 'VAT e fax, poi una lunga descrizione della ditta ' WHEN 7 THEN '' ELSE 'fax/mobile ' END AS lead
+  FROM (SELECT k, 'PIVA' AS category, vat AS value FROM codes UNION ALL SELECT k, 'TELEFONO', phone FROM codes UNION ALL SELECT k, 'PRATICA', iban FROM codes) n) l"""
+
+
+@query("announced_numbers", f"""announced AS ({ANNOUNCED}),
+looked AS (SELECT *, lower(substr(text, CAST(greatest(start - 30, 0) + 1 AS BIGINT), CAST(least(start, 30) AS BIGINT))) AS lead FROM announced)
+SELECT k, category, CASE category
+  WHEN 'PIVA' THEN regexp_matches(lead, '(^|[^\\w])(p\\. iva|p\\.iva|partita iva|p\\.i\\.|vat)([^\\w]|$)') OR starts_with(value, 'IT')
+  WHEN 'TELEFONO' THEN regexp_matches(lead, '(^|[^\\w])(tel|telefono|cell|cellulare|fax|mobile)([^\\w]|$)') OR starts_with(value, '+39') OR regexp_full_match(value, '0039([^0-9]?[0-9]){{9,10}}')
+  ELSE true END AS announced FROM looked""")
+def _(spark, sf):
+    """Whether VAT and telephone numbers are announced; other categories need nothing."""
+    register(spark, sf, "codes")
+    text = spark.sql(ANNOUNCED)
+    return text.select("k", "category", has_context(F.col("text"), F.col("start"), F.col("value"), F.col("category")).alias("announced"))
+
+
+#: A sentence per customer, with the span that a rule must find there (null: none) between what stands around it.
+RULED = """SELECT k, category, value, lead, concat(lead, coalesce(value, other), tail) AS text FROM (
+  SELECT k, CASE k % 8 WHEN 0 THEN 'CATASTO' WHEN 1 THEN 'INDIRIZZO' WHEN 2 THEN 'INDIRIZZO' WHEN 4 THEN 'IMPORTO' WHEN 5 THEN 'IMPORTO' ELSE 'TELEFONO' END AS category,
+    CASE k % 8 WHEN 0 THEN 'Immobile al ' WHEN 1 THEN 'Abita in ' WHEN 2 THEN 'Sede: ' WHEN 3 THEN 'codice X' WHEN 6 THEN 'tel. ' WHEN 7 THEN 'tel. ' ELSE 'Paga ' END AS lead,
+    CASE k % 8 WHEN 0 THEN concat('fg. ', cast(k % 1000 + 1 AS string), ' part. ', cast(k % 9000 + 1 AS string)) WHEN 1 THEN concat('via Roma ', cast(k % 9000 + 1 AS string), ', ', cast(10000 + k % 90000 AS string))
+      WHEN 2 THEN concat('piazza della Pace ', cast(10000 + k % 90000 AS string)) WHEN 4 THEN concat(cast(k AS string), ' €')
+      WHEN 5 THEN concat('EUR ', cast(k % 100 AS string), ',', cast(100000 + k AS string)) WHEN 6 THEN concat('340', cast(1000000 + k % 1000000 AS string)) END AS value,
+    CASE k % 8 WHEN 3 THEN concat(cast(k AS string), ' euro') ELSE concat('340', cast(1000000 + k % 1000000 AS string), '99') END AS other,
+    CASE k % 8 WHEN 0 THEN ' del comune' WHEN 1 THEN ' Milano' WHEN 2 THEN ' Torino' WHEN 4 THEN '.' ELSE ' subito' END AS tail FROM codes) r"""
+
+
+@query("rule_fixes", f"ruled AS ({RULED}) SELECT k, category, value, CAST(length(lead) AS INT) AS start FROM ruled WHERE value IS NOT NULL")
+def _(spark, sf):
+    """Short keywords of the land register, postal codes left whole, links in names, amounts with a left border, a sign behind
+    and any number of decimals, telephone numbers that are not the beginning of a longer one."""
+    register(spark, sf, "codes")
+    docs = spark.sql(RULED).select(F.lit("all").alias("dossier_id"), F.col("k").alias("doc_id"), "text")
+    return detect.rule_spans(docs, ("CATASTO", "INDIRIZZO", "IMPORTO", "TELEFONO")).select(F.col("doc_id").alias("k"), "category", "value", F.col("start").cast("int").alias("start"))

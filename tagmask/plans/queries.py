@@ -100,7 +100,7 @@ def _(spark, sf):
 @query("assign_tags_wide", "SELECT 'all' AS dossier_id, category, value, row_number() OVER (PARTITION BY category ORDER BY length(value) DESC, value) AS idx FROM (SELECT DISTINCT category, value FROM detections WHERE value <> '')")
 def _(spark, sf):
     values = register(spark, sf, "detections")["detections"].filter("value <> ''").select(F.lit("all").alias("dossier_id"), "category", "value").distinct()
-    return masking.assign_tags_wide(values)
+    return masking.assign_tags(values, wide=True).select("dossier_id", "category", "value", "idx")
 
 
 @query("incremental_tags", """old_first AS (SELECT *, row_number() OVER (PARTITION BY dossier_id, value ORDER BY arrival, det_seq, category) AS r FROM detections WHERE value <> '' AND arrival % 2 = 0),

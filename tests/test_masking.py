@@ -126,8 +126,22 @@ def test_wide_numbering_is_that_of_one_window(spark):
     rng = random.Random(6)
     rows = list({("k" if rng.random() < 0.8 else "l", f"v{rng.randrange(10 ** rng.randint(1, 6))}", rng.choice(["CF", "DATA"])) for _ in range(3000)})
     new = spark.createDataFrame(rows, "dossier_id string, value string, category string")
-    want = {(r.dossier_id, r.category, r.value): r.idx for r in masking.assign_tags(new).collect()}
-    assert {(r.dossier_id, r.category, r.value): r.idx for r in masking.assign_tags_wide(new.repartition(7), 9).collect()} == want
+    counters = spark.createDataFrame([("k", "CF", 40), ("l", "IBAN", 7)], "dossier_id string, category string, last_idx long")
+    old = spark.createDataFrame([("k", 3), ("k", 9)], "dossier_id string, pos long")
+    rows_of = lambda df: sorted(map(tuple, df.drop("variants").collect()))
+    for given in ((), (counters, old)):
+        assert rows_of(masking.assign_tags(new.repartition(7), *given, wide=True)) == rows_of(masking.assign_tags(new, *given))
+    assert masking.assign_tags(new.limit(0), wide=True).count() == 0
+    tags = masking.assign_tags(new).withColumn("variants", F.array(F.upper("value"), F.lit(""), F.lit("same")))
+    assert rows_of(masking.writings(tags.repartition(5), wide=True)) == rows_of(masking.writings(tags))
+
+
+def test_wide_numbering_of_null_groups_and_single_rows(spark):
+    from tagmask.operators.numbering import numbered
+
+    rows = spark.createDataFrame([(None, i) for i in range(500)] + [("a", 1), ("b", 7), ("b", 3)], "g string, x int")
+    got = {(r.g, r.x): r.n for r in numbered(rows.repartition(6), ["g"], [F.col("x")], "n", wide=True).collect()}
+    assert got == {**{(None, i): i + 1 for i in range(500)}, ("a", 1): 1, ("b", 3): 1, ("b", 7): 2}
 
 
 def test_workflows(spark):
