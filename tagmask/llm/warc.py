@@ -50,14 +50,19 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record as a gzip member: a response, or a revisit where `refers_to` is given."""
-    when = EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)
+def captured(page_id: int | None) -> datetime.datetime:
+    return EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str = "") -> bytes:
+    """One record as a gzip member: a response, or a revisit where `refers_to` is given. `place` (archive and offset) makes
+    the record's id its own where pages repeat."""
+    date = lambda page: captured(page).strftime("%Y-%m-%dT%H:%M:%SZ")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    named = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>", "WARC-Date": when.strftime("%Y-%m-%dT%H:%M:%SZ"), "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or ""), "WARC-Payload-Digest": "sha1:" + payload_digest(payload), "X-Page-Id": "" if page_id is None else str(page_id), "X-Payload-Length": str(len(payload))}
+    named = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{place}')}>", "WARC-Date": date(page_id), "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or ""), "WARC-Payload-Digest": "sha1:" + payload_digest(payload), "X-Page-Id": "" if page_id is None else str(page_id), "X-Payload-Length": str(len(payload))}
     if refers_to is not None:
-        named |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-Id": str(refers_to)}
+        named |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Date": date(refers_to), "X-Refers-To-Page-Id": str(refers_to)}
     named |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     raw = ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named.items()) + "\r\n").encode() + block + b"\r\n\r\n"
     return gzip.compress(raw, 6, mtime=0)
@@ -200,9 +205,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
         for batch in light(batches, "html"):
             for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 payload = (html or "").encode()
-                when = (EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y%m%d%H%M%S")
-                entries.append((url_key(url), when, f"{name}.warc.gz", buffer.tell(), page_id, "response" if refers_to is None else "revisit"))
-                buffer.write(record(page_id, url, payload, refers_to))
+                entries.append((url_key(url), captured(page_id).strftime("%Y%m%d%H%M%S"), f"{name}.warc.gz", buffer.tell(), page_id, "response" if refers_to is None else "revisit"))
+                buffer.write(record(page_id, url, payload, refers_to, f"{name}:{buffer.tell()}"))
                 held += len(payload)
                 if held >= ARCHIVE_BYTES or len(entries) >= ARCHIVE_ENTRIES:
                     yield flush()
@@ -230,22 +234,23 @@ def cut_keys(runs: DataFrame, entries: int) -> list[tuple]:
 def merge_runs(runs: DataFrame, path: str, entries: int = MERGED_TOGETHER) -> DataFrame:
     """All entries in global order of (url_key, time, archive, offset), numbered from 0 as `capture_order`.
 
-    Pass by pass, tasks merge up to FAN_IN run files through a loser tree into one, each within one range of keys; of every
-    run they hold one block. The last pass merges what is left of a range and numbers it after the ranges before.
+    Pass by pass, tasks merge up to FAN_IN run files through a loser tree into one, of each of which they hold one block. Where
+    there are more runs than that, the first pass merges whole ones, since every range opens every run that is left; the
+    next cuts ranges of keys. The last pass merges what is left of a range and numbers it after the ranges before.
     """
     cuts = cut_keys(runs, entries)
 
-    def merged(store, files: list[str], part: int, whole: bool) -> LoserTree:
-        low, high = (cuts[part - 1] if part and whole else ()), (cuts[part] if part < len(cuts) and whole else None)
+    def merged(store, files: list[str], part: int, cut: bool) -> LoserTree:
+        low, high = (cuts[part - 1] if part and cut else ()), (cuts[part] if part < len(cuts) and cut else None)
         return LoserTree([read_run(store, file, low, high) for file in files], lambda e: e[:4])
 
-    def one_pass(whole: bool):
+    def one_pass(cut: bool):
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, folder = fs.FileSystem.from_uri(path)
             for batch in batches:
                 for part, files in zip(batch.column("part").to_pylist(), batch.column("files").to_pylist(), strict=True):
                     name = f"{folder}/merged-{part:06d}-{uuid.uuid4().hex}.run"
-                    n = write_run(store, name, merged(store, files, part, whole))
+                    n = write_run(store, name, merged(store, files, part, cut))
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], ["part", "run", "entries"])
 
         return merge
@@ -260,10 +265,13 @@ def merge_runs(runs: DataFrame, path: str, entries: int = MERGED_TOGETHER) -> Da
         units = written(units, "warc-units")
         return units.repartition(max(1, min(20_000, units.count())))
 
-    groups = F.lit(max(1, -(-runs.count() // FAN_IN)))
-    first = runs.groupBy(F.pmod(F.xxhash64("run"), groups).alias("g")).agg(F.array_sort(F.collect_list("run")).alias("files"))
+    kinds, left, count = "part int, run string, entries long", runs.select(F.lit(0).alias("part"), "run"), runs.count()
+    if cuts and count > FAN_IN:
+        left = written(dealt(left).mapInArrow(one_pass(False), kinds), "warc-whole").select("part", "run")
+        count = left.count()
+    groups = F.lit(max(1, -(-count // FAN_IN)))
+    first = left.groupBy(F.pmod(F.xxhash64("run"), groups).alias("g")).agg(F.array_sort(F.collect_list("run")).alias("files"))
     first = first.select(F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("part"), "files")
-    kinds = "part int, run string, entries long"
     pieces = written(spread(first).mapInArrow(one_pass(True), kinds), "warc-merged")
     while pieces.groupBy("part").count().filter(F.col("count") > FAN_IN).limit(1).count():
         pieces = written(dealt(pieces).mapInArrow(one_pass(False), kinds), "warc-merged")

@@ -587,6 +587,38 @@ def test_archives(spark, monkeypatch):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), new_path(spark, "warc")).count() == 0
 
 
+def test_index_of_the_given_pages_by_brute_force(spark, monkeypatch):
+    """All pages and some of their copies, in many archives, against digests and a dictionary."""
+    for name, value in (("ARCHIVE_ENTRIES", 40), ("FAN_IN", 4), ("RUN_BLOCK", 8), ("MERGED_TOGETHER", 100)):
+        monkeypatch.setattr(warc, name, value)
+    pages = read(spark, DIR, "pages").select("page_id", "url", "html")
+    copies = pages.filter("page_id % 7 = 0").select((F.col("page_id") + 1_000_000).alias("page_id"), "url", "html")
+    pages = pages.unionByName(copies)
+    given = [(r.page_id, r.url, (r.html or "").encode()) for r in pages.collect()]
+    first = {}
+    for page_id, _, payload in sorted(given):
+        first.setdefault(payload, page_id)
+    want = {}
+    for page_id, _, payload in given:
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        original = first[payload]
+        want[page_id] = (len(payload), digest, "response" if original == page_id else "revisit", None if original == page_id else original)
+    rows = warc.archive(pages.repartition(6), new_path(spark, "warc")).collect()
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows} == want and len(rows) == len(given)
+    assert any(kind == "revisit" for _, _, kind, _ in want.values())
+    rows.sort(key=lambda r: r.capture_order)
+    assert [r.capture_order for r in rows] == list(range(len(given)))
+    keys = [(r.url_key, r.page_id) for r in rows]
+    assert keys == sorted((warc.url_key(url), page_id) for page_id, url, _ in given)
+
+
+def test_records_of_repeated_pages_have_ids_of_their_own():
+    a, b = (next(warc.records(warc.record(3, "http://a.org/", b"x", None, place)))[1] for place in ("f:0", "f:9"))
+    assert a["WARC-Record-ID"] != b["WARC-Record-ID"]
+    _, headers, block = next(warc.records(warc.record(9, "http://a.org/", b"x", 3, "f:20")))
+    assert headers["WARC-Type"] == "revisit" and headers["WARC-Refers-To-Date"] == a["WARC-Date"] and block.endswith(b"\r\n\r\n")
+
+
 # --- search --------------------------------------------------------------------------------------------------------------
 def brute_bm25(docs, query, k):
     counts = {d: Counter(WORDS.findall((t or "").lower())) for d, t in docs}
