@@ -49,3 +49,23 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_vaults_per_dossier(spark, tmp_path):
+    """Every dossier is sealed and opened on its own, with the rounds of production, in the query and in its SQL."""
+    for path in glob.glob(f"{DIR}/*.parquet"):
+        os.symlink(path, tmp_path / os.path.basename(path))
+    os.remove(tmp_path / "customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"copy (select * from '{DIR}/customer.parquet' where c_custkey in (select o_custkey from '{DIR}/orders.parquet') order by c_custkey limit 5) to '{tmp_path}/customer.parquet' (format parquet)")
+    for path in tmp_path.glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
+    dossier_ids = {f"D{k}" for (k,) in con.sql("select c_custkey from customer").fetchall()}
+    rounds, write = [], dossiers.vault.write_vault
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(dossiers.vault, "write_vault", lambda jsons, password, rounds=0, seen=rounds: (seen.append(rounds), write(jsons, password, rounds))[1])
+        got = dossiers.QUERIES["vault_round_trip_whole"](spark, str(tmp_path)).select("dossier_id", "error", "texts", "tags").collect()
+    want = con.sql(dossiers.ORACLE_SQL["vault_round_trip_whole"]).fetchall()
+    assert rounds == [600_000] and len(dossier_ids) == 5
+    assert {r.dossier_id for r in got} == {r[0] for r in want} == dossier_ids
+    assert ordered(got) == ordered(want)
