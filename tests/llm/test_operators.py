@@ -716,6 +716,32 @@ def test_search_with_ties_at_the_border_of_frequent_lists(seed, monkeypatch):
             assert len(set(ids.tolist())) == 10 and np.allclose(best, want[order], rtol=1e-12) and np.allclose(want[ids], want[order], rtol=1e-12)
 
 
+def test_search_by_slices_and_by_gathering(monkeypatch):
+    """Whether lists and documents' terms are copied as slices or gathered, the same documents have the very same scores."""
+    rng = np.random.default_rng(3)
+    texts = ["", *(" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 60)) if x < 2000) for _ in range(600))]
+    parts = list(search.term_counts(pa.array(texts, pa.large_string())))
+    doc, term, times = (np.concatenate([p[i] + (p[0] if i == 1 else 0) for p in parts]) for i in (1, 2, 3))
+    lengths, n = np.concatenate([p[4] for p in parts]), len(texts)
+    data = search.invert_shard(search.unpack_arrays(search.gather_shard(np.arange(n), lengths, np.bincount(doc, minlength=n), term, times)), lengths.mean())
+    asked = [rng.permutation(np.flatnonzero(doc == q)) for q in range(0, n, 5)]
+    distinct, which = np.unique(np.concatenate([term[mine] for mine in asked]), return_inverse=True)
+    monkeypatch.setattr(search, "FREQUENT", 30)
+    found = []
+    for kept, few, scored in ((0, 0, 1_000_000), (20, 3, 300), (200, 10_000, 1_000_000), (4096, 64, 1_000_000)):
+        for name, value in (("KEPT", kept), ("FEW", few), ("SCORED", scored)):
+            monkeypatch.setattr(search, name, value)
+        shard = search.Shard(data)
+        lists = shard.lists(distinct, which, np.cumsum([len(mine) for mine in asked]), np.concatenate([times[mine] * 1.5 for mine in asked]))
+        assert all((np.diff(lists.counts[a:b]) <= 0).all() for a, b in zip(lists.starts, lists.starts[1:]))
+        first = [shard.search(lists, i, 10, np.zeros(0, np.int64), np.zeros(0)) for i in range(len(asked))]
+        # Again under a bound known before, where the pivot leaves lists out.
+        again = [shard.search(lists, i, 10, np.full(10, -1), np.full(10, best.min(initial=np.inf))) for i, (_, best) in enumerate(first)]
+        assert not shard.asked.any() and not shard.weight.any()
+        found.append([(ids.tolist(), best.tolist()) for ids, best in first + again])
+    assert all(x == found[0] for x in found[1:]) and any(len(ids) == 10 for ids, _ in found[0])
+
+
 def test_blocks_of_more_texts_than_a_shard_numbers(spark):
     """Very short texts: one block of bytes holds more of them than 16 bits number."""
     docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 69_999, "needle x").otherwise("x").alias("text")).coalesce(1)
