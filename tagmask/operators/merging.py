@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tagmask.functions.text import name_tokens, normalised_name, tokens_equivalent
 from tagmask.model import NAMED
-from tagmask.operators.masking import claimed_regions, count_occurrences, take_back_approval, writings
+from tagmask.operators.masking import claimed_tags, count_occurrences, spellings, take_back_approval
 from tagmask.sources.scratch import kept
 
 
@@ -190,7 +190,7 @@ def settle_merges(queue: DataFrame, tags: DataFrame, decisions: DataFrame, docs:
     after = queue.join(closed, ["dossier_id", "merge_id"], "left").withColumn("resolved", F.col("resolved") | F.coalesce("_closed", F.lit(False))).select(*queue.columns)
     touched = known.filter("verdict = 'MERGED'").select("dossier_id").distinct()
     merged = after_all.join(touched, "dossier_id", "left_semi").select(*tags.columns)
-    counted = count_occurrences(merged, claimed_regions(docs.join(touched, "dossier_id", "left_semi"), writings(merged)))
+    counted = count_occurrences(merged, claimed_tags(docs.join(touched, "dossier_id", "left_semi"), spellings(merged)))
     return Settlement(verdicts, after, tags.join(touched, "dossier_id", "left_anti").select(*tags.columns).unionByName(counted), take_back_approval(dossiers, touched))
 
 
