@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagmask.model import CATEGORIES, STRICT
-from tagmask.operators.masking import active_tags, claimed_regions, mask_documents, segments, with_writings, writings
+from tagmask.operators.masking import active_tags, claimed_regions, mask_documents, segment_lists, segments, spellings, with_writings, writings
 from tagmask.operators.restore import restore
 
 
@@ -20,7 +20,7 @@ def existing_placeholders(docs: DataFrame) -> DataFrame:
     parts = F.zip_with(F.split("text", STRICT), F.regexp_extract_all("text", F.lit(f"({STRICT})"), 1), lambda g, p: F.struct(F.length(g).alias("g"), p.alias("p")))
     step = lambda acc, z: F.struct((acc["at"] + z["g"] + F.length(z["p"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + z["g"]).alias("position"), z["p"].alias("placeholder")))).alias("out"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<position:int,placeholder:string>>").alias("out"))
-    placed = docs.select("dossier_id", "doc_id", parts.alias("_z")).select("dossier_id", "doc_id", F.posexplode(F.aggregate(F.filter("_z", lambda z: z["p"].isNotNull()), zero, step)["out"]).alias("seq", "w"))
+    placed = docs.select("dossier_id", "doc_id", parts.alias("_z")).select("dossier_id", "doc_id", F.posexplode_outer(F.aggregate(F.filter("_z", lambda z: z["p"].isNotNull()), zero, step)["out"]).alias("seq", "w")).filter("w is not null")
     return placed.select("dossier_id", "doc_id", "seq", F.col("w.position").alias("position"), F.col("w.placeholder").alias("placeholder"))
 
 
@@ -116,8 +116,8 @@ def review(docs: DataFrame, tags: DataFrame, switches: DataFrame, dossiers: Data
 
 def review_documents(docs: DataFrame, tags: DataFrame, switches: DataFrame) -> DataFrame:
     """One row per document: its segments in order (text, tag, category, masked), as a reviewer reads them."""
-    parts = segments(docs, tags, switches).groupBy("dossier_id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text", "tag", "category", "masked"))), lambda s: s.dropFields("seq")).alias("segments"))
-    return docs.select("dossier_id", "doc_id", "filename").join(parts, ["dossier_id", "doc_id"], "left")
+    named = docs.withColumn("doc_id", F.struct("doc_id", "filename"))
+    return segment_lists(named, tags, switches).select("dossier_id", "doc_id.*", "segments")
 
 
 def leak_audit(masked: DataFrame, tags: DataFrame, switches: DataFrame) -> DataFrame:
@@ -125,9 +125,9 @@ def leak_audit(masked: DataFrame, tags: DataFrame, switches: DataFrame) -> DataF
     values as they meet writings (see masking.with_writings)."""
     values = active_tags(tags, switches).filter("status = 'APPLIED'").withColumn("variants", F.array().cast("array<string>"))
     left = masked.select("dossier_id", "doc_id", F.col("masked").alias("text"))
-    held = with_writings(left, writings(values)).withColumn("_o", F.split("text", STRICT))
+    held = with_writings(left, spellings(values)).withColumn("_o", F.split("text", STRICT))
     kept = F.filter("_ws", lambda v: F.exists("_o", lambda s: F.contains(s, v["writing"])))
-    return held.select("dossier_id", "doc_id", F.explode(kept).alias("v")).select("dossier_id", "doc_id", "v.tag", F.col("v.writing").alias("value"))
+    return held.select("dossier_id", "doc_id", F.explode_outer(kept).alias("v")).filter("v is not null").select("dossier_id", "doc_id", "v.tag", F.col("v.writing").alias("value"))
 
 
 def round_trip_audit(docs: DataFrame, tags: DataFrame) -> DataFrame:
